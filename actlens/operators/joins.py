@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from actlens import fixed_values as fv
 from actlens.functions import text as tx
+from actlens.functions.hashing import text_hash
 
 TEXT = "detokenized_text_truncated"
 EXPLANATION = "api_explanation"
@@ -37,7 +38,7 @@ def cache_source(caches: Sequence[DataFrame]) -> DataFrame:
     """One explanation per text hash: the last row of the last source wins."""
     return (
         cache_union(caches)
-        .select(tx.text_hash(F.col(TEXT)).alias("text_sha"), EXPLANATION, "source_no", "row_no")
+        .select(text_hash(F.col(TEXT)).alias("text_sha"), EXPLANATION, "source_no", "row_no")
         .groupBy("text_sha")
         .agg(
             F.max_by(EXPLANATION, F.struct("source_no", "row_no", EXPLANATION)).alias(EXPLANATION)
@@ -51,21 +52,21 @@ def cache_join(df: DataFrame, cache: DataFrame, text: str = TEXT) -> DataFrame:
     The cache has one row per hash, so copies of one text only meet one row;
     a hot text is split by the adaptive skew join.
     """
-    return df.withColumn("text_sha", tx.text_hash(F.col(text))).join(cache, "text_sha", "left")
+    return df.withColumn("text_sha", text_hash(F.col(text))).join(cache, "text_sha", "left")
 
 
 def cache_miss(df: DataFrame, cache: DataFrame, text: str = TEXT) -> DataFrame:
     """Rows whose text is not in the cache."""
-    return df.withColumn("text_sha", tx.text_hash(F.col(text))).join(cache, "text_sha", "left_anti")
+    return df.withColumn("text_sha", text_hash(F.col(text))).join(cache, "text_sha", "left_anti")
 
 
 def cache_stats(df: DataFrame, caches: Sequence[DataFrame], text: str = TEXT) -> DataFrame:
     """One row per cache source: its rows, its texts, and the rows of ``df`` it could serve."""
-    sha = tx.text_hash(F.col(text))
+    sha = text_hash(F.col(text))
     wanted = df.groupBy(sha.alias("text_sha")).agg(F.count(F.lit(1)).alias("_n"))
     texts = (
         cache_union(caches)
-        .groupBy("source_no", tx.text_hash(F.col(TEXT)).alias("text_sha"))
+        .groupBy("source_no", text_hash(F.col(TEXT)).alias("text_sha"))
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     total = df.agg(F.count(F.lit(1))).scalar()
@@ -195,7 +196,7 @@ def dataset_overlap(
     """
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, tx.text_hash(F.col(text)).alias(name))
+        return df.select(*keys, text_hash(F.col(text)).alias(name))
 
     joined = side(a, "_a").join(side(b, "_b"), list(keys), "full_outer")
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actlens import fixed_values as fv
+from actlens.functions.binding import let
 from actlens.functions.hashing import key_hash, unit_hash
 from actlens.functions.text import prefix_text
 from actlens.operators.ranking import before_cut, hash_order_key, rank_cuts
@@ -27,13 +28,16 @@ def candidate_positions(
 
 
 def _candidates(tokens: Column, min_pos: int, special: Sequence[str]) -> Column:
+    if special:
+        return F.array_compact(
+            F.transform(
+                tokens, lambda t, i: F.when((i >= min_pos) & ~t.isin(list(special)), i)
+            )
+        )
     last = F.size(tokens) - 1
-    spots = F.when(last >= min_pos, F.sequence(F.lit(min_pos), last)).otherwise(
+    return F.when(last >= min_pos, F.sequence(F.lit(min_pos), last)).otherwise(
         F.array().cast("array<int>")
     )
-    if special:
-        spots = F.filter(spots, lambda i: ~F.get(tokens, i).isin(list(special)))
-    return spots
 
 
 def draw_without_replacement(n: Column, k: int, seed: int, key: Column) -> Column:
@@ -70,11 +74,12 @@ def sampled_positions(
     not change a document's sample. No shuffle.
     """
     if special:
-        spots = _candidates(F.col(tokens), min_pos, special)
-        with_spots = df.withColumn("_spots", spots)
-        drawn = draw_without_replacement(F.size("_spots"), k, seed, F.col(key))
-        picked = F.transform(drawn, lambda i: F.get(F.col("_spots"), i.cast("int")).cast("bigint"))
-        return with_spots.withColumn("positions", picked).drop("_spots")
+
+        def draw(spots: Column) -> Column:
+            drawn = draw_without_replacement(F.size(spots), k, seed, F.col(key))
+            return F.transform(drawn, lambda i: F.get(spots, i.cast("int")).cast("bigint"))
+
+        return df.withColumn("positions", let(_candidates(F.col(tokens), min_pos, special), draw))
     n = F.greatest(F.size(tokens) - min_pos, F.lit(0))
     drawn = draw_without_replacement(n, k, seed, F.col(key))
     return df.withColumn("positions", F.transform(drawn, lambda i: i + min_pos))

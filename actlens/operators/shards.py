@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from actlens.functions.binding import let
+
 _AGREED = ("base_model", "layer_index", "d_model", "norm", "corpus", "positions_per_doc")
 _TRAINING = ("av_sft", "ar_sft", "rl")
 
@@ -157,18 +159,17 @@ def drift_check(df: DataFrame, manifests: DataFrame, ids: str = "ids") -> DataFr
         F.col("tokens.injection_right_neighbor_id").alias("_right"),
     )
     joined = df.join(declared, "dataset_id")
-    spots = F.filter(
-        F.transform(
-            F.col(ids),
-            lambda x, i: F.when(
-                x == F.col("_inj"),
-                F.struct(
-                    F.get(F.col(ids), i - 1).alias("left"), F.get(F.col(ids), i + 1).alias("right")
+    def neighbours(a: Column) -> Column:
+        return F.array_compact(
+            F.transform(
+                a,
+                lambda x, i: F.when(
+                    x == F.col("_inj"),
+                    F.struct(F.get(a, i - 1).alias("left"), F.get(a, i + 1).alias("right")),
                 ),
-            ),
-        ),
-        lambda s: s.isNotNull(),
-    )
+            )
+        )
+
     fits = F.size(
         F.filter(
             F.col("_spots"),
@@ -176,7 +177,7 @@ def drift_check(df: DataFrame, manifests: DataFrame, ids: str = "ids") -> DataFr
         )
     )
     return (
-        joined.withColumn("_spots", spots)
+        joined.withColumn("_spots", let(F.col(ids), neighbours))
         .withColumn("markers", F.size("_spots"))
         .withColumn("good_markers", fits)
         .where(F.col("good_markers") != 1)

@@ -34,8 +34,9 @@ from actlens.sources.manifest import (
     base_dataset_id,
     derive_manifest,
     manifest_read,
+    manifest_write,
 )
-from actlens.sources.sinks import write_dataset
+from actlens.sources.sinks import split_write, write_dataset
 
 STAGES = ("0", "1", "2", "3", "shuffle")
 TABLES = ("av_sft", "ar_sft", "rl")
@@ -124,9 +125,11 @@ class BuildConfig:
         return ["0", "1", "2", "3"] + (["shuffle"] if self.shuffle else [])
 
     def path(self, name: str) -> str:
-        """Where a stored table lies."""
-        folder = "splits/" if name.endswith(("_raw", "_explained")) else ""
-        return f"{self.output_dir.rstrip('/')}/{folder}{name}"
+        """Where a stored table lies; the raw splits are folders of one write."""
+        root = self.output_dir.rstrip("/")
+        if name.endswith("_raw"):
+            return f"{root}/splits/raw/bucket={name.removesuffix('_raw')}"
+        return f"{root}/splits/{name}" if name.endswith("_explained") else f"{root}/{name}"
 
 
 def base_rows(docs: DataFrame, encoder: Encoder, k: int, seed: int, layer: int) -> DataFrame:
@@ -215,18 +218,22 @@ class DatasetBuild:
         write_dataset(rows, c.path("base"), schemas.BASE, manifest)
 
     def split(self) -> None:
-        """Stage 1: three tables that share no document."""
+        """Stage 1: three tables that share no document, written in one pass."""
         c = self.config
         base, manifest = self._read("base")
         if manifest.stage != "base":
             raise ValueError(f"expected a base dataset, got {manifest.stage!r}")
-        marked = doc_split(base, c.fractions, c.seed)
+        root = c.path("av_sft_raw").rpartition("/")[0]
+        split_write(doc_split(base, c.fractions, c.seed), root)
         for table in TABLES:
+            rows = self.spark.read.schema(schemas.BASE).parquet(c.path(f"{table}_raw")).count()
             child = derive_manifest(
-                manifest, dataset_id=f"{manifest.dataset_id}__{table}_raw", created_by="split"
+                manifest,
+                dataset_id=f"{manifest.dataset_id}__{table}_raw",
+                row_count=rows,
+                created_by="split",
             )
-            part = marked.where(F.col("bucket") == table).drop("bucket")
-            write_dataset(part, c.path(f"{table}_raw"), schemas.BASE, child)
+            manifest_write(self.spark, child, c.path(f"{table}_raw"))
 
     def explain(self) -> None:
         """Stage 2: explanations for the two supervised tables."""

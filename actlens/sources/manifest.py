@@ -133,8 +133,9 @@ def manifest_frame(spark: SparkSession, manifests: list[Manifest]) -> DataFrame:
 
 
 def manifest_path(path: str) -> str:
-    """Where the manifest of a dataset lies."""
-    return path.rstrip("/") + ".manifest"
+    """Where the manifest of a dataset lies: in a folder that table readers skip."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/_manifests/{name.replace('=', '-')}"
 
 
 def manifest_write(spark: SparkSession, manifest: Manifest, path: str) -> None:
