@@ -9,7 +9,7 @@ from actlens.catalog.registry import query
 from actlens.catalog.views import LAYER, MODEL, POSITIONS, SEED, sql_hash
 from actlens.functions.text import doc_key, prefix_text, tokenize
 from actlens.operators import aggregates, batching, filters, joins, ranking, sampling
-from actlens.session import scratch_path
+from actlens.session import scratch_path, spread
 from actlens.sources import corpus as src
 from actlens.sources import manifest as mf
 from actlens.sources import sinks
@@ -178,7 +178,7 @@ def doc_key_query(v):
 def tokenize_query(v):
     tokens = tokenize(F.col("text"))
     return (
-        v.corpus()
+        spread(v.corpus(), "doc_id")
         .withColumn("tokens", tokens)
         .select(
             "doc_id",

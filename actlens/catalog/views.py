@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actlens.functions import text as tx
+from actlens.functions.binding import let
 from actlens.functions.hashing import int_hash
 from actlens.operators.sampling import position_sample, sampled_positions
+from actlens.session import spread
 from actlens.sources.manifest import dataset_id
 
 POSITIONS = 10
@@ -48,7 +50,7 @@ class Views:
         )
 
     def tokens(self) -> DataFrame:
-        return self.corpus().select(
+        return spread(self.corpus(), "doc_id").select(
             "doc_id", "doc_idx", "lang", "source", tx.tokenize(F.col("text")).alias("tokens")
         )
 
@@ -96,37 +98,43 @@ class Views:
 
     def completions(self) -> DataFrame:
         """Raw completer output per document."""
-        words = tx.tokenize(F.col("text"))
-        first, last = F.coalesce(F.get(words, 0), F.lit("")), F.try_element_at(words, F.lit(-1))
         length = F.length("text")
         kind = length % 10
-        raw = (
-            F.when(kind == 0, F.lit(None).cast("string"))
-            .when(kind == 1, F.lit("<analysis>\n1. cut off"))
-            .when(kind == 2, F.lit("<analysis>\nonly one feature\n</analysis>"))
-            .when(
-                kind == 3,
-                F.concat(
-                    F.lit("<analysis>\n1. **Topic:** "),
-                    first,
-                    F.lit(" text\n2) ends with "),
-                    F.coalesce(last, F.lit("")),
-                    F.lit("\n</analysis>"),
-                ),
-            )
-            .otherwise(
-                F.concat(
-                    F.lit("Sure.\n<analysis>\n- starts with "),
-                    first,
-                    F.lit("\n* has "),
-                    F.greatest(F.size(words), F.lit(1)).cast("string"),
-                    F.lit(" words\n(c) length "),
-                    length.cast("string"),
-                    F.lit("_\n</analysis>"),
+
+        def answer(words: Column) -> Column:
+            first = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
+            last = F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit(""))
+            return (
+                F.when(kind == 0, F.lit(None).cast("string"))
+                .when(kind == 1, F.lit("<analysis>\n1. cut off"))
+                .when(kind == 2, F.lit("<analysis>\nonly one feature\n</analysis>"))
+                .when(
+                    kind == 3,
+                    F.concat(
+                        F.lit("<analysis>\n1. **Topic:** "),
+                        first,
+                        F.lit(" text\n2) ends with "),
+                        last,
+                        F.lit("\n</analysis>"),
+                    ),
+                )
+                .otherwise(
+                    F.concat(
+                        F.lit("Sure.\n<analysis>\n- starts with "),
+                        first,
+                        F.lit("\n* has "),
+                        F.greatest(F.size(words), F.lit(1)).cast("string"),
+                        F.lit(" words\n(c) length "),
+                        length.cast("string"),
+                        F.lit("_\n</analysis>"),
+                    )
                 )
             )
+
+        raw = let(tx.tokenize(F.col("text")), answer)
+        return spread(self.table("documents"), "doc_id").select(
+            F.col("doc_id").alias("doc_idx"), "lang", raw.alias("raw")
         )
-        return self.table("documents").select(F.col("doc_id").alias("doc_idx"), "lang", raw.alias("raw"))
 
     def texts(self) -> DataFrame:
         """Documents as rows to explain."""
@@ -152,7 +160,7 @@ class Views:
     def prior(self, kind: str) -> DataFrame:
         """Training rows of an earlier run that left out documents with a mail address."""
         mail_free = self.corpus().where(~F.col("text").contains("@"))
-        tokens = mail_free.select("doc_id", tx.tokenize(F.col("text")).alias("tokens"))
+        tokens = spread(mail_free, "doc_id").select("doc_id", tx.tokenize(F.col("text")).alias("tokens"))
         rows = position_sample(tokens, POSITIONS, SEED)
         told = F.concat(F.lit("seen "), F.col("n_raw_tokens").cast("string"))
         keys = rows.select("doc_id", "n_raw_tokens", "detokenized_text_truncated", told.alias("_e"))

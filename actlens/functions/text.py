@@ -27,6 +27,15 @@ def prefix_text(tokens: Column, n: Column, special: list[str] | None = None) ->
     return F.array_join(head, " ")
 
 
+def first_words(joined: Column, n: Column) -> Column:
+    """First ``n`` tokens of a text whose tokens are joined by single spaces.
+
+    The same text as :func:`prefix_text`, found by scanning to the n-th space: a
+    document is joined once, not once for each of its sampled positions.
+    """
+    return F.call_function("substring_index", joined, F.lit(" "), n.cast("int"))
+
+
 def doc_key(corpus: str, split: str, idx: Column) -> Column:
     """Document id ``corpus:split:idx``."""
     return F.concat_ws(":", F.lit(corpus), F.lit(split), idx.cast("string"))
@@ -83,8 +92,7 @@ def unwrap_template(prompt: Column, template: str, field: str = "explanation") -
 
 def extract_tagged(raw: Column, pattern: str = fv.RESPONSE_PATTERN) -> Column:
     """First match of a one-group pattern, dot matching newlines; NULL on miss."""
-    dotall = f"(?s){pattern}"
-    return F.when(raw.rlike(dotall), F.regexp_extract(raw, dotall, 1))
+    return F.get(F.regexp_extract_all(raw, F.lit(f"(?s){pattern}"), F.lit(1)), F.lit(0))
 
 
 def clean_features(body: Column) -> Column:

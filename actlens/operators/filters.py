@@ -32,8 +32,8 @@ def checked_completion(df: DataFrame, col: str = "raw") -> DataFrame:
 
 def drop_failed_completion(df: DataFrame, col: str = "raw", pattern: str = fv.RESPONSE_PATTERN) -> DataFrame:
     """Rows with a completion that holds the tagged body; an empty completion is an error."""
-    body = text.extract_tagged(F.col(col), pattern)
-    return checked_completion(df, col).where(body.isNotNull())
+    raw = F.col(col)
+    return checked_completion(df.where(raw.rlike(f"(?s){pattern}") | (raw == "")), col)
 
 
 def completed_only(df: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def rank_between(
 
 
 def value_bins(
-    df: DataFrame, by: Sequence[str], value: Column, tie: str, splitters: int = 64
+    df: DataFrame, by: Sequence[str], value: Column, tie: str, splitters: int = 127
 ) -> DataFrame:
     """Add ``_key`` (value, tie) and ``_bin``: order-preserving bins inside each group.
 
@@ -165,8 +165,12 @@ def value_bins(
         .agg(F.sort_array(F.collect_list("_key")).alias("_split"))  # at most `splitters` keys
     )
     joined = keyed.join(sample, list(by))
+    # Binary search: the number of splitters below the key, in log2 steps.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(splitters.bit_length()))])
     below = F.aggregate(
-        "_split", F.lit(0), lambda n, s: n + F.when(s < F.col("_key"), 1).otherwise(0)
+        steps,
+        F.lit(0),
+        lambda p, s: p + F.when(F.get("_split", p + s - 1) < F.col("_key"), s).otherwise(0),
     )
     return joined.withColumn("_bin", below).drop("_split")
 
@@ -177,7 +181,7 @@ def rows_at_ranks(
     value: Column,
     tie: str,
     intervals: Callable[[Column], Column],
-    splitters: int = 64,
+    splitters: int = 127,
 ) -> DataFrame:
     """Rows of each group whose 0-based rank (ascending value, then tie) is asked for.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from actlens import fixed_values as fv
 from actlens.functions.binding import let
 from actlens.functions.hashing import key_hash, unit_hash
-from actlens.functions.text import prefix_text
+from actlens.functions.text import first_words, prefix_text
 from actlens.operators.ranking import before_cut, hash_order_key, rank_cuts
 
 
@@ -89,20 +89,21 @@ def position_sample(df: DataFrame, k: int, seed: int, **options) -> DataFrame:
     """One row per sampled position, with ``n_raw_tokens`` (1-based) and the text up to it."""
     special = list(options.get("special", ()))
     tokens = options.get("tokens", "tokens")
+    drawn = sampled_positions(df, k, seed, **options)
+    # What the text is cut from: the joined document, or its tokens where special
+    # ones have to be left out of each prefix.
+    drawn = drawn.withColumn("_doc", F.col(tokens) if special else F.array_join(tokens, " ")).drop(tokens)
+    n = F.col("position") + 1
     # The outer form keeps the planner from evaluating the positions twice, once
     # more in an inferred "array is not empty" filter.
-    exploded = (
-        sampled_positions(df, k, seed, **options)
-        .withColumn("position", F.explode_outer("positions"))
-        .where(F.col("position").isNotNull())
+    exploded = drawn.withColumn("position", F.explode_outer("positions")).where(
+        F.col("position").isNotNull()
     )
+    text = prefix_text(F.col("_doc"), n, special) if special else first_words(F.col("_doc"), n)
     return (
-        exploded.withColumn("n_raw_tokens", F.col("position") + 1)
-        .withColumn(
-            "detokenized_text_truncated",
-            prefix_text(F.col(tokens), F.col("n_raw_tokens"), special),
-        )
-        .drop("position", "positions", tokens)
+        exploded.withColumn("n_raw_tokens", n)
+        .withColumn("detokenized_text_truncated", text)
+        .drop("position", "positions", "_doc")
     )
 
 

@@ -24,6 +24,7 @@ from actlens.operators.ranking import rank_digits
 from actlens.operators.sampling import doc_split, sampled_positions
 from actlens.plans import build
 from actlens.plans.explain import INSTRUCTION, explain
+from actlens.session import spread
 from actlens.slots import Completer, Encoder, encode_positions
 from actlens.sources.corpus import corpus_slice
 from actlens.sources.manifest import (
@@ -137,12 +138,13 @@ def base_rows(docs: DataFrame, encoder: Encoder, k: int, seed: int, layer: int)
     encoded = encode_positions(sampled_positions(docs, k, seed), encoder, layer)
     pairs = F.arrays_zip(F.col("positions").alias("position"), F.col("vectors").alias("vector"))
     return (
-        encoded.withColumn("_s", F.explode_outer(pairs))
+        encoded.withColumn("_doc", F.array_join("tokens", " "))
+        .withColumn("_s", F.explode_outer(pairs))
         .where(F.col("_s.position").isNotNull())
         .withColumn("n_raw_tokens", F.col("_s.position") + 1)
         .select(
             "n_raw_tokens",
-            tx.prefix_text(F.col("tokens"), F.col("n_raw_tokens")).alias("detokenized_text_truncated"),
+            tx.first_words(F.col("_doc"), F.col("n_raw_tokens")).alias("detokenized_text_truncated"),
             F.col("_s.vector").alias("activation_vector"),
             F.lit(layer).cast("bigint").alias("activation_layer"),
             "doc_id",
@@ -195,7 +197,8 @@ class DatasetBuild:
     def sample(self) -> None:
         """Stage 0: sampled positions with vectors."""
         c = self.config
-        docs = corpus_slice(self.corpus, c.start, c.length).select(
+        chosen = corpus_slice(self.corpus, c.start, c.length)
+        docs = spread(chosen, "doc_idx").select(
             tx.doc_key(c.corpus, c.corpus_split, F.col("doc_idx")).alias("doc_id"),
             tx.tokenize(F.col("text")).alias("tokens"),
         )
