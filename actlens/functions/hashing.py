@@ -21,7 +21,9 @@ def int_hash(text: Column) -> Column:
 
     Eight bytes instead of a 64-character string through shuffles and sorts.
     """
-    return F.conv(F.substring(F.sha2(text, 256), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    number = F.conv(F.substring(F.sha2(text, 256), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    # Never NULL: the planner then adds no null check that would hash a second time.
+    return F.coalesce(number, F.lit(0).cast("bigint"))
 
 
 def key_hash(seed: int, *parts: Column | str) -> Column:

@@ -25,36 +25,40 @@ def row_shuffle(
     return global_rank(df, keys, seed, salt=dataset_id, digits=digits, out="shuffle_rank")
 
 
+def ring_digits(n_rows: int, per_ring: int = 4096) -> int:
+    """Most hex digits (0 to 5) that leave at least ``per_ring`` rows in a ring on average."""
+    digits = 0
+    while digits < 5 and n_rows >= per_ring * 16 ** (digits + 1):
+        digits += 1
+    return digits
+
+
 def vector_shuffle(
     df: DataFrame,
     keys: Sequence[str],
     seed: int,
     dataset_id: str,
     col: str = "activation_vector",
-    digits: int = 3,
+    n_rows: int | None = None,
+    per_ring: int = 4096,
 ) -> DataFrame:
-    """Permute one column only: each row takes the vector of its successor.
+    """Permute one column only: each row takes the value of its successor in a ring.
 
-    Rows stand in a ring in hashed order, so the permutation is one random cycle:
-    every vector is used once and no row keeps its own. The vector of a row's
-    successor is in the same hash bucket but for the last row of each bucket,
-    which takes the first vector of the next one (a table of one row per bucket).
+    The leading hash digits deal the rows into random rings of a few thousand
+    rows, in which they stand in hashed order. So every vector is used once, no
+    row keeps its own (unless it is alone), and the wide rows cross the network
+    once. The result depends on (seed, dataset_id, keys) and the number of rows,
+    which is counted unless given (a manifest holds it).
     """
+    digits = ring_digits(df.count() if n_rows is None else n_rows, per_ring)
     hashed = df.withColumn("_h", key_hash(seed, dataset_id, "activ", *[F.col(k) for k in keys]))
     hashed = hashed.withColumn("_b", hash_bucket(F.col("_h"), digits))
-    order = F.struct("_h", *keys)
-    firsts = hashed.groupBy("_b").agg(F.min_by(col, order).alias("_first"))
-    ring = W.partitionBy(F.lit(0)).orderBy("_b")  # at most 16**digits rows
-    nexts = firsts.select(
-        "_b",
-        F.coalesce(F.lead("_b").over(ring), F.min("_b").over(W.partitionBy(F.lit(0)))).alias("_to"),
+    ring = W.partitionBy("_b").orderBy("_h", *keys)
+    value = F.struct(F.col(col).alias("v"))
+    moved = hashed.withColumn(
+        "_next", F.coalesce(F.lead(value).over(ring), F.first(value).over(ring))
     )
-    heads = nexts.join(firsts.select(F.col("_b").alias("_to"), "_first"), "_to").drop("_to")
-    inside = W.partitionBy("_b").orderBy("_h", *keys)
-    following = F.lead(F.struct(F.col(col).alias("v"))).over(inside)
-    moved = hashed.withColumn("_next", following).join(heads, "_b")
-    taken = F.when(F.col("_next").isNull(), F.col("_first")).otherwise(F.col("_next.v"))
-    return moved.select(*[taken.alias(c) if c == col else F.col(c) for c in df.columns])
+    return moved.select(*[F.col("_next.v").alias(c) if c == col else F.col(c) for c in df.columns])
 
 
 def permute_join(

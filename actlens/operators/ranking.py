@@ -31,6 +31,8 @@ def rank_digits(n_rows: int, per_bucket: int = 1_000_000) -> int:
 
 def hash_bucket(hashed: Column, digits: int) -> Column:
     """Leading ``digits`` hex digits of a 60-bit hash."""
+    if digits == 0:
+        return F.lit(0)
     return F.shiftright(hashed, HASH_BITS - 4 * digits).cast("int")
 
 

@@ -45,10 +45,7 @@ def draw_without_replacement(n: Column, k: int, seed: int, key: Column) -> Colum
 
     Floyd's method: k hashes per row, whatever n is.
     """
-    size = n.cast("bigint")
-    steps = F.when(
-        size > 0, F.sequence(F.greatest(size - k, F.lit(0).cast("bigint")), size - 1)
-    ).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
 
     def step(chosen: Column, j: Column) -> Column:
         drawn = key_hash(seed, key, j) % (j + 1)
@@ -56,7 +53,12 @@ def draw_without_replacement(n: Column, k: int, seed: int, key: Column) -> Colum
             chosen, F.array(F.when(F.array_contains(chosen, drawn), j).otherwise(drawn))
         )
 
-    return F.aggregate(steps, F.array().cast("array<bigint>"), step)
+    def draw(size: Column) -> Column:
+        first = F.greatest(size - k, F.lit(0).cast("bigint"))
+        steps = F.when(size > 0, F.sequence(first, size - 1)).otherwise(none)
+        return F.aggregate(steps, none, step)
+
+    return let(n.cast("bigint"), draw)
 
 
 def sampled_positions(
