@@ -49,10 +49,16 @@ def strip(text: Column) -> Column:
 def template_parts(template: str, fields: set[str]) -> list[tuple[str, str | None]]:
     """Split a ``{field}`` template into (literal, field) pairs, checking its fields."""
     parts: list[tuple[str, str | None]] = []
+    pending = ""  # an escaped brace ends a literal early
     for literal, field, spec, conversion in string.Formatter().parse(template):
         if field is not None and (field not in fields or spec or conversion):
             raise ValueError(f"template has an unknown placeholder {{{field}}}")
-        parts.append((literal, field))
+        pending += literal
+        if field is not None:
+            parts.append((pending, field))
+            pending = ""
+    if pending:
+        parts.append((pending, None))
     missing = fields - {f for _, f in parts if f}
     if missing:
         raise ValueError(f"template lacks placeholder(s) {sorted(missing)}")
