@@ -8,21 +8,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from actlens.functions.hashing import key_hash
-from actlens.operators.ranking import global_rank, hash_bucket, running_sum
+from actlens.functions.hashing import HASH_BITS, key_hash
+from actlens.operators.ranking import bucket_offsets, global_rank, hash_bucket, running_sum
 
 KEYS = ("doc_id", "n_raw_tokens")
 
 
 def row_shuffle(
-    df: DataFrame, keys: Sequence[str], seed: int, dataset_id: str, digits: int = 3
+    df: DataFrame,
+    keys: Sequence[str],
+    seed: int,
+    dataset_id: str,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Seeded permutation of rows: adds ``shuffle_rank``, all columns move together.
 
-    Row order is not a property of a table, so the order is a column; the wide
-    rows cross the network once, to the task that ranks them.
+    Row order is not a property of a table, so the order is a column. The hash
+    range is cut into equal parts, one per output partition; wide rows cross the
+    network once and end up sorted, so files written from the result are in
+    shuffle order as well. ``partitions`` defaults to the session's shuffle
+    partitions and does not change the ranks.
     """
-    return global_rank(df, keys, seed, salt=dataset_id, digits=digits, out="shuffle_rank")
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = df.withColumn("_h", key_hash(seed, dataset_id, *[F.col(k) for k in keys]))
+    part = F.shiftright(F.shiftright("_h", 20) * F.lit(n), HASH_BITS - 20).cast("int")
+    hashed = hashed.withColumn("_b", part)
+    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = F.broadcast(bucket_offsets(counts, (), "_b").select("_b", "_off"))  # n rows
+    inside = W.partitionBy("_b").orderBy("_h", *keys)
+    return (
+        hashed.repartitionById(n, F.col("_b"))
+        .withColumn("_r", F.row_number().over(inside))
+        .join(offsets, "_b")
+        .withColumn("shuffle_rank", F.col("_off") + F.col("_r") - 1)
+        .drop("_h", "_b", "_r", "_off")
+    )
 
 
 def ring_digits(n_rows: int, per_ring: int = 4096) -> int:

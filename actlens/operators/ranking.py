@@ -36,7 +36,7 @@ def hash_bucket(hashed: Column, digits: int) -> Column:
     return F.shiftright(hashed, HASH_BITS - 4 * digits).cast("int")
 
 
-def _offsets(counts: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
+def bucket_offsets(counts: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
     """Rows before each bucket, from a table of at most 16**digits rows per group."""
     w = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     before = w.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
@@ -66,7 +66,7 @@ def global_rank(
     hashed = hashed.withColumn("_b", hash_bucket(F.col("_h"), digits))
     counts = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     # Bounded: 16**digits rows (per group), whatever the size of df.
-    offsets = _offsets(counts, group, "_b")
+    offsets = bucket_offsets(counts, group, "_b")
     if keep is not None:
         offsets = offsets.where(keep(F.col("_off"), F.col("_n")))
     inside = W.partitionBy(*group, "_b").orderBy("_h", *keys)
@@ -103,7 +103,7 @@ def rank_cuts(
     keyed = df.select(*keys, order.alias("_key"))
     keyed = keyed.withColumn("_b", hash_bucket(F.col("_key._h"), digits))
     counts = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = _offsets(counts, (), "_b")
+    offsets = bucket_offsets(counts, (), "_b")
     asked = F.array(
         *[F.struct(F.lit(i).alias("i"), r(F.col("_total")).alias("rank")) for i, r in enumerate(ranks)]
     )
@@ -194,7 +194,7 @@ def rows_at_ranks(
     binned = value_bins(df, by, value, tie, splitters)
     counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     targets = (
-        _offsets(counts, by, "_bin")
+        bucket_offsets(counts, by, "_bin")
         .withColumn("_t", F.explode(intervals(F.col("_total"))))
         .where((F.col("_t.lo") < F.col("_off") + F.col("_n")) & (F.col("_t.hi") > F.col("_off")))
         .groupBy(*by, "_bin", "_off", "_total")
@@ -248,7 +248,7 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> Data
     tallied = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
     binned = value_bins(tallied, by, F.col(value), value)
     totals = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_n"))
-    offsets = _offsets(totals, by, "_bin").drop("_n", "_total")
+    offsets = bucket_offsets(totals, by, "_bin").drop("_n", "_total")
     before = W.partitionBy(*by, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return (
         binned.withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0)))
@@ -275,7 +275,7 @@ def running_sum(
     """
     cut = df.withColumn("_v", value).withColumn("_c", F.floor(F.col(order) / F.lit(chunk)))
     totals = cut.groupBy(*by, "_c").agg(F.sum("_v").alias("_n"))
-    offsets = _offsets(totals, by, "_c").drop("_n", "_total")
+    offsets = bucket_offsets(totals, by, "_c").drop("_n", "_total")
     before = W.partitionBy(*by, "_c").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return (
         cut.withColumn("_s", F.coalesce(F.sum("_v").over(before), F.lit(0)))

@@ -20,7 +20,6 @@ from actlens import schemas
 from actlens.functions import text as tx
 from actlens.operators.batching import row_shuffle
 from actlens.operators.joins import KEYS, cache_source
-from actlens.operators.ranking import rank_digits
 from actlens.operators.sampling import doc_split, sampled_positions
 from actlens.plans import build
 from actlens.plans.explain import INSTRUCTION, explain
@@ -287,8 +286,7 @@ class DatasetBuild:
         c = self.config
         for table in TABLES:
             rows, manifest = self._read(table)
-            digits = rank_digits(manifest.row_count)
-            mixed = row_shuffle(rows, KEYS, c.shuffle_seed, manifest.dataset_id, digits)
+            mixed = row_shuffle(rows, KEYS, c.shuffle_seed, manifest.dataset_id)
             child = derive_manifest(
                 manifest,
                 dataset_id=f"{manifest.dataset_id}__shuf{c.shuffle_seed}",
@@ -298,4 +296,4 @@ class DatasetBuild:
                 schemas.stage_schema(table, c.keep_debug).fields
                 + [T.StructField("shuffle_rank", T.LongType())]
             )
-            write_dataset(mixed, c.path(f"{table}_shuf"), schema, child, order=["shuffle_rank"])
+            write_dataset(mixed, c.path(f"{table}_shuf"), schema, child)
