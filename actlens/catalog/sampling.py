@@ -58,7 +58,7 @@ def read_projected(v):
     "SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1",
 )
 def read_batched(v):
-    docs = src.read_batched(v.spark, f"{v.sf_dir}/documents.parquet", 64 << 20)
+    docs = src.read_batched(v.spark, f"{v.sf_dir}/documents.parquet", 128 << 20)
     return docs.groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars")
     )

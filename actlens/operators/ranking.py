@@ -147,26 +147,42 @@ def rank_between(
 # --- value order inside groups -------------------------------------------------
 
 
+# A group needs bins only when it is large: one row in 400 is drawn as a splitter
+# candidate, so a group of 50 000 rows is cut into about 128 bins and a group of a
+# few hundred into one or two.
+SPLITTER_RATE = 1 / 400
+SALTS = 32
+
+
 def value_bins(
-    df: DataFrame, by: Sequence[str], value: Column, tie: str, splitters: int = 127
+    df: DataFrame,
+    by: Sequence[str],
+    value: Column,
+    tie: str,
+    splitters: int = 127,
+    rate: float = SPLITTER_RATE,
 ) -> DataFrame:
     """Add ``_key`` (value, tie) and ``_bin``: order-preserving bins inside each group.
 
-    The splitters are the keys of the rows with the smallest hash, a uniform
-    sample that is the same on every run. They only decide how even the bins
-    are; ranks computed from them are exact.
+    The splitters are keys drawn by hash, the same on every run, at most
+    ``splitters`` per group. They only decide how even the bins are; ranks
+    computed from them are exact.
     """
     keyed = df.withColumn("_key", F.struct(value.alias("v"), F.col(tie).alias("t")))
-    drawn = W.partitionBy(*by).orderBy(key_hash(0, "splitters", F.col(tie)), tie)
-    # row_number <= k is planned with a per-task group limit before the exchange.
+    drawn = F.xxhash64(*by, F.lit("splitter"), tie)
+    smallest = W.partitionBy(*by).orderBy("_d", tie)
     sample = (
-        keyed.select(*by, tie, "_key")
-        .withColumn("_r", F.row_number().over(drawn))
+        keyed.select(*by, tie, "_key", drawn.alias("_d"))
+        .where(F.pmod("_d", F.lit(1 << 30)) < int(rate * (1 << 30)))
+        .withColumn("_r", F.row_number().over(smallest))
         .where(F.col("_r") <= splitters)
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list("_key")).alias("_split"))  # at most `splitters` keys
     )
-    joined = keyed.join(sample, list(by))
+    # A salt spreads a hot group over tasks; the copied side has few keys per group.
+    copies = sample.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(tie), F.lit(SALTS)).cast("int")
+    joined = keyed.withColumn("_salt", salt).join(copies, [*by, "_salt"], "left").drop("_salt")
     # Binary search: the number of splitters below the key, in log2 steps.
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(splitters.bit_length()))])
     below = F.aggregate(
@@ -174,7 +190,8 @@ def value_bins(
         F.lit(0),
         lambda p, s: p + F.when(F.get("_split", p + s - 1) < F.col("_key"), s).otherwise(0),
     )
-    return joined.withColumn("_bin", below).drop("_split")
+    binned = F.when(F.col("_split").isNull(), F.lit(0)).otherwise(below)
+    return joined.withColumn("_bin", binned).drop("_split")
 
 
 def rows_at_ranks(
@@ -184,6 +201,7 @@ def rows_at_ranks(
     tie: str,
     intervals: Callable[[Column], Column],
     splitters: int = 127,
+    rate: float = SPLITTER_RATE,
 ) -> DataFrame:
     """Rows of each group whose 0-based rank (ascending value, then tie) is asked for.
 
@@ -191,7 +209,7 @@ def rows_at_ranks(
     the result has one row per (row, interval) with ``rank``, ``group_rows`` and
     ``tag``. Bins that hold no asked rank are never sorted.
     """
-    binned = value_bins(df, by, value, tie, splitters)
+    binned = value_bins(df, by, value, tie, splitters, rate)
     counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     targets = (
         bucket_offsets(counts, by, "_bin")

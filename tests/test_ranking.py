@@ -56,8 +56,11 @@ def by_group(rows):
     return groups
 
 
-def test_exact_percentiles(rewards):
+@pytest.mark.parametrize("rate", [1.0, ranking.SPLITTER_RATE])
+def test_exact_percentiles(rewards, monkeypatch, rate):
     df, rows = rewards
+    original = ranking.value_bins
+    monkeypatch.setattr(ranking, "value_bins", lambda *a: original(*a[:5], rate))
     points = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
     got = ranking.exact_percentiles(df, ["rollout_id"], "reward", "sample_id", points)
     for r in got.collect():
@@ -74,6 +77,18 @@ def picks(sample, top, mid, bottom):
     return list(dict.fromkeys(lists))
 
 
+def test_bins_keep_the_order(rewards):
+    df, _ = rewards
+    rows = ranking.value_bins(
+        df.where("reward is not null"), ["rollout_id"], F.col("reward"), "sample_id", 40, 0.3
+    ).collect()
+    big = sorted((r for r in rows if r.rollout_id == 0), key=lambda r: (r.reward, r.sample_id))
+    bins = [r._bin for r in big]
+    assert bins == sorted(bins) and len(set(bins)) > 30
+    # The value shared by a third of the rows is cut as well.
+    assert len({r._bin for r in big if r.reward == -2.0}) > 5
+
+
 @pytest.mark.parametrize("sizes", [(6, 8, 6), (3, 0, 0), (0, 5, 2), (40, 40, 40), (1, 1, 0)])
 def test_best_mid_worst(rewards, sizes):
     df, rows = rewards
@@ -84,19 +99,19 @@ def test_best_mid_worst(rewards, sizes):
     assert got == {g: picks(s, *sizes) for g, s in by_group(rows).items()}
 
 
-def test_few_splitters_change_nothing(rewards):
+def test_splitters_change_nothing(rewards):
     df, _ = rewards
     asked = lambda n: F.array(F.struct(F.lit(0).alias("tag"), (n / 2).cast("bigint").alias("lo"), n.alias("hi")))
     sets = [
         {
             (r.rollout_id, r.sample_id, r["rank"])
             for r in ranking.rows_at_ranks(
-                df.where("reward is not null"), ["rollout_id"], F.col("reward"), "sample_id", asked, s
+                df.where("reward is not null"), ["rollout_id"], F.col("reward"), "sample_id", asked, s, rate
             ).collect()
         }
-        for s in (1, 5, 300)
+        for s, rate in ((1, 1.0), (5, 1.0), (300, 1.0), (127, 0.1), (127, 0.0))
     ]
-    assert sets[0] == sets[1] == sets[2]
+    assert all(s == sets[0] for s in sets[1:])
 
 
 def test_correlations(rewards):
