@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,7 +85,10 @@ def _batch_sums(batch, by: list[str], gold: str, pred: str | None, scale) -> pa.
         errors = ((_matrix(batch, pred, scale) - matrix) ** 2).mean(axis=1)
     if by:
         keys = batch.select(by)
-        codes = pd.MultiIndex.from_frame(keys.to_pandas()).factorize()[0]
+        codes = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in keys.columns:  # 0 stands for a NULL key
+            index = column.dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+            codes = codes * (index.max() + 1) + index
         order = np.argsort(codes, kind="stable")
         starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
         arrays = [keys.column(i).take(pa.array(order[starts])) for i in range(len(by))]

@@ -125,6 +125,21 @@ def test_grouped_fve_does_not_depend_on_batches(spark, pairs):
         assert np.isclose(r.fve, want) and r.n == (groups == r.grp).sum()
 
 
+def test_groups_with_null_keys(spark):
+    rows = [("a", 1, [1.0]), (None, 1, [2.0]), (None, None, [4.0]), ("a", None, [8.0]), (None, 1, [16.0])]
+    df = spark.createDataFrame(rows, "g string, h int, v array<float>").coalesce(1)
+    got = {(r.g, r.h): (r["mean"], r.n) for r in aggregates.mean_vector(df, "v", ["g", "h"]).collect()}
+    assert got == {("a", 1): (1, 1), (None, 1): (9, 2), (None, None): (4, 1), ("a", None): (8, 1)}
+    one = {r.g: r["mean"] for r in aggregates.mean_vector(df, "v", ["g"]).collect()}
+    assert one == {"a": 4.5, None: 22 / 3}
+
+
+def test_null_vectors_are_left_out(spark):
+    df = spark.createDataFrame([([1.0, 3.0],), (None,), ([3.0, 5.0],)], "v array<float>")
+    rows = aggregates.mean_vector(df, "v").orderBy("pos").collect()
+    assert [(r["mean"], r.n) for r in rows] == [(2, 2), (4, 2)]
+
+
 def test_baselines_with_zero_vectors(spark):
     vectors_ = [[0.0, 0.0], [3.0, 0.0], [0.0, 5.0], [-1.0, 0.0]]
     df = spark.createDataFrame([(v,) for v in vectors_], "v array<float>")
