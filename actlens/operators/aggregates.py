@@ -88,7 +88,7 @@ def _batch_sums(batch, by: list[str], gold: str, pred: str | None, scale) -> pa.
         codes = np.zeros(batch.num_rows, dtype=np.int64)
         for column in keys.columns:  # 0 stands for a NULL key
             index = column.dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) + 1
-            codes = codes * (index.max() + 1) + index
+            codes = np.unique(codes * (index.max() + 1) + index, return_inverse=True)[1]
         order = np.argsort(codes, kind="stable")
         starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
         arrays = [keys.column(i).take(pa.array(order[starts])) for i in range(len(by))]
