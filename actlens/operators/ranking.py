@@ -183,15 +183,14 @@ def value_bins(
     copies = sample.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(tie), F.lit(SALTS)).cast("int")
     joined = keyed.withColumn("_salt", salt).join(copies, [*by, "_salt"], "left").drop("_salt")
-    # Binary search: the number of splitters below the key, in log2 steps.
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(splitters.bit_length()))])
-    below = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda p, s: p + F.when(F.get("_split", p + s - 1) < F.col("_key"), s).otherwise(0),
-    )
-    binned = F.when(F.col("_split").isNull(), F.lit(0)).otherwise(below)
-    return joined.withColumn("_bin", binned).drop("_split")
+    # Binary search for the number of splitters below the key, one projection per
+    # step: plain compiled code, where an array lambda would be interpreted.
+    found = joined.withColumn("_bin", F.lit(0))
+    for bit in reversed(range(splitters.bit_length())):
+        step = 1 << bit
+        above = F.get("_split", F.col("_bin") + (step - 1)) < F.col("_key")
+        found = found.withColumn("_bin", F.col("_bin") + F.when(above, step).otherwise(0))
+    return found.drop("_split")
 
 
 def rows_at_ranks(
