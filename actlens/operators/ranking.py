@@ -179,10 +179,12 @@ def value_bins(
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list("_key")).alias("_split"))  # at most `splitters` keys
     )
-    # A salt spreads a hot group over tasks; the copied side has few keys per group.
+    # A salt spreads a hot group over tasks; the copied side has few keys per group,
+    # so it is hashed and the large side need not be sorted.
     copies = sample.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64(tie), F.lit(SALTS)).cast("int")
-    joined = keyed.withColumn("_salt", salt).join(copies, [*by, "_salt"], "left").drop("_salt")
+    small = copies.hint("shuffle_hash")
+    joined = keyed.withColumn("_salt", salt).join(small, [*by, "_salt"], "left").drop("_salt")
     # Binary search for the number of splitters below the key, one projection per
     # step: plain compiled code, where an array lambda would be interpreted.
     found = joined.withColumn("_bin", F.lit(0))
