@@ -4,9 +4,9 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from actlens.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
