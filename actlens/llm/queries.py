@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import content_sort, curriculum, sharding
+from actlens.llm import chat, content_sort, curriculum, packing, rule_ensemble, sharding
 from actlens.llm.common import session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,27 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with the row that stays of its equal texts."""
     rows = content_sort.content_sort(table(spark, sf_dir, "documents"))
     return rows.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op7_rule_ensemble")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text by a sparse rule ensemble."""
+    scored = rule_ensemble.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@query("op8_swap_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in a sequence of 2048 tokens."""
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
+
+
+SAID = "</s>[INST] ok [/INST]"
+
+
+@query("op9_chat_masks")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted conversations and their loss masks give back."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)], given.schema)
+    return chat.chat_digest(chat.chat_examples(given.unionByName(more)))
