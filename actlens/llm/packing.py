@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,8 +30,8 @@ TOKENIZER = "word_bpe_49k.json"
 # Pieces per bundle: what one task packs at a time. A bundle wastes about one bin,
 # which is 0.03 % of a few thousand.
 BUNDLE = 8192
-# Words whose ids a worker remembers.
-MEMORY = 300_000
+# Words whose ids a worker remembers, across tasks.
+MEMORY = 1_000_000
 
 
 class WordIds:
@@ -49,20 +51,34 @@ class WordIds:
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = memory
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [p for p in set(parts) if p not in known]
+        raw = text.encode()
+        if b"<|" not in raw:  # else the case of a control token would change
+            raw = raw.lower()  # A-Z, which the tokenizer lower-cases itself
+        parts = raw.replace(b"\n", b" ").split(b" ")
+        new = {p for p in set(parts) if p not in self.known}
         if new:
-            if len(known) + len(new) > self.memory:
-                known.clear()
-                new = list(set(parts))
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            for part, encoded in zip(new, found):
-                known[part] = np.array(encoded.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+            self.learn(new if len(self.known) + len(new) <= self.memory else set(parts))
+        return b"".join(map(self.known.__getitem__, parts))
+
+    def learn(self, parts: set[bytes]) -> None:
+        if len(self.known) + len(parts) > self.memory:
+            self.known = {b"": b""}
+        # A final point or comma after a letter is a token of its own.
+        stems = {p: p[:-1] if p[-1:] in (b".", b",") and p[-2:-1].isalpha() else p for p in parts}
+        needed = {*stems.values(), *(p[-1:] for p, stem in stems.items() if stem != p)}
+        new = [p for p in needed if p not in self.known]
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        self.known |= {part: array("I", encoded.ids).tobytes() for part, encoded in zip(new, found)}
+        self.known |= {p: self.known[stem] + self.known[p[-1:]] for p, stem in stems.items() if stem != p}
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str | None) -> WordIds:
+    """One per worker process and tokenizer file."""
+    return WordIds(path)
 
 
 def token_pieces(
@@ -85,7 +101,7 @@ def token_pieces(
     closing = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer)
+        ids_of = word_ids(tokenizer)
         for batch in batches:
             owner, places, starts, lengths, sums, ids = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
