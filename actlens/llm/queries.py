@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import chat, content_sort, curriculum, packing, rule_ensemble, sharding
+from actlens.llm import bilinear, chat, content_sort, curriculum, packing, rule_ensemble, sharding
 from actlens.llm.common import session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", SAID), (-1, 1, "assistant", SAID)], given.schema)
     return chat.chat_digest(chat.chat_examples(given.unionByName(more)))
+
+
+@query("op10_bilinear_scores")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear log10 probabilities of every text."""
+    return bilinear.score_texts(table(spark, sf_dir, "documents"))
