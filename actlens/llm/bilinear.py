@@ -175,12 +175,15 @@ def count_tokens(rows: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame, outcomes: int = OUTCOMES, dictionary: int = DICTIONARY) -> Vocabulary:
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    # A fixed number of rows, whatever the corpus.
-    top = counts.orderBy(F.desc("n"), "word").limit(dictionary).toArrow()
-    words = top.column("word").to_pylist()
-    return Vocabulary(
-        words, top.column("n").to_numpy().astype(np.int64), min(outcomes, len(words) + 1), sums["n"] or 0, sums["v"]
-    )
+    # Counts in steps of a sixteenth of a doubling: under 1024 rows. The dictionary takes
+    # whole steps from the top while they fit, so no task has to rank all words.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    fits = [row["step"] for row, total in zip(steps, np.cumsum([r["count"] for r in steps])) if total <= dictionary]
+    top = counts.where(step >= (fits[-1] if fits else 1 << 30)).toArrow()  # `dictionary` rows at most
+    ranked = sorted(zip(top.column("n").to_pylist(), top.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
+    words, n = [w for _, w in ranked], np.array([n for n, _ in ranked], np.int64)
+    return Vocabulary(words, n, min(outcomes, len(words) + 1), sums["n"] or 0, sums["v"])
 
 
 class Reader:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import bilinear, chat, content_sort, curriculum, packing, rule_ensemble, sharding
+from actlens.llm import bilinear, chat, content_sort, curriculum, packing, parity_join, rule_ensemble, sharding
 from actlens.llm.common import session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and log-bilinear log10 probabilities of every text."""
     return bilinear.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op1_parity_join")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    found = parity_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
