@@ -165,15 +165,16 @@ def training_order(mixed: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix, a copy per pass, with the columns of ``docs``, in training order."""
-    plan = curriculum(docs, text, id, **options).where("passes > 0")
-    # Repeated rows are equal in id and text; each takes the passes of one of them.
-    order = W.partitionBy("id", "text_hash").orderBy(F.col("passes").desc())
-    plan = plan.select(
-        F.struct("id", "text_hash", F.row_number().over(order).alias("nth")).alias("key"), "times"
+    """The documents of the mix, a copy per pass, with the columns of ``docs``, in training order.
+
+    Repeated rows (equal in id and text) all take the passes of one of them.
+    """
+    plan = (
+        curriculum(docs, text, id, **options)
+        .where("passes > 0")
+        .select(F.col("id").alias("p_id"), F.col("text_hash").alias("p_hash"), "times")
+        .dropDuplicates(["p_id", "p_hash"])
     )
-    rows = packed(docs).withColumn("id", F.col(f"row.{id}")).withColumn("text_hash", F.xxhash64(f"row.{text}"))
-    nth = F.row_number().over(W.partitionBy("id", "text_hash").orderBy("id"))
-    keyed = rows.select("row", F.struct("id", "text_hash", nth.alias("nth")).alias("key"))
-    joined = keyed.join(plan, keyed.key.eqNullSafe(plan.key)).select("row", F.explode("times").alias("time"))
-    return joined.orderBy("time", F.col(f"row.{id}")).select("row.*")
+    same = F.col(f"row.{id}").eqNullSafe(F.col("p_id")) & (F.xxhash64(f"row.{text}") == F.col("p_hash"))
+    copies = packed(docs).join(plan, same).select("row", F.explode("times").alias("time"))
+    return copies.orderBy("time", F.col(f"row.{id}")).select("row.*")

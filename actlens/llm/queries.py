@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import bilinear, chat, content_sort, curriculum, packing, parity_join, rule_ensemble, sharding
+from actlens.llm import ann, bilinear, chat, content_sort, curriculum, packing, parity_join, rule_ensemble, sharding, suffix_windows
 from actlens.llm.common import session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     found = parity_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op2_suffix_windows")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without repeated 200-byte strings."""
+    found = suffix_windows.repeated_bytes(table(spark, sf_dir, "documents"))
+    return suffix_windows.kept_texts(found).drop("kept")
+
+
+@query("op6_sharded_graphs")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
