@@ -8,6 +8,7 @@ a corpus needs no model object and no Python beyond the statistics.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from actlens.session import materialize
 
 # The only bound on what the classifier learns from: this many labelled rows, drawn
 # by a hash of the id.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -105,15 +106,16 @@ def tree_paths(
 def lasso_logistic(a: np.ndarray, y: np.ndarray, penalty: float, steps: int) -> tuple[float, np.ndarray]:
     """Constant and weights that minimise mean log loss + penalty * |weights|, by accelerated proximal steps."""
     n, k = a.shape
-    with_one = np.column_stack([np.ones(n), a])
-    step = 4 * n / max(np.linalg.norm(with_one.T @ with_one, 2), 1e-9)
+    with_one = np.ones((n, k + 1), np.float32)  # the only large array
+    with_one[:, 1:] = a
+    step = 4 * n / max(np.linalg.norm((with_one.T @ with_one).astype(float), 2), 1e-9)
     w = np.zeros(k + 1)
     rate = (y.sum() + 1) / (n + 2)
     w[0] = np.log(rate / (1 - rate))
     ahead, t = w.copy(), 1.0
     for _ in range(steps):
-        error = 1 / (1 + np.exp(-(with_one @ ahead))) - y
-        new = ahead - step * (with_one.T @ error) / n
+        error = 1 / (1 + np.exp(-(with_one @ ahead.astype(np.float32)).astype(float))) - y
+        new = ahead - step * (with_one.T @ error.astype(np.float32)).astype(float) / n
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, w, t = new + (t - 1) / t_new * (new - w), new, t_new
@@ -154,7 +156,7 @@ def fit_rules(
         step = np.zeros(len(y))
         for path in paths:
             rows = np.logical_and.reduce([c.holds(x) for c in path])
-            found.setdefault(rows.tobytes(), (path, rows))
+            found.setdefault(hashlib.sha1(rows.tobytes()).digest(), (path, rows))
             if len(path) == depth:
                 p = 1 / (1 + np.exp(-margin[rows]))
                 step[rows] = pull[rows].sum() / max((p * (1 - p)).sum(), 1e-3)
@@ -162,8 +164,7 @@ def fit_rules(
     kept = [(path, rows) for path, rows in found.values() if least <= rows.sum() <= len(y) - least]
     if not kept:
         return RuleModel(start, [], tuple(features))
-    a = np.column_stack([rows for _, rows in kept]).astype(float)
-    constant, weights = lasso_logistic(a, y, penalty, steps)
+    constant, weights = lasso_logistic(np.column_stack([rows for _, rows in kept]), y, penalty, steps)
     rules = [(path, float(w)) for (path, _), w in zip(kept, weights) if w != 0]
     return RuleModel(constant, rules, tuple(features))
 
@@ -184,9 +185,10 @@ def learn(scored: DataFrame, labels: DataFrame, label: str = "quality", id: str
         .orderBy("draw", "id")
         .limit(sample_rows)
         .drop("draw", "id")
-        .toPandas()
+        .toArrow()
     )
-    return fit_rules(rows[list(STATS)].to_numpy(float), rows["label"].to_numpy(float), **options)
+    columns = [rows.column(name).to_numpy() for name in (*STATS, "label")]
+    return fit_rules(np.column_stack(columns[:-1]), columns[-1], **options)
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
