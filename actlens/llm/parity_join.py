@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actlens.llm.common import packed, whole
@@ -223,6 +223,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
+def _may_link(per_cent: int) -> Column:
+    """Whether sizes and parity bits of ``l`` and ``r`` allow a link: both bound the difference from below."""
+    differ = F.expr(" + ".join(f"bit_count(l.bits[{i}] ^ r.bits[{i}])" for i in range(BITS // 64)))
+    return (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * per_cent) & (
+        differ * (100 + per_cent) <= (F.col("l.n") + F.col("r.n")) * (100 - per_cent)
+    )
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = WIDTH, per_cent: int = PER_CENT
 ) -> DataFrame:
@@ -262,28 +270,28 @@ def near_duplicates(
     )
     sets = materialize(_token_sets(rows, owner, width), "sets")
 
+    about = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_verified(stars, sets, per_cent), "star-links")
+    # Sizes and parity bits are compared first, so that only sets that may link are moved.
+    likely = (
+        stars.join(about.select(F.col("node").alias("b"), F.struct("n", "bits").alias("r")), "b")
+        .join(about.select(F.col("node").alias("a"), F.struct("n", "bits").alias("l")), "a")
+        .where(_may_link(per_cent))
+        .select("a", "b")
+    )
+    links = materialize(_verified(likely, sets, per_cent), "star-links")
     reached = components(links)
 
     # What the hubs left apart.
     found = shared.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = found.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    words = [f"bits[{i}]" for i in range(BITS // 64)]
-    about = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     rest = materialize(
         found.join(apart.select("key"), "key", "left_semi").where("node <> hub").join(about, "node"), "apart"
     )
     left, right = rest.alias("l"), rest.alias("r")
-    differ = F.expr(" + ".join(f"bit_count(l.{w} ^ r.{w})" for w in words))
-    may_link = (
-        (F.col("l.node") < F.col("r.node"))
-        & (F.col("l.component") != F.col("r.component"))
-        & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * per_cent)
-        & (differ * (100 + per_cent) <= (F.col("l.n") + F.col("r.n")) * (100 - per_cent))
-    )
+    apart_yet = (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
     pairs = (
-        left.join(right, (F.col("l.key") == F.col("r.key")) & may_link)
+        left.join(right, (F.col("l.key") == F.col("r.key")) & apart_yet & _may_link(per_cent))
         .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         .distinct()
     )
