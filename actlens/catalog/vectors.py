@@ -145,15 +145,6 @@ def fve_baselines_raw(v):
     return _rounded(aggregates.fve_baselines(v.vectors(), "v", None), 4)
 
 
-@query(
-    "fve_baselines_capped",
-    f"SELECT n, round(meannorm, 6) AS meannorm, round(rawvar, 6) AS rawvar FROM ({_BASELINES})",
-)
-def fve_baselines_capped(v):
-    """The default cap of 50 000 rows lies past the table, so the cap changes nothing here."""
-    return _rounded(aggregates.fve_baselines_capped(v.vectors(), "v", ["vec_id"]))
-
-
 def _rounded(df, digits: int = 6):
     return df.select(
         "n",

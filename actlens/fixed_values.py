@@ -33,7 +33,6 @@ MIN_POSITION = 50
 MIN_FEATURES = 2
 MIN_MATCH_RATE = 0.95
 ROW_GROUP_ROWS = 65536
-BASELINE_CAP = 50_000
 NORM_FLOOR = 1e-12
 MSE_FLOOR = 1e-8
 FAILED_REWARD = -2.0

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from actlens import fixed_values as fv
 from actlens.functions import text, vectors
-from actlens.operators.ranking import exact_percentiles, rank_between
+from actlens.operators.ranking import exact_percentiles
 from actlens.session import materialize
 
 PERCENTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
@@ -152,18 +152,6 @@ def fve_baselines(
     return moments.select(*by, "n", meannorm.alias("meannorm"), rawvar.alias("rawvar"))
 
 
-def fve_baselines_capped(
-    df: DataFrame,
-    col: str,
-    keys: Sequence[str],
-    scale: float | str | None = vectors.SQRT_D,
-    cap: int = fv.BASELINE_CAP,
-    seed: int = 0,
-) -> DataFrame:
-    """:func:`fve_baselines` over the first ``cap`` rows in hashed key order."""
-    return fve_baselines(rank_between(df, keys, seed, 0, cap, "baseline"), col, scale)
-
-
 def fve(
     df: DataFrame,
     pred: str,

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from actlens.functions.binding import let
+from actlens.session import materialize
 
 _AGREED = ("base_model", "layer_index", "d_model", "norm", "corpus", "positions_per_doc")
 _TRAINING = ("av_sft", "ar_sft", "rl")
@@ -127,23 +128,29 @@ def manifest_validate(manifests: DataFrame) -> DataFrame:
     return manifests.select("dataset_id", F.explode(F.array_compact(rules)).alias("problem"))
 
 
-def lineage(manifests: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(dataset_id, ancestor, depth): parents, their parents and so on.
+def lineage(manifests: DataFrame) -> DataFrame:
+    """(dataset_id, ancestor, depth): parents, their parents and so on, to the end.
 
-    A build has about six stages, so the walk is a few joins of small tables.
+    Each step keeps only pairs that no shorter way has found, so the walk ends where
+    nothing new appears. A dataset that is its own ancestor is an error. Manifests are
+    few; a step is a join of small stored tables.
     """
-    edges = manifests.select("dataset_id", F.explode("parent_datasets").alias("ancestor")).distinct()
-    step = edges.withColumn("depth", F.lit(1))
-    found = step
+    edges = materialize(manifests.select("dataset_id", F.explode("parent_datasets").alias("ancestor")).distinct(), "lineage")
     parents = edges.select(F.col("dataset_id").alias("ancestor"), F.col("ancestor").alias("_up"))
-    for depth in range(2, max_depth + 1):
-        step = (
+    found = step = edges.withColumn("depth", F.lit(1))
+    depth = 1
+    while not step.isEmpty():
+        if not step.where("dataset_id = ancestor").isEmpty():
+            raise ValueError("a dataset is its own ancestor")
+        depth += 1
+        further = (
             step.join(parents, "ancestor")
             .select("dataset_id", F.col("_up").alias("ancestor"), F.lit(depth).alias("depth"))
             .distinct()
         )
+        step = materialize(further.join(found, ["dataset_id", "ancestor"], "left_anti"), "lineage")
         found = found.unionByName(step)
-    return found.groupBy("dataset_id", "ancestor").agg(F.min("depth").alias("depth"))
+    return found
 
 
 def drift_check(df: DataFrame, manifests: DataFrame, ids: str = "ids") -> DataFrame:

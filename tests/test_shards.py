@@ -104,6 +104,15 @@ def test_lineage(spark):
     assert len(got) == 1 * 4 + 3 + 2 + 4
 
 
+def test_lineage_has_no_depth_limit(spark):
+    schema = "dataset_id string, parent_datasets array<string>"
+    chain = [(f"d{i}", [f"d{i + 1}"]) for i in range(10)]
+    rows = shards.lineage(spark.createDataFrame(chain, schema)).collect()
+    assert len(rows) == 55 and max(r.depth for r in rows) == 10
+    with pytest.raises(ValueError):
+        shards.lineage(spark.createDataFrame([("a", ["b"]), ("b", ["a"])], schema))
+
+
 def test_guards(spark):
     df = spark.range(1).withColumn("api_explanation", F.lit("e"))
     build.stage_guards(make(), df, "av_sft")

@@ -158,13 +158,6 @@ def test_mean_vector(pairs):
     assert np.allclose([r["mean"] for r in rows], gold.mean(axis=0))
 
 
-def test_capped_baselines_take_the_first_rows_in_hash_order(pairs):
-    df, _, _ = pairs
-    a = aggregates.fve_baselines_capped(df, "gold", ["id"], cap=50).first()
-    b = aggregates.fve_baselines_capped(df.repartition(11), "gold", ["id"], cap=50).first()
-    assert a.n == 50 and np.isclose(a.rawvar, b.rawvar)
-
-
 def test_norm_stats(pairs):
     df, _, gold = pairs
     row = aggregates.norm_stats(df, "gold", "id").first()
