@@ -9,6 +9,7 @@ a corpus needs no model object and no Python beyond the statistics.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,17 +53,31 @@ class RuleModel:
         return 1 / (1 + np.exp(-total))
 
     def column(self, stats: str) -> Column:
-        """The score as an expression over the struct column ``stats``."""
-        total = F.lit(float(self.constant))
-        for conditions, weight in self.rules:
-            holds = F.lit(True)
-            for c in conditions:
-                value = F.col(f"{stats}.{self.features[c.feature]}")
-                holds &= (value <= c.threshold) if c.below else (value > c.threshold)
-            total += F.when(holds, float(weight)).otherwise(0.0)
+        """The score as an expression over the struct column ``stats``.
+
+        The rules are one constant array that is folded when the query is planned, so the
+        expression has the same few nodes for any number of rules; a sum with a CASE per
+        rule outgrows the 64 KB of a generated method.
+        """
+        if not self.rules:
+            return F.lit(1.0 / (1.0 + math.exp(-self.constant)))
+        rules = ", ".join(
+            f"struct({weight!r}D AS weight, array({', '.join(map(_condition_sql, conditions))}) AS conditions)"
+            for conditions, weight in ((c, float(w)) for c, w in self.rules)
+        )
+        values = ", ".join(f"{stats}.{name}" for name in self.features)
+        # The values are bound to a name first, or they would be gathered again for every condition.
+        total = F.expr(
+            f"transform(array(array({values})), v -> aggregate(array({rules}), {float(self.constant)!r}D, (total, rule) -> "
+            "total + IF(forall(rule.conditions, c -> (v[c.feature] <= c.threshold) = c.below), rule.weight, 0D)))[0]"
+        )
         return 1.0 / (1.0 + F.exp(-total))
 
 
+def _condition_sql(c: Condition) -> str:
+    return f"struct({int(c.feature)} AS feature, {float(c.threshold)!r}D AS threshold, {str(bool(c.below)).lower()} AS below)"
+
+
 def tree_paths(
     x: np.ndarray, binned: np.ndarray, edges: list[np.ndarray], pull: np.ndarray, depth: int, least: int
 ) -> tuple[list[tuple[Condition, ...]], np.ndarray]:
