@@ -279,8 +279,22 @@ def near_duplicates(
         .where(_may_link(per_cent))
         .select("a", "b")
     )
-    links = materialize(_verified(likely, sets, per_cent), "star-links")
-    reached = components(links)
+    likely = materialize(likely, "likely")
+    # One hub per node joins most of a group, so the other hubs' pairs need no sets moved.
+    nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = materialize(_verified(nearest, sets, per_cent), "first-links")
+    joined = components(first)
+    of_a = joined.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    of_b = joined.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    others = (
+        likely.join(nearest, ["a", "b"], "left_anti")
+        .join(of_a, "a", "left")
+        .join(of_b, "b", "left")
+        .where(F.coalesce("x", "a") != F.coalesce("y", "b"))
+        .select("a", "b")
+    )
+    second = materialize(_verified(materialize(others, "other-stars"), sets, per_cent), "star-links")
+    reached = components(first.unionByName(second))
 
     # What the hubs left apart.
     found = shared.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -327,9 +341,10 @@ def _token_sets(rows: DataFrame, owner: DataFrame, width: int) -> DataFrame:
             sets = [_signed(s) for s in _sets(batch, width)]
             yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "tokens": _lists(sets)})
 
-    same = F.col("t.text_hash").eqNullSafe(F.col("o.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id"))
-    texts = rows.alias("t").join(owner.alias("o"), same).select("o.node", "t.text")
-    return texts.mapInArrow(tokens, "node long, tokens array<long>").dropDuplicates(["node"])
+    # Repeated rows are dropped while they are texts, in the partitions that the join made.
+    at = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text_hash").alias("at")
+    texts = rows.select(at, "text").join(owner.select(at, "node"), "at").dropDuplicates(["at"])
+    return texts.select("node", "text").mapInArrow(tokens, "node long, tokens array<long>")
 
 
 def representatives(docs: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
