@@ -24,7 +24,7 @@ from actlens.session import materialize
 # Two sets link when PER_CENT * union <= 100 * intersection.
 PER_CENT = 85
 WIDTH = 4
-BITS = 512
+WORD_BITS = 64
 SEEN = 1_000_000
 
 
@@ -95,8 +95,12 @@ def block_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch_bits(tokens: np.ndarray) -> np.ndarray:
-    """The set as BITS parity bits in signed 64-bit words: each token flips one bit."""
-    counts = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+    """The set as parity bits in signed 64-bit words: each token flips one bit.
+
+    A sketch has the power of two next to the size of its set in bits, so sets of any size fill about as much of it.
+    """
+    bits = max(WORD_BITS, 1 << (len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
@@ -224,8 +228,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
 
 def _may_link(per_cent: int) -> Column:
-    """Whether sizes and parity bits of ``l`` and ``r`` allow a link: both bound the difference from below."""
-    differ = F.expr(" + ".join(f"bit_count(l.bits[{i}] ^ r.bits[{i}])" for i in range(BITS // 64)))
+    """Whether sizes and parity bits of ``l`` and ``r`` allow a link: both bound the difference from below.
+
+    The longer sketch is folded to the shorter: words a whole length apart are XOR-ed.
+    """
+    total = "aggregate(zip_with({}, {}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    shorter = "least(size(l.bits), size(r.bits))"
+    folded = "transform(sequence(0, {m} - 1), i -> aggregate(sequence(i, size({x}) - 1, {m}), 0L, (s, j) -> s ^ {x}[j]))"
+    same, other = ("l.bits", "r.bits"), [folded.format(x=x, m=shorter) for x in ("l.bits", "r.bits")]
+    differ = F.expr(f"if(size(l.bits) = size(r.bits), {total.format(*same)}, {total.format(*other)})")
     return (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * per_cent) & (
         differ * (100 + per_cent) <= (F.col("l.n") + F.col("r.n")) * (100 - per_cent)
     )
@@ -261,14 +272,16 @@ def near_duplicates(
     signed = materialize(_signatures(rows, kind, width), "signatures")
     shared = materialize(_shared(_block_rows(rows, width, bands)), "shared-blocks")
 
-    # Whole sets of the nodes that share a block, from one row of each node.
-    owner = (
-        signed.join(shared.select("node").distinct(), "node", "left_semi")
-        .groupBy("node")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("of"))
-        .select("node", F.coalesce("of.doc_id", F.lit(None)).alias("doc_id"), "of.text_hash")
-    )
-    sets = materialize(_token_sets(rows, owner, width), "sets")
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        """Whole sets of the nodes of ``pairs``, from one row of each node."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        owner = (
+            signed.join(wanted, "node", "left_semi")
+            .groupBy("node")
+            .agg(F.min(F.struct("doc_id", "text_hash")).alias("of"))
+            .select("node", "of.doc_id", "of.text_hash")
+        )
+        return materialize(_token_sets(rows, owner, width), name)
 
     about = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -280,6 +293,7 @@ def near_duplicates(
         .select("a", "b")
     )
     likely = materialize(likely, "likely")
+    sets = sets_of(likely, "sets")
     # One hub per node joins most of a group, so the other hubs' pairs need no sets moved.
     nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     first = materialize(_verified(nearest, sets, per_cent), "first-links")
@@ -309,7 +323,8 @@ def near_duplicates(
         .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
         .distinct()
     )
-    more = _verified(pairs, sets, per_cent)
+    pairs = materialize(pairs, "apart-pairs")
+    more = _verified(pairs, sets_of(pairs, "apart-sets"), per_cent)
     star = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(star.unionByName(more))
 
