@@ -187,7 +187,7 @@ def reward_stream_query(v):
     samples = v.rollouts().withColumn("vec_id", F.col("sample_id") % n)
     vectors = embeddings.select("vec_id", F.col("embedding").alias("activation_vector"))
     incoming = samples.join(vectors, "vec_id").drop("reward", "vec_id")
-    incoming.repartition(4).write.parquet(src)
+    incoming.repartition("sample_id").write.parquet(src)
     schema = v.spark.read.parquet(src).schema
     stream = reward_stream(
         v.spark,

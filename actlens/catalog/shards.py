@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from actlens.catalog.registry import query
 from actlens.catalog.views import LAYER, MODEL
 from actlens.operators import joins, shards
-from actlens.schemas import MANIFEST
 from actlens.session import scratch_path
 from actlens.sources import manifest as mf
 
@@ -100,9 +99,9 @@ def complete_shards(v):
 def manifest_write(v):
     """Manifests of all shards stored as JSON and read with the fixed schema."""
     path = scratch_path(v.spark, "manifests")
-    v.shards().write.json(path)
+    mf.write_manifests(v.shards(), path)
     extraction = F.col("extraction")
-    return v.spark.read.schema(MANIFEST).json(path).select(
+    return mf.read_manifests(v.spark, path).select(
         "dataset_id",
         "stage",
         "row_count",
@@ -134,12 +133,20 @@ _DERIVED = ", ".join(["('av_sft')", "('ar_sft')", "('rl')"])
 )
 def derive_manifest(v):
     """Ids along the chain split, build, shuffle for every shard of the whole run."""
-    rows = v.shards().where(F.col("run") == "whole").select(F.col("dataset_id").alias("parent"))
-    stages = F.array(*[F.lit(s) for s in ("av_sft", "ar_sft", "rl")])
-    rows = rows.withColumn("stage", F.explode(stages))
-    raw = F.concat("parent", F.lit("__"), "stage", F.lit("_raw"))
-    final = F.concat("stage", F.lit("_"), F.regexp_replace(raw, "^base_", ""), F.lit("__shuf42"))
-    return rows.select(raw.alias("dataset_id"), final.alias("final_id"), "parent")
+    rows = v.shards().where(F.col("run") == "whole")
+    for_stage = rows.withColumn("bucket", F.explode(F.array(*map(F.lit, mf.TRAINING_STAGES))))
+    split = mf.derive_manifests(for_stage, F.concat("dataset_id", F.lit("__"), "bucket", F.lit("_raw")))
+    name = F.concat("bucket", F.lit("_"), F.regexp_replace("dataset_id", "^base_", ""))
+    built = mf.derive_manifests(split, name, stage=F.col("bucket"))
+    shuffled = mf.derive_manifests(built, F.concat("dataset_id", F.lit("__shuf42")))
+    # Up the chain by the parents that the manifests name.
+    up = [
+        m.select(F.col("dataset_id").alias(f"id{i}"), F.get("parent_datasets", F.lit(0)).alias(f"id{i + 1}"))
+        for i, m in enumerate((shuffled, built, split))
+    ]
+    return up[0].join(up[1], "id1").join(up[2], "id2").select(
+        F.col("id2").alias("dataset_id"), F.col("id0").alias("final_id"), F.col("id3").alias("parent")
+    )
 
 
 @query(

@@ -21,14 +21,6 @@ from pyspark.sql import functions as F
 from actlens.functions.hashing import HASH_BITS, key_hash
 
 
-def rank_digits(n_rows: int, per_bucket: int = 1_000_000) -> int:
-    """Hex digits that keep a hash bucket at about ``per_bucket`` rows (3 to 5)."""
-    digits = 3
-    while digits < 5 and n_rows > per_bucket * 16**digits:
-        digits += 1
-    return digits
-
-
 def hash_bucket(hashed: Column, digits: int) -> Column:
     """Leading ``digits`` hex digits of a 60-bit hash."""
     if digits == 0:

@@ -79,13 +79,12 @@ def merged_slice(manifests: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def merge_shards(shards: Sequence[DataFrame], manifests: DataFrame) -> DataFrame:
-    """All shards as one table, after the manifests pass every check.
+def shard_problems(manifests: DataFrame) -> DataFrame:
+    """``path``, ``problem`` of every shard that must not be merged with the others.
 
-    Shards must be of stage ``base``, agree in their settings, lie end to end
-    and hold the rows they declare.
+    Shards must be of stage ``base``, agree in their settings and lie end to end.
     """
-    problems = (
+    return (
         shard_agreement(manifests)
         .select("path", F.concat(F.lit("differs in "), "differs_in").alias("problem"))
         .unionByName(shard_contiguity(manifests).select("path", "problem"))
@@ -95,9 +94,14 @@ def merge_shards(shards: Sequence[DataFrame], manifests: DataFrame) -> DataFrame
             )
         )
     )
-    found = problems.limit(20).collect()
-    if found:
-        raise ValueError("; ".join(f"{r.path}: {r.problem}" for r in found))
+
+
+def merge_shards(shards: Sequence[DataFrame], manifests: DataFrame) -> DataFrame:
+    """All shards as one table; raises where :func:`shard_problems` has rows or the declared rows are not there."""
+    problems = shard_problems(manifests)
+    least = problems.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "problem")).alias("of")).first()
+    if least.n:
+        raise ValueError(f"{least.of.path}: {least.of.problem} ({least.n} problems; shard_problems lists them)")
     merged = reduce(DataFrame.unionByName, shards)
     counts = rowcount_check(merged, manifests).first()
     if not counts.agrees:

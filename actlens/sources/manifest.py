@@ -95,6 +95,19 @@ def derive_manifest(parent: Manifest, **changes: Any) -> Manifest:
     return replace(parent, created_at="", code_version="", **changes)
 
 
+def derive_manifests(parents: DataFrame, id: Column, **changes: Column) -> DataFrame:
+    """The same for a table of manifests; ``id`` and the changes are columns of the parents."""
+    return parents.withColumns(
+        {
+            "parent_datasets": F.array("dataset_id"),
+            "created_at": F.lit(""),
+            "code_version": F.lit(""),
+            "dataset_id": id,
+            **changes,
+        }
+    )
+
+
 def utc_stamp() -> str:
     """Now, as ISO-8601 in UTC."""
     return datetime.datetime.now(tz=datetime.UTC).isoformat()
@@ -138,14 +151,24 @@ def manifest_path(path: str) -> str:
     return f"{parent}/_manifests/{name.replace('=', '-')}"
 
 
+def write_manifests(manifests: DataFrame, folder: str) -> None:
+    """Store a table of manifests as JSON, one per line."""
+    manifests.write.mode("overwrite").json(folder)
+
+
+def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored manifests with the fixed schema; unknown keys are dropped."""
+    return spark.read.schema(MANIFEST).json(folder)
+
+
 def manifest_write(spark: SparkSession, manifest: Manifest, path: str) -> None:
     """Check and store the manifest of the dataset at ``path``."""
-    manifest_frame(spark, [manifest]).coalesce(1).write.mode("overwrite").json(manifest_path(path))
+    write_manifests(manifest_frame(spark, [manifest]).coalesce(1), manifest_path(path))
 
 
 def manifest_read(spark: SparkSession, path: str) -> Manifest:
     """Load and check the manifest of the dataset at ``path``; unknown keys are dropped."""
-    row = spark.read.schema(MANIFEST).json(manifest_path(path)).first()
+    row = read_manifests(spark, manifest_path(path)).first()
     return manifest_from_dict(row.asDict(recursive=True))
 
 

@@ -134,3 +134,11 @@ def test_drift(spark):
     df = spark.createDataFrame(rows, "id long, dataset_id string, ids array<long>")
     got = {r.id: (r.markers, r.good_markers) for r in shards.drift_check(df, declared).collect()}
     assert got == {1: (1, 0), 2: (1, 0), 3: (2, 2), 4: (0, 0)}
+
+
+def test_shard_problems_are_all_listed(spark):
+    slices = [(10 * i + i, 10) for i in range(30)]
+    found = shards.shard_problems(shard_table(spark, slices, layers=[2] * 30))
+    assert found.count() == 29 and {r.problem.split()[0] for r in found.collect()} == {"gap"}
+    with pytest.raises(ValueError, match="29 problems"):
+        shards.merge_shards([spark.range(300)], shard_table(spark, slices, layers=[2] * 30))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from actlens.functions import vectors
 from actlens.operators import aggregates, filters, joins
 from actlens.plans.evaluate import round_trip, score_rollouts
-from actlens.slots import SignReconstructor, SignVerbalizer
+from actlens.slots import SignReconstructor, SignVerbalizer, _offsets
 
 D = 16
 
@@ -189,7 +189,9 @@ def test_paired_agreement(spark):
     assert joins.paired_agreement(a, a).first().agrees
     bad = joins.paired_agreement(a, b, tol=0.1).first()
     assert not bad.agrees and np.isclose(bad.max_dev, 1 / 3)
-    assert joins.paired_agreement(a.limit(3), a).first().agrees is None
+    few, none = (joins.paired_agreement(a.limit(n), a).first() for n in (3, 0))
+    assert few.agrees and few.n == 3
+    assert none.agrees is None and none.n == 0
 
 
 def test_round_trip_and_scoring(spark):
@@ -211,3 +213,9 @@ def test_round_trip_and_scoring(spark):
     assert np.isclose(scored[0].reward, 0.0) and scored[0].status == "COMPLETED"
     assert scored[1].reward == scored[2].reward == -2.0
     assert scored[1].status == scored[2].status == "FAILED"
+
+
+def test_offsets_do_not_wrap():
+    assert _offsets([2, 0, 3]).to_pylist() == [0, 2, 2, 5]
+    with pytest.raises(OverflowError):
+        _offsets([2**30, 2**30, 1])
