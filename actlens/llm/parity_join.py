@@ -224,7 +224,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
     of_a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("of_a"))
     of_b = sets.select(F.col("node").alias("b"), F.col("tokens").alias("of_b"))
-    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
+    return pairs.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), "a").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
 def _may_link(per_cent: int) -> Column:
@@ -358,7 +358,8 @@ def _token_sets(rows: DataFrame, owner: DataFrame, width: int) -> DataFrame:
 
     # Repeated rows are dropped while they are texts, in the partitions that the join made.
     at = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text_hash").alias("at")
-    texts = rows.select(at, "text").join(owner.select(at, "node"), "at").dropDuplicates(["at"])
+    # Owners grow with the corpus, so they are merged at every size and never broadcast.
+    texts = rows.select(at, "text").join(owner.select(at, "node").hint("merge"), "at").dropDuplicates(["at"])
     return texts.select("node", "text").mapInArrow(tokens, "node long, tokens array<long>")
 
 
@@ -368,4 +369,4 @@ def representatives(docs: DataFrame, text: str = "text", id: str = "doc_id", **o
     gone = found.where(~F.col("first")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
     rows = packed(docs)
     same = F.col(f"row.{id}").eqNullSafe(F.col("g_id")) & (F.xxhash64(whole(F.col(f"row.{text}"))) == F.col("g_hash"))
-    return rows.join(gone, same, "left_anti").select("row.*")
+    return rows.join(gone.hint("merge"), same, "left_anti").select("row.*")
