@@ -72,6 +72,26 @@ def build_index(vectors: DataFrame, nearest: int, shard: int = SHARD) -> tuple[D
     return materialize(placed.groupBy("width", "shard").applyInPandas(graph_of, _INDEX), "ann-index"), shards
 
 
+def _cosines(vectors: np.ndarray, lengths: np.ndarray, query: np.ndarray, query_length: float) -> np.ndarray:
+    """Cosines in double precision; a vector's does not depend on which others are scored with it."""
+    return (vectors * query).sum(1) / (lengths * query_length)
+
+
+def _slack(width: int) -> float:
+    """How far two similarities may be apart and still be in either order in single precision."""
+    return 4 * (width + 4) * 2.0**-24
+
+
+def _settled(scores: np.ndarray, full: int, nearest: int, slack: float) -> bool:
+    """Whether no vector outside a beam of ``full`` places can be as near as the last one wanted.
+
+    One more than ``nearest``, as the query itself may be among them.
+    """
+    if len(scores) < full or full <= nearest:
+        return False
+    return scores.min() + slack < np.partition(scores, -nearest - 1)[-nearest - 1]
+
+
 def _search(nearest: int, beam: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -88,10 +108,15 @@ def _search(nearest: int, beam: int):
                 ids, _ = graph.search((asked / asked_length[:, None]).astype(np.float32), beam)
                 starts = np.cumsum([0, *row.counts])
                 members = np.asarray(row.ids)
+                full = min(beam, len(raw))
                 out: list[tuple[int, int, float]] = []
                 for i, found in enumerate(ids):
-                    found = found[found >= 0][: 2 * nearest + 1]
-                    scores = (exact[found] @ asked[i]) / (length[found] * asked_length[i])
+                    found = found[found >= 0]
+                    scores = _cosines(exact[found], length[found], asked[i], asked_length[i])
+                    if len(found) < len(raw) and not _settled(scores, full, nearest, _slack(row.width)):
+                        # Vectors that single precision cannot tell apart fill the beam, or links are missing.
+                        found = np.arange(len(raw))
+                        scores = _cosines(exact, length, asked[i], asked_length[i])
                     best = [
                         (-score, int(v))
                         for f, score in zip(found, scores)
@@ -121,6 +146,8 @@ def nearest_neighbours(
 
     * Unusable vectors (see :func:`usable`) and null ids neither ask nor are found.
     * Equal vectors are all candidates; repeated rows count once.
+    * A beam is scored whole in double precision. Where its last vector is within single
+      precision of the nearest, the query is compared with the whole shard instead.
     * With fewer candidates than ``nearest`` all are returned; an empty table gives no rows.
     * Other columns are not read.
     """
