@@ -4,9 +4,11 @@ Token counts come from all training texts. The most frequent tokens and one rest
 class are the outcomes of the neural model: each of the two tokens before has a
 vector per place, their sum predicts the vector of the outcome. Each partition
 trains on its texts in numpy from the same start; the parameters are averaged by
-tokens. Since the exponent of a sum factorises, the normaliser of every context is
-one matrix product, so token log-probabilities are exact. Inside the rest class a
-token has its smoothed share of the counts.
+tokens. Every other training word has context vectors of its own, added to those of
+the rest class, and a place in a tree of log-bilinear choices below that class (see
+``word_tree``), so all known words are predicted and conditioned on as themselves and
+token log-probabilities are exact. Words of the dictionary are known to every worker;
+the others get their vectors and their share of the tree by joins.
 """
 
 from __future__ import annotations
@@ -18,22 +20,26 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actlens.llm.common import packed, whole
+from actlens.llm.word_tree import Newton, Sums, Tree, occurrences, sums_by_place
 from actlens.session import materialize
 
 END = b""  # no word is empty
-# Fixed bounds: outcomes of the model, and words whose counts every worker knows.
-# Other words are looked up by a join.
+# Fixed bounds: outcomes of the neural model, and words whose vectors every worker knows.
+# Other words are met by joins; their tables grow with the distinct words.
 OUTCOMES = 1024
 DICTIONARY = 200_000
 WIDTH = 16
 NOISE = 32
 BATCH = 4096
 FLUSH = 400_000
+# Words outside the dictionary that share a task's tree, on average; the trees grow in number.
+STEM = 4096
 
 
 def is_held_out(id: Column) -> Column:
@@ -267,10 +273,15 @@ def score_texts(
     """
     spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
-    rows = packed(docs).select(
-        F.col(f"row.{id}").alias("doc_id"),
-        is_held_out(F.col(f"row.{id}")).alias("held_out"),
-        whole(F.col(f"row.{text}")).alias("text"),
+    rows = materialize(
+        packed(docs)
+        .select(
+            F.col(f"row.{id}").alias("doc_id"),
+            is_held_out(F.col(f"row.{id}")).alias("held_out"),
+            whole(F.col(f"row.{text}")).alias("text"),
+        )
+        .withColumn("at", F.monotonically_increasing_id()),
+        "texts",
     )
     learnt = rows.where(~F.col("held_out"))
     counts = materialize(count_tokens(learnt), "token-counts")
@@ -278,54 +289,180 @@ def score_texts(
     share = words.shares()
     shape = Shape(words.outcomes, width)
     known = spark.sparkContext.broadcast(words.words)
-    model = spark.sparkContext.broadcast(Model.of(shape, train(learnt, known, shape, share, seed=seed)))
+    flat = train(learnt, known, shape, share, seed=seed)
+    rest, d = words.outcomes - 1, width
+
+    def reader_of() -> Reader:
+        return Reader(known.value, words.outcomes)
+
+    # Words of the rest class: their sums, then their own vectors and their places in the trees.
+    one, two, out, bias = (a.astype(np.float64) for a in shape.split(flat))
+    follows, leads = Newton([out], share), Newton([one[:-1], two[:-1]], share)
+    terms = Sums(shape, flat, leads.mean)
+    met = occurrences(learnt, known, reader_of, tokens_of, terms)
+    inside = sums_by_place(met, terms).toArrow()  # `dictionary` rows at most
+    table = np.zeros((len(words.words) - rest, 3 * d))
+    if inside.num_rows:
+        table[inside.column("place").to_numpy() - rest] = np.frombuffer(b"".join(inside.column("sums").to_pylist())).reshape(-1, 3 * d)
+    n_stems = max(-(-(words.distinct - len(words.words)) // STEM), 1)
+    stem = F.pmod(F.xxhash64("word"), F.lit(n_stems)).cast("int")
+    outside = met.where("place is null").groupBy("word").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    outside = materialize(outside.withColumn("stem", stem), "word-occurrences")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Partial sums of the stems."""
+        n, sums = np.zeros((n_stems, 2)), np.zeros((n_stems, d))
+        for batch in batches:
+            at = batch.column("stem").to_numpy()
+            times, each = terms.of_lists(batch.column("codes").to_numpy(zero_copy_only=False))
+            np.add.at(n, at, np.stack([times, np.ones(len(at))], 1))
+            np.add.at(sums, at, each[:, :d])
+        used = np.flatnonzero(n[:, 0])
+        columns = [pa.array(used, pa.int32()), *(pa.array(c) for c in np.ascontiguousarray(np.concatenate([n, sums], 1)[used].T))]
+        yield pa.RecordBatch.from_arrays(columns, ["stem", "n", "words", *names])
+
+    names = [f"s{i}" for i in range(d)]
+    stems = outside.select("stem", "codes").mapInArrow(add, f"stem int, {', '.join(c + ' double' for c in ('n', 'words', *names))}")
+    stems = stems.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("n", "words", *names)]).toArrow()  # one row per STEM words
+    trunk_n, trunk_sums = np.zeros(n_stems), np.zeros((n_stems, d))
+    trunk_mass, at = np.zeros(n_stems), stems.column("stem").to_numpy()
+    if len(at):
+        trunk_n[at] = stems.column("n").to_numpy()
+        trunk_mass[at] = trunk_n[at] + stems.column("words").to_numpy()
+        trunk_sums[at] = np.stack([stems.column(c).to_numpy() for c in names], 1)
+    out_mass = trunk_mass.sum() + 1  # one for unknown words
+    n = words.counts[rest:].astype(float)
+    # The first leaf is all words outside the dictionary.
+    near_tree = Tree(np.append(trunk_n.sum(), n), np.append(out_mass, n + 1), np.concatenate([[trunk_sums.sum(0)], table[:, :d]]), leads)
+    trunk = spark.sparkContext.broadcast(Tree(trunk_n, trunk_mass, trunk_sums, leads))
+    own = np.concatenate([follows(table[:, d : 2 * d], n), follows(table[:, 2 * d :], n)], 1).astype(np.float32)
+    scorer = spark.sparkContext.broadcast((Model.of(shape, flat), near_tree, own))
     logs = spark.sparkContext.broadcast(np.log10(words.counts + 1.0))
-    rest, base_total, rest_total = words.outcomes - 1, math.log10(words.train_tokens + words.distinct + 1), math.log10(words.rest_total())
+    base_total, rest_total = math.log10(words.train_tokens + words.distinct + 1), math.log10(words.rest_total())
+    one, two, out, bias, centre = (a.astype(np.float32) for a in (one, two, out, bias, leads.mean))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = reader_of()
+        for batch in batches:
+            for key, text in zip(batch.column("at").to_pylist(), batch.column("text")):
+                tokens = tokens_of(text.as_py())
+                rare = np.flatnonzero(reader.places(tokens) < 0)
+                for piece in np.array_split(rare, len(rare) // 10_000 + 1) if len(rare) else ():
+                    yield pa.RecordBatch.from_pydict({
+                        "at": pa.array([key] * len(piece), pa.int64()),
+                        "pos": pa.array(piece, pa.int32()),
+                        "word": pa.array([tokens[i] for i in piece], pa.binary()),
+                    })
+
+    def own_vectors(lists: list[np.ndarray]) -> np.ndarray:
+        times, sums = terms.of_lists(lists)
+        return np.concatenate([follows(sums[:, d : 2 * d], times), follows(sums[:, 2 * d :], times)], 1)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Own vectors, or the occurrences they are made of where these are shorter."""
+        for batch in batches:
+            lists = batch.column("codes").to_numpy(zero_copy_only=False)
+            many = np.array([len(x) >= d // 2 for x in lists], bool)
+            made = iter(own_vectors(lists[many]).astype(np.float16))
+            values = [next(made).tobytes() if m else x.astype(np.int64).tobytes() for m, x in zip(many, lists)]
+            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "many": pa.array(many), "own": pa.array(values, pa.binary())})
+
+    # Own vectors of words outside the dictionary come by a join; words never seen get none.
+    found = (
+        rows.select("at", "text").mapInArrow(asked, "at long, pos int, word binary")
+        .join(outside.select("word", "codes").mapInArrow(vectors, "word binary, many boolean, own binary"), "word")
+        .groupBy("at")
+        .agg(F.collect_list(F.struct("pos", "many", "own")).alias("found"))
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(known.value, words.outcomes)
+        reader = reader_of()
         log = logs.value
+        model, tree, own = scorer.value
         for batch in batches:
-            out: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base", "score", "rare")}
-            for text in batch.column("text"):
+            result: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base", "score", "rare")}
+            for text, hits in zip(batch.column("text"), batch.column("found")):
                 tokens = tokens_of(text.as_py())
                 places = reader.places(tokens)
                 last, before, outcome = reader.contexts(places)
-                missing = np.flatnonzero(places < 0)
+                hits = hits.as_py() or []
+                seen_at = np.array([h["pos"] for h in hits], int)
+                more = np.zeros((len(tokens) + 2, 2 * d), np.float32)  # by place in the text, two before its start
+                mine = np.flatnonzero(places >= rest)
+                more[mine + 2] = own[places[mine] - rest]
+                if hits:
+                    many = np.array([h["many"] for h in hits])
+                    made = b"".join(h["own"] for h in hits if h["many"])
+                    more[seen_at[many] + 2] = np.frombuffer(made, np.float16).reshape(-1, 2 * d)
+                    more[seen_at[~many] + 2] = own_vectors([np.frombuffer(h["own"], np.int64) for h in hits if not h["many"]])
+                extra = more[1:-1, :d] + more[:-2, d:]
+                total = np.where((last == rest) | (before == rest), 0.0, model.log_prob(last, before, outcome))
+                changed = np.flatnonzero((last == rest) | (before == rest))
+                for start in range(0, len(changed), 2048):
+                    i = changed[start : start + 2048]
+                    logits = (one[last[i]] + two[before[i]] + extra[i]) @ out.T + bias
+                    top = logits.max(1)
+                    picked = logits[np.arange(len(i)), outcome[i]] - top
+                    logits -= top[:, None]
+                    total[i] = picked - np.log(np.exp(logits, out=logits).sum(1))
+                low = np.flatnonzero(outcome == rest)
+                context = one[last[low]] + two[before[low]] + extra[low] - centre
+                leaf = np.where(places[low] >= 0, places[low] - rest + 1, 0)
+                natural = total.sum() + tree.gain(leaf, context).sum()
                 seen = log[places[places >= 0]]
-                in_rest = log[places[places >= rest]].sum() - (outcome == rest).sum() * rest_total
-                out["n_tokens"].append(len(tokens))
-                out["n_known"].append(len(tokens) - len(missing))
-                out["base"].append(seen.sum() - len(tokens) * base_total)
-                out["score"].append(model.value.log_prob(last, before, outcome).sum() / math.log(10) + in_rest)
-                out["rare"].append([tokens[i] for i in missing])
+                in_rest = log[places[places >= rest]].sum() - len(low) * rest_total
+                result["n_tokens"].append(len(tokens))
+                result["n_known"].append((places >= 0).sum() + len(hits))
+                result["base"].append(seen.sum() - len(tokens) * base_total)
+                result["score"].append(natural / math.log(10) + in_rest)
+                by_place = dict(zip(low.tolist(), context.astype(np.float16)))
+                result["rare"].append([{"word": tokens[i], "context": by_place[i].tobytes()} for i in seen_at.tolist()])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "held_out": batch.column("held_out"),
-                "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-                "n_known": pa.array(out["n_known"], pa.int64()),
-                "base": pa.array(out["base"], pa.float64()),
-                "score": pa.array(out["score"], pa.float64()),
-                "rare": pa.array(out["rare"], pa.list_(pa.binary())),
+                "at": batch.column("at"),
+                "n_tokens": pa.array(result["n_tokens"], pa.int64()),
+                "n_known": pa.array(result["n_known"], pa.int64()),
+                "base": pa.array(result["base"], pa.float64()),
+                "score": pa.array(result["score"], pa.float64()),
+                "rare": pa.array(result["rare"], pa.list_(pa.struct([("word", pa.binary()), ("context", pa.binary())]))),
             })
 
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<binary>"
-    part = materialize(rows.mapInArrow(score, schema).withColumn("at", F.monotonically_increasing_id()), "text-scores")
-    # Words outside the dictionary, by a join with all counts; those never seen add log10(0 + 1).
+    schema = (
+        f"doc_id {kind}, held_out boolean, at long, n_tokens long, n_known long, base double, score double, "
+        "rare array<struct<word binary, context binary>>"
+    )
+    part = materialize(rows.join(found, "at", "left").mapInArrow(score, schema), "text-scores")
+
+    def choose(key: tuple, mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked):
+            return pd.DataFrame({"at": [], "more_base": [], "more_score": []})
+        mine = mine.sort_values("word").reset_index(drop=True)
+        times, sums = terms.of_lists(mine["codes"].to_list())
+        leaves = Tree(times, times + 1.0, sums[:, :d].astype(np.float64), leads)
+        leaf = asked["word"].map(dict(zip(mine["word"], mine.index))).to_numpy(np.int64)
+        context = np.frombuffer(b"".join(asked["context"]), np.float16).reshape(-1, d).astype(np.float32)
+        gain = leaves.gain(leaf, context) + trunk.value.gain(np.full(len(leaf), key[0]), context)
+        base = np.log10(times[leaf] + 1)
+        each = pd.DataFrame({"at": asked["at"], "more_base": base, "more_score": base + gain / math.log(10)})
+        return each.groupby("at", as_index=False).sum()
+
+    # Inside the outside leaf: each stem of words with its tree, and the tokens that ask for one of them.
+    tokens = part.select("at", F.explode("rare").alias("r")).select("at", "r.word", "r.context").withColumn("stem", stem)
     looked_up = (
-        part.select("at", F.explode("rare").alias("word"))
-        .groupBy("at", "word")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .join(counts, "word")
+        outside.select("stem", "word", "codes")
+        .groupBy("stem")
+        .cogroup(tokens.groupBy("stem"))
+        .applyInPandas(choose, "at long, more_base double, more_score double")
         .groupBy("at")
-        .agg(F.sum("times").alias("found"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
+        .agg(F.sum("more_base").alias("more_base"), F.sum("more_score").alias("more_score"))
     )
     return part.join(looked_up, "at", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(words.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
