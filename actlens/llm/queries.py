@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import ann, bilinear, chat, content_sort, curriculum, packing, parity_join, rule_ensemble, sharding, suffix_windows
+from actlens.llm import (
+    ann,
+    bilinear,
+    chat,
+    content_sort,
+    curriculum,
+    packing,
+    parity_join,
+    relative_factors,
+    resampling,
+    rule_ensemble,
+    sharding,
+    simplex_clusters,
+    suffix_windows,
+)
 from actlens.llm.common import session, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +151,58 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth."""
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query(
+    "op11_relative_factors",
+    r"""WITH d AS (SELECT doc_id, row_number() OVER () AS no, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, no, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+    h AS (SELECT doc_id, no, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM s),
+    f AS (SELECT no, i, doc_id > min(doc_id) OVER (PARTITION BY g) AS found FROM h),
+    r AS (SELECT DISTINCT no, i + k AS i FROM f, range(13) t(k) WHERE found),
+    k AS (SELECT no, len(w) AS n_words, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+    l AS (SELECT no, count(*) AS n_left, string_agg(word, ' ' ORDER BY i) AS kept FROM k ANTI JOIN r USING (no, i) GROUP BY no)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n_left, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN l USING (no)""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without passages of smaller documents."""
+    found = relative_factors.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+_NEAREST = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT"
+
+
+def _round(r: int) -> str:
+    """Assignment to the centroids c{r}, and the centroids after it."""
+    return f"""a{r} AS (SELECT vec_id, no, v, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance
+              FROM (SELECT vec_id, no, v, cluster, {_NEAREST} AS distance FROM kept, c{r}) GROUP BY vec_id, no, v),
+    m{r} AS (SELECT cluster, list(floor(total / n)::BIGINT ORDER BY i) AS c FROM
+              (SELECT cluster, i, sum(v[i]) AS total, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY cluster, i) GROUP BY cluster),
+    c{r + 1} AS (SELECT cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (cluster))"""
+
+
+@query(
+    "op12_simplex_clusters",
+    f"""WITH kept AS (SELECT vec_id, row_number() OVER () AS no, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+              FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+    c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, v AS c
+              FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16),
+    {_round(0)}, {_round(1)}, {_round(2)}, {_round(3)}
+    SELECT vec_id, cluster::INT AS cluster, distance,
+      CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+      CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+    FROM a3 JOIN c3 USING (cluster)""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact k-means of all vectors, comparisons filtered by n-simplex bounds."""
+    found = simplex_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op13_aho_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and draw of all documents towards the benchmark texts."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("row.doc_id", "n_features", "weight", "score", "rank")
