@@ -104,8 +104,12 @@ def _changes(column: pa.Array) -> np.ndarray:
     return np.concatenate([[True], codes[1:] != codes[:-1]])
 
 
-def _settle_phrases(rows: pa.Table) -> pa.Table:
-    """Whole phrases, sorted by (phrase, id): copied blocks with their sources, and open blocks."""
+def _settle_phrases(rows: pa.Table, entire: bool) -> pa.Table:
+    """Phrases sorted by (phrase, id): copied blocks with their sources, and open blocks.
+
+    Where the phrases are not ``entire``, a copied block has a smaller document among these rows,
+    and what leads among equal blocks is a border row: only those wait for other rows.
+    """
     gram, block = rows.column("phrase").to_numpy(), rows.column("block").to_numpy()
     new = np.concatenate([[True], gram[1:] != gram[:-1]])
     group = np.cumsum(new) - 1
@@ -116,17 +120,17 @@ def _settle_phrases(rows: pa.Table) -> pa.Table:
     source = np.empty(len(gram), np.int64)
     source[order] = order[head][np.cumsum(head) - 1]
     copied = person[source] != person
-    kinds = np.bincount(g[head])
-    at = np.flatnonzero(new)
-    people = person[np.append(at[1:], len(gram)) - 1] - person[at]
-    kept = np.flatnonzero(copied | ((kinds > 1) & (people > 0))[group])
-    return _marked(rows.take(pa.array(kept)), np.where(copied[kept], _COPIED, _OPEN), rows.take(pa.array(source[kept])))
-
-
-def _marked(rows: pa.Table, state: np.ndarray, source: pa.Table) -> pa.Table:
-    columns = {name: rows.column(name) for name in ("phrase", "block", "id", "tie", "at")}
+    kept = np.arange(len(gram))
+    if entire:
+        kinds = np.bincount(g[head])
+        at = np.flatnonzero(new)
+        people = person[np.append(at[1:], len(gram)) - 1] - person[at]
+        kept = np.flatnonzero(copied | ((kinds > 1) & (people > 0))[group])
+    mine, theirs = rows.take(pa.array(kept)), rows.take(pa.array(source[kept]))
+    state = np.where(copied[kept], _COPIED, _OPEN if entire else _BORDER)
+    columns = {name: mine.column(name) for name in ("phrase", "block", "id", "tie", "at")}
     return pa.table(
-        {"state": pa.array(state, pa.int32()), **columns, "source": source.column("id"), "source_at": source.column("at")}
+        {"state": pa.array(state, pa.int32()), **columns, "source": theirs.column("id"), "source_at": theirs.column("at")}
     )
 
 
@@ -135,7 +139,8 @@ def _settled(index: DataFrame, kind: str, held: int) -> DataFrame:
 
     ``state`` 0: the block stands whole in the smaller document ``source`` at ``source_at``.
     1: no smaller document has it, but several documents have its phrase. 2: the phrase
-    may go on in a neighbouring partition, or has more rows than a task holds.
+    may go on in a neighbouring partition, or has more rows than a task holds, and none
+    of these rows has the block in a smaller document.
 
     Ranges are cut by (phrase, id), so a phrase in a third of all documents is
     spread over partitions, and a task reads its rows as a stream.
@@ -148,7 +153,7 @@ def _settled(index: DataFrame, kind: str, held: int) -> DataFrame:
             yield from table.combine_chunks().to_batches()
 
         def border(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            yield from out(_marked(table, np.full(len(table), _BORDER), table))
+            yield from out(_settle_phrases(table, entire=False))
 
         def inner(table: pa.Table) -> Iterator[pa.RecordBatch]:
             gram = table.column("phrase").to_numpy()
@@ -159,7 +164,7 @@ def _settled(index: DataFrame, kind: str, held: int) -> DataFrame:
                 yield from border(table.filter(pa.array(open_)))
                 table = table.filter(pa.array(~open_))
             if len(table):
-                yield from out(_settle_phrases(table))
+                yield from out(_settle_phrases(table, entire=True))
 
         waiting, rows = [], 0
         for batch in batches:
