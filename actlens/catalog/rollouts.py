@@ -163,7 +163,8 @@ def extraction_rate(v):
     "length_reward_corr",
     """SELECT rollout_id, round(corr(response_length, reward), 6) AS pearson, round(corr(rl, rr), 6) AS spearman
        FROM (SELECT *, rank() OVER l + (count(*) OVER (PARTITION BY rollout_id, response_length) - 1) / 2 AS rl,
-               rank() OVER w + (count(*) OVER (PARTITION BY rollout_id, reward) - 1) / 2 AS rr FROM rollouts
+               rank() OVER w + (count(*) OVER (PARTITION BY rollout_id, reward) - 1) / 2 AS rr
+             FROM rollouts WHERE response_length IS NOT NULL AND reward IS NOT NULL
              WINDOW l AS (PARTITION BY rollout_id ORDER BY response_length), w AS (PARTITION BY rollout_id ORDER BY reward)) GROUP BY 1""",
 )
 def length_reward_corr(v):

@@ -221,7 +221,7 @@ _PERCENTILES = ", ".join(
           {_PERCENTILES.format(col="norm", digits=4)} FROM norms GROUP BY 1""",
 )
 def norm_stats(v):
-    stats = aggregates.norm_stats(v.vectors(), "v", "vec_id", ["label"])
+    stats = aggregates.norm_stats(v.vectors(), "v", ["label"])
     names = ["mean", "min", "max", *aggregates.PERCENTILES]
     return stats.select(
         "label", "n", "suggested_scale", *[F.round(c, 4).alias(c) for c in names]

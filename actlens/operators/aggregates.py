@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from actlens import fixed_values as fv
 from actlens.functions import text, vectors
-from actlens.operators.ranking import exact_percentiles
+from actlens.operators.selection import exact_percentiles
 from actlens.session import materialize
 
 PERCENTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
@@ -199,18 +199,16 @@ def baseline_broadcast(batch: DataFrame, baseline: DataFrame, col: str = "rawvar
     return batch.withColumn(col, baseline.select(col).scalar())
 
 
-def norm_stats(df: DataFrame, col: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
+def norm_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Norm count, mean, range and exact percentiles, with a suggested injection scale.
 
-    The norms are written once to the shared folder: the vectors are read once,
-    the percentiles work on the narrow table.
+    The norms are written once to the shared folder: the vectors are read once, the
+    percentiles work on the narrow table, and count bits instead of moving rows.
     """
-    norms = materialize(
-        df.select(*by, tie, vectors.l2_norm(F.col(col)).alias("norm")), "vector-norms"
-    )
     keys = list(by) or ["_all"]
-    if not by:
-        norms = norms.withColumn("_all", F.lit(0))
+    norm = vectors.l2_norm(F.col(col)).alias("norm")
+    norms = df.select(*by, norm) if by else df.select(F.lit(0).alias("_all"), norm)
+    norms = materialize(norms, "vector-norms")
     mean = F.avg("norm")
     step = F.pow(F.lit(10.0), F.floor(F.log10(mean))) / 2
     plain = norms.groupBy(*keys).agg(
@@ -220,7 +218,7 @@ def norm_stats(df: DataFrame, col: str, tie: str, by: Sequence[str] = ()) -> Dat
         F.max("norm").alias("max"),
         (F.ceil(mean / step) * step).alias("suggested_scale"),
     )
-    out = plain.join(exact_percentiles(norms, keys, "norm", tie, PERCENTILES), keys)
+    out = plain.join(exact_percentiles(norms, keys, "norm", PERCENTILES), keys)
     return out if by else out.drop("_all")
 
 

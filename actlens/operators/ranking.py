@@ -5,9 +5,8 @@ Two orders are served:
 * a *hashed* order of unique keys (shuffles, splits, batches). The top hex
   digits of the hash cut the rows into equal buckets; a bucket's offset comes
   from one small count table.
-* a *value* order inside groups (best, middle, worst, percentiles). Sampled
-  splitters cut each group into bins on (value, tie-break), so that neither a
-  hot group nor a hot value lands in one task.
+* the order of an *integer*, or of a value as such (running sums, average ranks): sums
+  over chunks, and over chunks of chunks. Rows at given ranks are in ``selection``.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from actlens.functions.hashing import HASH_BITS, key_hash
+from actlens.operators.selection import ordered_bits
+from actlens.session import materialize
 
 
 def hash_bucket(hashed: Column, digits: int) -> Column:
@@ -136,161 +137,59 @@ def rank_between(
     return df.where(~before_cut(key, cut["cut_0"]) & before_cut(key, cut["cut_1"]))
 
 
-# --- value order inside groups -------------------------------------------------
+# --- running sums and ranks in an integer order -------------------------------------
 
+# Bits of the order that are one window: chunks of rows, chunks of chunks, and so on.
+CHUNK_BITS = 16
 
-# A group needs bins only when it is large: one row in 400 is drawn as a splitter
-# candidate, so a group of 50 000 rows is cut into about 128 bins and a group of a
-# few hundred into one or two.
-SPLITTER_RATE = 1 / 400
-SALTS = 32
 
-
-def value_bins(
-    df: DataFrame,
-    by: Sequence[str],
-    value: Column,
-    tie: str,
-    splitters: int = 127,
-    rate: float = SPLITTER_RATE,
-) -> DataFrame:
-    """Add ``_key`` (value, tie) and ``_bin``: order-preserving bins inside each group.
-
-    The splitters are keys drawn by hash, the same on every run, at most
-    ``splitters`` per group. They only decide how even the bins are; ranks
-    computed from them are exact.
-    """
-    keyed = df.withColumn("_key", F.struct(value.alias("v"), F.col(tie).alias("t")))
-    drawn = F.xxhash64(*by, F.lit("splitter"), tie)
-    smallest = W.partitionBy(*by).orderBy("_d", tie)
-    sample = (
-        keyed.select(*by, tie, "_key", drawn.alias("_d"))
-        .where(F.pmod("_d", F.lit(1 << 30)) < int(rate * (1 << 30)))
-        .withColumn("_r", F.row_number().over(smallest))
-        .where(F.col("_r") <= splitters)
-        .groupBy(*by)
-        .agg(F.sort_array(F.collect_list("_key")).alias("_split"))  # at most `splitters` keys
-    )
-    # A salt spreads a hot group over tasks; the copied side has few keys per group,
-    # so it is hashed and the large side need not be sorted.
-    copies = sample.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(tie), F.lit(SALTS)).cast("int")
-    small = copies.hint("shuffle_hash")
-    joined = keyed.withColumn("_salt", salt).join(small, [*by, "_salt"], "left").drop("_salt")
-    # Binary search for the number of splitters below the key, one projection per
-    # step: plain compiled code, where an array lambda would be interpreted.
-    found = joined.withColumn("_bin", F.lit(0))
-    for bit in reversed(range(splitters.bit_length())):
-        step = 1 << bit
-        above = F.get("_split", F.col("_bin") + (step - 1)) < F.col("_key")
-        found = found.withColumn("_bin", F.col("_bin") + F.when(above, step).otherwise(0))
-    return found.drop("_split")
-
-
-def rows_at_ranks(
-    df: DataFrame,
-    by: Sequence[str],
-    value: Column,
-    tie: str,
-    intervals: Callable[[Column], Column],
-    splitters: int = 127,
-    rate: float = SPLITTER_RATE,
+def running_sum(
+    df: DataFrame, by: Sequence[str], order: str, value: Column, out: str, bits: int = CHUNK_BITS
 ) -> DataFrame:
-    """Rows of each group whose 0-based rank (ascending value, then tie) is asked for.
+    """Sum of ``value`` over the rows before this one in its group (exclusive).
 
-    ``intervals`` maps the group size to an array of structs ``(tag, lo, hi)``;
-    the result has one row per (row, interval) with ``rank``, ``group_rows`` and
-    ``tag``. Bins that hold no asked rank are never sorted.
+    ``order`` is a BIGINT that is unique in the group. Its bits cut the group into chunks,
+    the chunks into chunks of chunks, up to one root. Sums are added upwards, combined
+    in the map tasks, and offsets are handed down, so that no task orders more than
+    2 ** ``bits`` rows or sums of one group, however sparse the integers are.
     """
-    binned = value_bins(df, by, value, tie, splitters, rate)
-    counts = binned.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    targets = (
-        bucket_offsets(counts, by, "_bin")
-        .withColumn("_t", F.explode(intervals(F.col("_total"))))
-        .where((F.col("_t.lo") < F.col("_off") + F.col("_n")) & (F.col("_t.hi") > F.col("_off")))
-        .groupBy(*by, "_bin", "_off", "_total")
-        .agg(F.collect_list("_t").alias("_asked"))  # at most the number of intervals
-    )
-    inside = W.partitionBy(*by, "_bin").orderBy("_key")
+    by = list(by)
+    levels = -(-64 // bits)
+
+    def chunk(level: int) -> str:
+        return f"_c{level}"
+
+    def exclusive(level: int, of: str, order_by: str) -> Column:
+        w = W.partitionBy(*by, chunk(level)).orderBy(order_by).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(of).over(w), F.lit(0))
+
+    cut = df.withColumns({"_v": value, "_o": F.col(order).cast("bigint")})
+    cut = cut.withColumn(chunk(1), F.shiftright("_o", bits))
+    sums = {1: cut.groupBy(*by, chunk(1)).agg(F.sum("_v").alias("_n"))}
+    for level in range(2, levels):
+        above = sums[level - 1].withColumn(chunk(level), F.shiftright(chunk(level - 1), bits))
+        sums[level] = above.groupBy(*by, chunk(level)).agg(F.sum("_n").alias("_n"))
+    offsets = sums[levels - 1].withColumn(chunk(levels), F.lit(0))
+    offsets = offsets.withColumn("_off", exclusive(levels, "_n", chunk(levels - 1))).drop("_n", chunk(levels))
+    for level in range(levels - 2, 0, -1):
+        inner = sums[level].withColumn(chunk(level + 1), F.shiftright(chunk(level), bits))
+        inner = inner.withColumn("_in", exclusive(level + 1, "_n", chunk(level)))
+        offsets = inner.join(offsets, [*by, chunk(level + 1)])
+        offsets = offsets.select(*by, chunk(level), (F.col("_off") + F.col("_in")).alias("_off"))
     return (
-        binned.join(targets, [*by, "_bin"])
-        .withColumn("rank", F.col("_off") + F.row_number().over(inside) - 1)
-        .withColumn("_t", F.explode("_asked"))
-        .where((F.col("rank") >= F.col("_t.lo")) & (F.col("rank") < F.col("_t.hi")))
-        .withColumn("tag", F.col("_t.tag"))
-        .withColumnRenamed("_total", "group_rows")
-        .drop("_key", "_bin", "_off", "_asked", "_t")
-    )
-
-
-def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, tie: str, points: dict[str, float]
-) -> DataFrame:
-    """Linear-interpolated percentiles per group, one column per entry of ``points``."""
-
-    def position(n: Column, q: float) -> Column:
-        return (n - 1).cast("double") * F.lit(q)
-
-    def asked(n: Column) -> Column:
-        low = {name: F.floor(position(n, q)) for name, q in points.items()}
-        return F.array(
-            *[
-                F.struct(F.lit(name).alias("tag"), at.alias("lo"), (at + 2).alias("hi"))
-                for name, at in low.items()
-            ]
-        )
-
-    picked = rows_at_ranks(
-        df.select(*by, value, tie).where(F.col(value).isNotNull()), by, F.col(value), tie, asked
-    )
-
-    def interpolate(name: str, q: float) -> Column:
-        pos = position(F.col("group_rows"), q)
-        low = F.floor(pos)
-        mine = F.col("tag") == name
-        weight = F.when(F.col("rank") == low, 1 - (pos - low)).otherwise(pos - low)
-        return F.sum(F.when(mine, F.col(value) * weight)).alias(name)
-
-    return picked.groupBy(*by).agg(*[interpolate(n, q) for n, q in points.items()])
-
-
-def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """``by``, ``value`` and the 1-based rank of that value, ties sharing their average."""
-    tallied = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    binned = value_bins(tallied, by, F.col(value), value)
-    totals = binned.groupBy(*by, "_bin").agg(F.sum("_c").alias("_n"))
-    offsets = bucket_offsets(totals, by, "_bin").drop("_n", "_total")
-    before = W.partitionBy(*by, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        binned.withColumn("_s", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-        .join(offsets, [*by, "_bin"])
-        .select(*by, value, (F.col("_off") + F.col("_s") + (F.col("_c") + 1) / 2).alias(out))
+        cut.withColumn("_s", exclusive(1, "_v", "_o"))
+        .join(offsets, [*by, chunk(1)])
+        .withColumn(out, F.col("_off") + F.col("_s"))
+        .drop("_v", "_o", "_s", "_off", chunk(1))
     )
 
 
-# --- running sums ----------------------------------------------------------------
+def average_rank(tallies: DataFrame, by: Sequence[str], value: str, count: str, out: str) -> DataFrame:
+    """``by``, ``value`` and the 1-based rank of that value, ties sharing their average.
 
-
-def running_sum(
-    df: DataFrame,
-    by: Sequence[str],
-    order: str,
-    value: Column,
-    out: str,
-    chunk: int = 65536,
-) -> DataFrame:
-    """Sum of ``value`` over the rows before this one in its group (exclusive).
-
-    ``order`` is an integer that is unique in the group. The group is cut into
-    chunks of that integer, so that a hot group is summed by many tasks.
+    ``tallies`` has ``count`` rows for each of some values; values may repeat.
     """
-    cut = df.withColumn("_v", value).withColumn("_c", F.floor(F.col(order) / F.lit(chunk)))
-    totals = cut.groupBy(*by, "_c").agg(F.sum("_v").alias("_n"))
-    offsets = bucket_offsets(totals, by, "_c").drop("_n", "_total")
-    before = W.partitionBy(*by, "_c").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        cut.withColumn("_s", F.coalesce(F.sum("_v").over(before), F.lit(0)))
-        .join(offsets, [*by, "_c"])
-        .withColumn(out, F.col("_off") + F.col("_s"))
-        .drop("_v", "_c", "_s", "_off")
-    )
+    totals = tallies.groupBy(*by, value).agg(F.sum(count).alias("_c"))
+    ordered = materialize(totals.withColumn("_bits", ordered_bits(F.col(value))), "tallies")
+    before = running_sum(ordered, by, "_bits", F.col("_c"), "_before")
+    return before.select(*by, value, (F.col("_before") + (F.col("_c") + 1) / 2).alias(out))

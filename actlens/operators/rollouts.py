@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from actlens.functions import text
 from actlens.operators.aggregates import PERCENTILES
-from actlens.operators.ranking import average_rank, exact_percentiles, rows_at_ranks
+from actlens.operators.ranking import average_rank
+from actlens.operators.selection import exact_percentiles, rows_at_ranks
+from actlens.session import materialize
 
 
 def group_advantage(
@@ -43,7 +45,7 @@ def best_mid_worst(
 ) -> DataFrame:
     """Best, middle and worst samples by reward, each once, numbered in ``pick``.
 
-    ``rank`` is the 0-based place by reward, ties broken by sample id; NULL
+    ``rank`` is the 0-based place by reward, ties broken by the integer ``tie``; NULL
     rewards take no place. ``bottom = 0`` picks none from the end.
     """
 
@@ -56,7 +58,7 @@ def best_mid_worst(
             _interval(2, F.greatest(zero, n - bottom), n),
         )
 
-    ranked = rows_at_ranks(df.where(F.col("reward").isNotNull()), by, -F.col("reward"), tie, wanted)
+    ranked = rows_at_ranks(df, by, -F.col("reward"), tie, wanted)
     return picks_union(ranked, by)
 
 
@@ -75,9 +77,7 @@ def picks_union(picks: DataFrame, by: Sequence[str] = ("rollout_id",)) -> DataFr
     )
 
 
-def rollout_summary(
-    df: DataFrame, by: Sequence[str] = ("rollout_id",), tie: str = "sample_id"
-) -> DataFrame:
+def rollout_summary(df: DataFrame, by: Sequence[str] = ("rollout_id",)) -> DataFrame:
     """Size, groups and reward figures per rollout; percentiles are linear-interpolated."""
     plain = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -88,7 +88,7 @@ def rollout_summary(
         F.max("reward").alias("max"),
     )
     plain = plain.withColumn("per_group", F.floor(F.col("n") / F.col("groups")))
-    return plain.join(exact_percentiles(df, by, "reward", tie, PERCENTILES), list(by))
+    return plain.join(exact_percentiles(df, by, "reward", PERCENTILES), list(by))
 
 
 def mismatch_metrics(
@@ -131,16 +131,37 @@ def length_reward_corr(
     length: str = "response_length",
     reward: str = "reward",
 ) -> DataFrame:
-    """Linear and rank correlation of response length with reward."""
+    """Linear and rank correlation of response length with reward, over rows that have both.
+
+    Everything comes from counts of (length, reward), formed in the map tasks. Ranks with
+    shared ties have the mean (n + 1) / 2, so the rank correlation is one weighted sum.
+    """
     keys = list(by)
+    both = F.col(length).isNotNull() & F.col(reward).isNotNull()
+    rows = df.where(both).select(*keys, F.col(length).cast("double").alias("_l"), F.col(reward).cast("double").alias("_r"))
+    tallies = materialize(rows.groupBy(*keys, "_l", "_r").agg(F.count(F.lit(1)).alias("_c")), "tallies")
+    figures = tallies.groupBy(*keys).agg(
+        F.sum("_c").alias("_n"),
+        (F.sum(F.col("_c") * F.col("_l")) / F.sum("_c")).alias("_ml"),
+        (F.sum(F.col("_c") * F.col("_r")) / F.sum("_c")).alias("_mr"),
+    )
     ranked = (
-        df.select(*keys, length, reward)
-        .join(average_rank(df, by, length, "_rank_length"), [*keys, length])
-        .join(average_rank(df, by, reward, "_rank_reward"), [*keys, reward])
+        tallies.join(average_rank(tallies, keys, "_l", "_c", "_rank_l"), [*keys, "_l"])
+        .join(average_rank(tallies, keys, "_r", "_c", "_rank_r"), [*keys, "_r"])
+        .join(figures, keys)
     )
+    mean_rank = (F.col("_n") + 1) / 2
+
+    def correlation(x: Column, y: Column) -> Column:
+        def total(z: Column) -> Column:
+            return F.sum(F.col("_c") * z)
+
+        spread = F.sqrt(total(x * x) * total(y * y))
+        return F.try_divide(total(x * y), spread)
+
     return ranked.groupBy(*keys).agg(
-        F.corr(F.col(length).cast("double"), F.col(reward)).alias("pearson"),
-        F.corr("_rank_length", "_rank_reward").alias("spearman"),
+        correlation(F.col("_l") - F.col("_ml"), F.col("_r") - F.col("_mr")).alias("pearson"),
+        correlation(F.col("_rank_l") - mean_rank, F.col("_rank_r") - mean_rank).alias("spearman"),
     )
 
 

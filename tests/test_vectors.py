@@ -160,7 +160,7 @@ def test_mean_vector(pairs):
 
 def test_norm_stats(pairs):
     df, _, gold = pairs
-    row = aggregates.norm_stats(df, "gold", "id").first()
+    row = aggregates.norm_stats(df, "gold").first()
     norms = np.linalg.norm(gold, axis=1)
     assert row.n == 300
     assert np.isclose(row["mean"], norms.mean()) and np.isclose(row["max"], norms.max())
