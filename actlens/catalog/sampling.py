@@ -367,13 +367,11 @@ _RING = sql_hash(f"'{SEED}|ds|activ|' || doc_id || '|' || n_raw_tokens")
     "vector_shuffle",
     f"""SELECT doc_id, n_raw_tokens, round(list_sum(list_transform(next, lambda x: x::DOUBLE)), 3) AS element_sum
         FROM (SELECT *, coalesce(lead(activation_vector) OVER ring, first_value(activation_vector) OVER ring) AS next
-              FROM (SELECT *, {_RING} AS h, count(*) OVER () AS n FROM base_vectors)
-              WINDOW ring AS (PARTITION BY CASE WHEN n >= 4096 * 256 THEN h >> 52 WHEN n >= 4096 * 16 THEN h >> 56 ELSE 0 END
-                ORDER BY h, doc_id, n_raw_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""",
+              FROM (SELECT *, {_RING} AS h FROM base_vectors)
+              WINDOW ring AS (ORDER BY h, doc_id, n_raw_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""",
 )
 def vector_shuffle(v):
-    n = v.base().count()
-    moved = batching.vector_shuffle(v.base_vectors(), batching.KEYS, SEED, "ds", n_rows=n)
+    moved = batching.vector_shuffle(v.base_vectors(), batching.KEYS, SEED, "ds")
     total = F.aggregate("activation_vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return moved.select("doc_id", "n_raw_tokens", F.round(total, 3).alias("element_sum"))
 

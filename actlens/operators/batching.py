@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from actlens.functions.hashing import HASH_BITS, key_hash
-from actlens.operators.ranking import bucket_offsets, global_rank, hash_bucket, running_sum
+from actlens.operators.ranking import bucket_offsets, global_rank, running_sum
+from actlens.session import materialize
 
 KEYS = ("doc_id", "n_raw_tokens")
 
@@ -30,9 +31,7 @@ def row_shuffle(
     partitions and does not change the ranks.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = df.withColumn("_h", key_hash(seed, dataset_id, *[F.col(k) for k in keys]))
-    part = F.shiftright(F.shiftright("_h", 20) * F.lit(n), HASH_BITS - 20).cast("int")
-    hashed = hashed.withColumn("_b", part)
+    hashed = _hash_ranges(df, key_hash(seed, dataset_id, *[F.col(k) for k in keys]), n)
     counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = F.broadcast(bucket_offsets(counts, (), "_b").select("_b", "_off"))  # n rows
     inside = W.partitionBy("_b").orderBy("_h", *keys)
@@ -45,12 +44,10 @@ def row_shuffle(
     )
 
 
-def ring_digits(n_rows: int, per_ring: int = 4096) -> int:
-    """Most hex digits (0 to 5) that leave at least ``per_ring`` rows in a ring on average."""
-    digits = 0
-    while digits < 5 and n_rows >= per_ring * 16 ** (digits + 1):
-        digits += 1
-    return digits
+def _hash_ranges(df: DataFrame, hashed: Column, n: int) -> DataFrame:
+    """``_h`` and the number ``_b`` of its range, of ``n`` equal ranges of the hash."""
+    part = F.shiftright(F.shiftright("_h", 20) * F.lit(n), HASH_BITS - 20).cast("int")
+    return df.withColumn("_h", hashed).withColumn("_b", part)
 
 
 def vector_shuffle(
@@ -59,26 +56,43 @@ def vector_shuffle(
     seed: int,
     dataset_id: str,
     col: str = "activation_vector",
-    n_rows: int | None = None,
-    per_ring: int = 4096,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Permute one column only: each row takes the value of its successor in a ring.
+    """Permute one column only: each row takes the value of its successor in one random ring.
+
+    All rows stand in hashed order of their keys, and the last is followed by the first. So every
+    value is used once and no row keeps its own (unless it is alone). The result
+    depends on (seed, dataset_id, keys) only.
 
-    The leading hash digits deal the rows into random rings of a few thousand
-    rows, in which they stand in hashed order. So every vector is used once, no
-    row keeps its own (unless it is alone), and the wide rows cross the network
-    once. The result depends on (seed, dataset_id, keys) and the number of rows,
-    which is counted unless given (a manifest holds it).
+    The wide rows cross the network once, to equal ranges of the hash. The last row of a range
+    needs the first row of the next one: that row is found by the smallest hash of each range, and a
+    copy of its value goes along with the range before it. ``partitions``, the number of
+    ranges, defaults to the session's shuffle partitions and changes nothing.
     """
-    digits = ring_digits(df.count() if n_rows is None else n_rows, per_ring)
-    hashed = df.withColumn("_h", key_hash(seed, dataset_id, "activ", *[F.col(k) for k in keys]))
-    hashed = hashed.withColumn("_b", hash_bucket(F.col("_h"), digits))
-    ring = W.partitionBy("_b").orderBy("_h", *keys)
-    value = F.struct(F.col(col).alias("v"))
-    moved = hashed.withColumn(
-        "_next", F.coalesce(F.lead(value).over(ring), F.first(value).over(ring))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["_h", *keys]
+    ranged = _hash_ranges(df, key_hash(seed, dataset_id, "activ", *[F.col(k) for k in keys]), n)
+    heads = ranged.groupBy("_b").agg(F.min("_h").alias("_h"))  # n rows
+    over = W.orderBy("_b")
+    last = F.max("_b").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    heads = heads.withColumn("_to", F.coalesce(F.lag("_b").over(over), last))
+    first = F.struct(*order)
+    guests = (
+        ranged.select(*order, "_b", F.struct(F.col(col).alias("v")).alias("_v"))
+        .join(F.broadcast(heads), ["_b", "_h"])
+        .groupBy("_to")
+        .agg(F.min_by("_v", first).alias("_v"))
+    )
+    guests = materialize(guests, "range-heads").select(F.col("_to").alias("_b"), "_v", F.lit(True).alias("_guest"))
+    rows = ranged.select("*", F.struct(F.col(col).alias("v")).alias("_v"), F.lit(False).alias("_guest")).drop(col)
+    line = W.partitionBy("_b").orderBy("_guest", *order)
+    return (
+        rows.unionByName(guests, allowMissingColumns=True)
+        .repartitionById(n, F.col("_b"))
+        .withColumn("_next", F.lead("_v").over(line))
+        .where(~F.col("_guest"))
+        .select(*[F.col("_next.v").alias(c) if c == col else F.col(c) for c in df.columns])
     )
-    return moved.select(*[F.col("_next.v").alias(c) if c == col else F.col(c) for c in df.columns])
 
 
 def permute_join(

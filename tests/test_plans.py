@@ -71,9 +71,9 @@ def test_row_shuffle_moves_wide_rows_once(spark, stored):
 
 def test_vector_shuffle_moves_wide_rows_once(spark, stored):
     rows = spark.read.parquet(stored)
-    text = plan(batching.vector_shuffle(rows, batching.KEYS, 1, "x", n_rows=10**6))
-    assert text.count("Exchange") and "Join" not in text
-    assert len(re.findall(r"\(\d+\) Exchange", text)) == 1
+    text = plan(batching.vector_shuffle(rows, batching.KEYS, 1, "x"))
+    assert wide_exchanges(text, "_v#") == 1 and "Join" not in text
+    assert len(re.findall(r"\(\d+\) Exchange", text)) == 1 and "SinglePartition" not in text
 
 
 def test_slices_of_the_order_are_filters(spark, stored):

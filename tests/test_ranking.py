@@ -1,13 +1,16 @@
 """Ranks, orders, batches and shards against plain Python."""
 
+import contextlib
 import hashlib
+import io
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from actlens.operators import batching, ranking, rollouts
+from actlens.operators import batching, ranking, rollouts, selection
 
 
 def h60(*parts):
@@ -56,19 +59,29 @@ def by_group(rows):
     return groups
 
 
-@pytest.mark.parametrize("rate", [1.0, ranking.SPLITTER_RATE])
-def test_exact_percentiles(rewards, monkeypatch, rate):
+@pytest.mark.parametrize("small", [1, 5, 100, selection.SMALL])
+def test_exact_percentiles(rewards, monkeypatch, small):
+    """Whatever is small enough to be put in order, and with few bits a round."""
+    monkeypatch.setattr(selection, "BITS", 12 if small > 5 else 3)
     df, rows = rewards
-    original = ranking.value_bins
-    monkeypatch.setattr(ranking, "value_bins", lambda *a: original(*a[:5], rate))
     points = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    got = ranking.exact_percentiles(df, ["rollout_id"], "reward", "sample_id", points)
+    got = selection.exact_percentiles(df, ["rollout_id"], "reward", points, small)
     for r in got.collect():
         values = [v for _, v, _ in by_group(rows)[r.rollout_id]]
         want = np.percentile(values, [q * 100 for q in points.values()])
         assert np.allclose([r[p] for p in points], want)
 
 
+def test_ordered_bits(spark):
+    values = [float("-inf"), -1e300, -2.5, -1e-310, -0.0, 0.0, 5e-324, 1.0, 1e300, float("inf"), float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    bits = selection.ordered_bits(F.col("v")).alias("b")
+    found = [r.b for r in df.select(bits).collect()]
+    assert found == sorted(found) and len(set(found)) == len(values) - 1
+    back = df.select(bits).select(selection.from_ordered_bits(F.col("b")).alias("v")).collect()
+    assert [str(r.v + 0.0) for r in back] == [str(v + 0.0) for v in values]
+
+
 def picks(sample, top, mid, bottom):
     order = [i for i, _ in sorted(((i, v) for i, v, _ in sample), key=lambda x: (-x[1], x[0]))]
     n = len(order)
@@ -77,18 +90,6 @@ def picks(sample, top, mid, bottom):
     return list(dict.fromkeys(lists))
 
 
-def test_bins_keep_the_order(rewards):
-    df, _ = rewards
-    rows = ranking.value_bins(
-        df.where("reward is not null"), ["rollout_id"], F.col("reward"), "sample_id", 40, 0.3
-    ).collect()
-    big = sorted((r for r in rows if r.rollout_id == 0), key=lambda r: (r.reward, r.sample_id))
-    bins = [r._bin for r in big]
-    assert bins == sorted(bins) and len(set(bins)) > 30
-    # The value shared by a third of the rows is cut as well.
-    assert len({r._bin for r in big if r.reward == -2.0}) > 5
-
-
 @pytest.mark.parametrize("sizes", [(6, 8, 6), (3, 0, 0), (0, 5, 2), (40, 40, 40), (1, 1, 0)])
 def test_best_mid_worst(rewards, sizes):
     df, rows = rewards
@@ -99,46 +100,102 @@ def test_best_mid_worst(rewards, sizes):
     assert got == {g: picks(s, *sizes) for g, s in by_group(rows).items()}
 
 
-def test_splitters_change_nothing(rewards):
+def asked(n):
+    return F.array(
+        F.struct(F.lit(0).alias("tag"), (n / 2).cast("bigint").alias("lo"), n.alias("hi")),
+        F.struct(F.lit(1).alias("tag"), F.lit(-3).cast("bigint").alias("lo"), F.lit(4).cast("bigint").alias("hi")),
+        F.struct(F.lit(2).alias("tag"), n.alias("lo"), (n + 5).alias("hi")),
+    )
+
+
+@pytest.mark.parametrize("small,most", [(1, 50_000), (7, 50_000), (400, 50_000), (50, 2), (1 << 15, 2)])
+def test_rows_at_ranks(rewards, monkeypatch, small, most):
+    """Buckets broadcast or stored, cut by value and then by tie; repeated rows take places of their own."""
+    monkeypatch.setattr(selection, "MOST", most)
+    monkeypatch.setattr(selection, "BITS", 4 if small < 50 else 12)
+    df, rows = rewards
+    twice = df.unionByName(df.where("sample_id % 50 = 0"))
+    found = selection.rows_at_ranks(twice, ["rollout_id"], F.col("reward"), "sample_id", asked, small).collect()
+    got = sorted((r.rollout_id, r.tag, r["rank"], r.sample_id, r.group_rows) for r in found)
+    want = []
+    for g, sample in by_group(rows + [r for r in rows if r[1] % 50 == 0]).items():
+        order = [i for i, _ in sorted(((i, v) for i, v, _ in sample), key=lambda x: (x[1], x[0]))]
+        n = len(order)
+        want += [(g, 0, k, order[k], n) for k in range(n // 2, n)] + [(g, 1, k, order[k], n) for k in range(4)]
+    assert got == sorted(want)
+
+
+def test_ranks_exchange_counts_only(rewards):
+    """A round moves one count per bucket, digit and map task, and no row of the table."""
     df, _ = rewards
-    asked = lambda n: F.array(F.struct(F.lit(0).alias("tag"), (n / 2).cast("bigint").alias("lo"), n.alias("hi")))
-    sets = [
-        {
-            (r.rollout_id, r.sample_id, r["rank"])
-            for r in ranking.rows_at_ranks(
-                df.where("reward is not null"), ["rollout_id"], F.col("reward"), "sample_id", asked, s, rate
-            ).collect()
-        }
-        for s, rate in ((1, 1.0), (5, 1.0), (300, 1.0), (127, 0.1), (127, 0.0))
-    ]
-    assert all(s == sets[0] for s in sets[1:])
+    keyed = selection._keyed(df, ["rollout_id"], F.col("reward"), F.col("sample_id"))
+    schema = "rollout_id long, _k_lo long, _k_hi long, _t_lo long, _t_hi long, _off long, _n long, _rows long, _ranks array<long>"
+    row = (0, -(1 << 62), 1 << 62, 0, 5000, 0, 2700, 2700, [10, 1350])
+    buckets = selection._local([row], spark_frame(df, schema))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        selection.refined(keyed, buckets, ["rollout_id"]).explain("formatted")
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", out.getvalue())
+    assert moved and all("_digit" in columns for columns in moved[-1:])
+    assert all(re.search(r"\b_k#|\b_t#", columns) is None for columns in moved)
+    assert "SortMergeJoin" not in out.getvalue()
+
+
+def spark_frame(df, schema):
+    return df.sparkSession.createDataFrame([], schema)
 
 
 def test_correlations(rewards):
     df, rows = rewards
     for r in rollouts.length_reward_corr(df).collect():
-        sample = by_group(rows)[r.rollout_id]
+        sample = by_group(rows)[r.rollout_id]  # rows without a reward take no part, nor a rank
         lengths, values = [n for _, _, n in sample], [v for _, v, _ in sample]
         rank = lambda x: np.array([np.mean(np.flatnonzero(np.sort(x) == y)) for y in x])
-        # Rows without a reward count for the length ranks only if they are ranked.
         assert np.isclose(r.pearson, np.corrcoef(lengths, values)[0, 1])
-        every = [n for g, _, _, n in rows if g == r.rollout_id]
-        all_rank = dict(zip(every, rank(np.array(every))))
-        want = np.corrcoef([all_rank[n] for n in lengths], rank(np.array(values)))[0, 1]
-        assert np.isclose(r.spearman, want)
+        assert np.isclose(r.spearman, np.corrcoef(rank(np.array(lengths)), rank(np.array(values)))[0, 1])
 
 
-def test_running_sum(spark):
+def test_correlation_of_a_constant_is_null(spark):
+    df = spark.createDataFrame([(1, i, 5, 1.0 * i) for i in range(4)], "rollout_id int, sample_id int, response_length int, reward double")
+    assert rollouts.length_reward_corr(df).collect()[0][1:] == (None, None)
+
+
+def test_correlations_join_no_rows(rewards):
+    df, _ = rewards
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        rollouts.length_reward_corr(df).explain("formatted")
+    assert "sample_id" not in out.getvalue() and "response_length" not in out.getvalue()
+
+
+@pytest.mark.parametrize("bits", [8, 16, 30])
+def test_running_sum(spark, bits):
+    """Dense and sparse integers, negative ones too, in hot and small groups."""
     rng = random.Random(1)
+    sparse = {rng.randrange(-(1 << 62), 1 << 62) for _ in range(500)}
     rows = [(0 if i < 700 else i % 5, i, rng.randint(0, 9)) for i in range(1000)]
+    rows += [(9, i, rng.randint(0, 9)) for i in sorted(sparse)]
     df = spark.createDataFrame(rows, "g long, i long, v long").repartition(5)
-    got = {r.i: r.s for r in ranking.running_sum(df, ["g"], "i", F.col("v"), "s", chunk=64).collect()}
+    got = {r.i: r.s for r in ranking.running_sum(df, ["g"], "i", F.col("v"), "s", bits).collect()}
     sums = {}
     for g, i, v in rows:
         assert got[i] == sums.get(g, 0)
         sums[g] = sums.get(g, 0) + v
 
 
+def test_running_sum_orders_no_more_than_a_chunk(spark):
+    """One group of 10^6 sparse integers: no task of any exchange gets more than a few chunks."""
+    df = spark.range(1_000_000).select((F.col("id") * 1_000_003).alias("i"))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        last = ranking.running_sum(df, [], "i", F.lit(1), "s", bits=10)
+        sizes = last.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in sizes) < 200_000
+        assert last.where(F.col("s") != F.col("i") / 1_000_003).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_advantage(rewards):
     df, rows = rewards
     out = rollouts.group_advantage(df.where("reward is not null"), ["rollout_id"])
@@ -189,18 +246,22 @@ def test_sample_groups(spark):
     assert all(r.group_index == r.sample_index // 3 for r in rows)
 
 
-@pytest.mark.parametrize("per_ring", [1, 20, 5000])
-def test_vector_shuffle(spark, per_ring):
-    rows = [(f"d{i % 50}", i, [float(i)] * 4) for i in range(1000)]
-    df = spark.createDataFrame(rows, "doc_id string, n_raw_tokens long, activation_vector array<float>")
-    a = batching.vector_shuffle(df.repartition(3), batching.KEYS, 9, "ds", per_ring=per_ring).collect()
-    b = batching.vector_shuffle(df.repartition(8), batching.KEYS, 9, "ds", per_ring=per_ring).collect()
-    assert {(r.doc_id, r.n_raw_tokens, r.activation_vector[0]) for r in a} == {
-        (r.doc_id, r.n_raw_tokens, r.activation_vector[0]) for r in b
-    }
-    assert sorted(r.activation_vector[0] for r in a) == [float(i) for i in range(1000)]
-    if per_ring > 1:
-        assert all(r.activation_vector[0] != r.n_raw_tokens for r in a)
+@pytest.mark.parametrize("rows", [1, 2, 9, 1000])
+def test_vector_shuffle(spark, rows):
+    """Each row takes its successor's vector in one ring, whatever the number of rows or ranges."""
+    keys = [(f"d{i % 50}", i) for i in range(rows)]
+    order = sorted(keys, key=lambda k: (h60(9, "ds", "activ", *k), k))
+    want = {k: float(order[(i + 1) % rows][1]) for i, k in enumerate(order)}
+    table = [(d, i, [float(i)] * 4) for d, i in keys]
+    df = spark.createDataFrame(table, "doc_id string, n_raw_tokens long, activation_vector array<float>")
+    for given, partitions in ((3, 1), (8, 7), (2, 600)):
+        out = batching.vector_shuffle(df.repartition(given), batching.KEYS, 9, "ds", partitions=partitions).collect()
+        assert {(r.doc_id, r.n_raw_tokens): r.activation_vector[0] for r in out} == want and len(out) == rows
+
+
+def test_vector_shuffle_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id string, n_raw_tokens long, activation_vector array<float>")
+    assert batching.vector_shuffle(df, batching.KEYS, 9, "ds").collect() == []
 
 
 def test_vector_shuffle_keeps_null_vectors(spark):
