@@ -11,6 +11,7 @@ from actlens.operators import aggregates, filters, joins
 from actlens.operators.sampling import position_sample
 from actlens.plans.explain import explain
 from actlens.session import scratch_path
+from actlens.sources.answers import AnswerStore
 from actlens.slots import StubCompleter
 from actlens.streaming.jobs import explain_stream
 
@@ -109,6 +110,33 @@ def explain_query(v):
     return done.select("doc_idx", "api_explanation")
 
 
+@query("explain_resumed", _EXPLAINED)
+def explain_resumed(v):
+    """The same through a store that already holds the answers for a part of the texts."""
+    cache = joins.cache_source(v.caches())
+    store = AnswerStore(v.spark, scratch_path(v.spark, "answers"))
+    explain(v.texts().where(F.col("doc_idx") % 3 == 0), cache, StubCompleter(), store=store)
+    done = explain(v.texts(), cache, StubCompleter(), store=store)
+    return done.select("doc_idx", "api_explanation")
+
+
+@query(
+    "explain_drops",
+    """SELECT reason, count(DISTINCT text_sha) AS texts, count(*) AS row_count FROM (
+         SELECT sha256(d.text) AS text_sha, CASE WHEN c.text_sha IS NULL AND raw IS NULL THEN 'gave_up'
+             WHEN c.text_sha IS NULL AND body IS NULL THEN 'no_tag'
+             WHEN len(string_split(coalesce(c.api_explanation, x.explanation), chr(10) || chr(10))) < 2 THEN 'too_few' END AS reason
+         FROM documents d LEFT JOIN cache c ON sha256(d.text) = c.text_sha JOIN cleaned x ON x.doc_idx = d.doc_id)
+       WHERE reason IS NOT NULL GROUP BY 1""",
+)
+def explain_drops(v):
+    """Texts and rows without an explanation, by reason, as a build leaves them behind."""
+    store = AnswerStore(v.spark, scratch_path(v.spark, "answers"))
+    explain(v.texts(), joins.cache_source(v.caches()), StubCompleter(), store=store)
+    drops = v.spark.read.parquet(f"{store.path}/drops")
+    return drops.groupBy("reason").agg(F.count(F.lit(1)).alias("texts"), F.sum("row_count").alias("row_count"))
+
+
 @query("explain_stream", _EXPLAINED)
 def explain_stream_query(v):
     """The same rows from a file stream in micro-batches."""

@@ -16,15 +16,16 @@ def score_rollouts(
     scale: float | str | None = vectors.SQRT_D,
     log_mode: bool = False,
     col: str = "activation_vector",
+    lenient: bool = False,
 ) -> DataFrame:
     """Add ``mse`` and ``reward``. Samples that are not completed get the fixed penalty
-    and never reach the model."""
+    and never reach the model; with ``lenient`` so do samples that the model fails on."""
     checked = rollout_status(df)
     explanation = F.when(
         F.col("status") == "COMPLETED", text.extract_explanation(F.col("response"))
     )
     scored = (
-        checked.withColumn("_pred", reconstruct_with(reconstructor)(explanation))
+        checked.withColumn("_pred", reconstruct_with(reconstructor, lenient)(explanation))
         .withColumn("mse", vectors.pair_scores(F.col("_pred"), F.col(col), scale)["mse"])
         .drop("_pred")
     )

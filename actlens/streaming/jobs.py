@@ -1,7 +1,7 @@
 """Streams over a folder of files; each micro-batch writes its own folder.
 
 The folder is named after the batch id, so a batch that runs again after a
-failure replaces what it wrote before. Neither stream keeps state.
+failure replaces what it wrote before. Only :func:`reward_batches` keeps state.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from actlens.plans.evaluate import score_rollouts
 from actlens.plans.explain import explain
 from actlens.slots import Completer, Reconstructor
+from actlens.streaming.gather import gathered
 
 
 def _by_batch(
@@ -88,3 +89,48 @@ def reward_stream(
     if seconds is None:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{seconds} seconds").start()
+
+
+# Lists and timers of a key are kept by this store; other stores have no timers.
+_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def reward_batches(
+    spark: SparkSession,
+    src: str,
+    dst: str,
+    checkpoint: str,
+    schema: T.StructType,
+    reconstructor: Reconstructor,
+    size: int,
+    seconds: float = 5.0,
+    lanes: int = 1,
+    key: str = "sample_id",
+    prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
+    every: float = 0.5,
+    max_files: int = 1000,
+    glob: str = "*.parquet",
+    **score_args,
+) -> StreamingQuery:
+    """Score samples in batches of ``size``, or fewer once the oldest has waited ``seconds``.
+
+    Samples are gathered over files and micro-batches, in ``lanes`` side by side. A batch is scored
+    as one; where the reconstructor fails, its samples get the fixed reward, like samples
+    that are not completed. The rows keep ``lane``, ``batch_no``, ``batch_size`` and ``cause``.
+    Runs until it is stopped. Settings of the state hold in a session of its own.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    source = (
+        own.readStream.schema(schema)
+        .option("maxFilesPerTrigger", max_files)
+        .option("pathGlobFilter", glob)
+        .parquet(src)
+    )
+
+    def work(batch: DataFrame) -> DataFrame:
+        return score_rollouts(prepare(batch), reconstructor, lenient=True, **score_args)
+
+    writer = _by_batch(gathered(source, size, seconds, lanes, key), work, dst, checkpoint)
+    return writer.trigger(processingTime=f"{int(every * 1000)} milliseconds").start()

@@ -1,6 +1,8 @@
 """Explanations: caches, completer, prior runs, streams."""
 
+import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +11,12 @@ from test_text import cleaned
 from actlens import fixed_values as fv
 from actlens.functions import text as tx
 from actlens.operators import aggregates, filters, joins
+from actlens.plans.evaluate import score_rollouts
 from actlens.plans.explain import explain
 from actlens.session import scratch_path
-from actlens.slots import SignReconstructor, StubCompleter, ThreadedCompleter, complete_prompts
-from actlens.streaming.jobs import explain_stream, reward_stream
+from actlens.slots import RetryingCompleter, SignReconstructor, StubCompleter, ThreadedCompleter, complete_prompts
+from actlens.sources.answers import ANSWERS, AnswerStore, CompleterFailed
+from actlens.streaming.jobs import explain_stream, reward_batches, reward_stream
 
 TEXTS = [f"text {'x' * (i % 13)} number {i}" for i in range(60)] + ["copied text"] * 40
 
@@ -97,6 +101,107 @@ def test_completer_contract(spark, rows):
         rows.select(complete_prompts(ThreadedCompleter(sometimes))(F.col("detokenized_text_truncated"))).collect()
 
 
+# --- the answer store -----------------------------------------------------------------
+
+
+def counting(path, fail_on=None):
+    """Writes down every prompt it is asked; fails for good on prompts with ``fail_on``."""
+    path = path.removeprefix("file:")
+
+    def call(prompt):
+        import os
+        import uuid
+
+        os.makedirs(path, exist_ok=True)
+        if fail_on and fail_on in prompt:
+            raise ValueError("broken completer")
+        with open(f"{path}/{uuid.uuid4().hex}", "w") as f:
+            f.write(prompt)
+        return "<analysis>a\nb</analysis>"
+
+    return call
+
+
+def asked(path):
+    path = path.removeprefix("file:")
+    return [open(f"{path}/{n}").read() for n in os.listdir(path)] if os.path.isdir(path) else []
+
+
+def test_a_failed_run_goes_on_where_it_stopped(spark, rows):
+    """The run dies in one of several chunks; started again, no text is asked twice."""
+    store = AnswerStore(spark, scratch_path(spark, "answers"))
+    calls = scratch_path(spark, "calls")
+    with pytest.raises(CompleterFailed, match="broken completer"):
+        explain(rows, None, RetryingCompleter(counting(calls, "number 33<")), store=store, per_chunk=7)
+    before = asked(calls)
+    assert 0 < len(before) < len(set(TEXTS)) and 0 < store.commits().count()
+    done = explain(rows, None, RetryingCompleter(counting(calls)), store=store, per_chunk=7)
+    assert {r.id for r in done.collect()} == set(range(len(TEXTS)))
+    prompts = asked(calls)
+    assert len(prompts) == len(set(prompts)) == len(set(TEXTS))
+    explain(rows, None, RetryingCompleter(counting(calls)), store=store).count()
+    assert len(asked(calls)) == len(prompts)
+
+
+def test_a_chunk_without_commit_is_not_read(spark, rows):
+    """What a dead job left in the folder does not count, and is asked again."""
+    store = AnswerStore(spark, scratch_path(spark, "answers"))
+    left = [("x" * 64, "<analysis>a\nb</analysis>", "answered", None, 1)]
+    spark.createDataFrame(left, ANSWERS).write.parquet(f"{store.path}/answers/chunk=dead-000000")
+    assert store.answers().count() == 0
+    explain(rows, None, StubCompleter(), store=store).count()
+    assert store.answers().count() == len(set(TEXTS)) and store.commits().agg(F.sum("texts")).first()[0] == len(set(TEXTS))
+
+
+def test_store_equals_one_pass(spark, rows, caches):
+    cache = joins.cache_source(caches)
+    store = AnswerStore(spark, scratch_path(spark, "answers"))
+    explain(rows.where("id < 30"), cache, StubCompleter(), store=store, per_chunk=5)
+    got = explain(rows, cache, StubCompleter(), store=store)
+    want = explain(rows, cache, StubCompleter())
+    assert {r.id: r.api_explanation for r in got.collect()} == {r.id: r.api_explanation for r in want.collect()}
+    drops = spark.read.parquet(f"{store.path}/drops")
+    assert drops.agg(F.sum("row_count")).first()[0] == len(TEXTS) - want.count()
+    assert {r.reason for r in drops.collect()} <= {"gave_up", "no_tag", "too_few"}
+
+
+def test_retries_back_off(monkeypatch):
+    waits, tries = [], {}
+    monkeypatch.setattr("actlens.slots.time.sleep", waits.append)
+
+    def flaky(prompt):
+        tries[prompt] = tries.get(prompt, 0) + 1
+        if prompt == "never" or tries[prompt] < 3 and prompt == "third":
+            raise TimeoutError("slow")
+        if prompt == "bad":
+            raise KeyError("bad")
+        return None if prompt == "silent" else prompt.upper()
+
+    completer = RetryingCompleter(flaky, concurrency=1, tries=4, wait=1.0, longest=3.0)
+    rows = completer.outcomes(["first", "third", "never", "bad", "silent"])
+    assert rows == [
+        ("FIRST", "answered", None, 1), ("THIRD", "answered", None, 3), (None, "gave_up", "TimeoutError('slow')", 4),
+        (None, "failed", "KeyError('bad')", 1), (None, "gave_up", None, 1),
+    ]
+    assert len(waits) == 5 and waits[0] < waits[1] and all(0.5 <= w <= 3.0 for w in waits)
+    assert tries == {"first": 1, "third": 3, "never": 4, "bad": 1, "silent": 1}
+    with pytest.raises(RuntimeError, match="bad"):
+        completer.complete(["bad"])
+
+
+def test_given_up_texts_are_asked_again_on_request(spark, rows):
+    store = AnswerStore(spark, scratch_path(spark, "answers"))
+    some = rows.where("id < 20")
+    silent = RetryingCompleter(lambda p: None)
+    assert explain(some, None, silent, store=store).count() == 0
+    calls = scratch_path(spark, "calls")
+    completer = RetryingCompleter(counting(calls))
+    assert explain(some, None, completer, store=store).count() == 0 and not asked(calls)
+    assert explain(some, None, completer, store=store, again=True).count() == 20
+    plain = store.answers().where("outcome = 'answered'")
+    assert plain.count() == len(asked(calls)) == 20
+
+
 def test_cache_parts(rows, caches):
     cache = joins.cache_source(caches)
     assert cache.count() == 20
@@ -178,8 +283,6 @@ def test_explain_stream_takes_each_file_once(spark, rows, caches):
 
 
 def test_reward_stream_equals_batch(spark):
-    from actlens.plans.evaluate import score_rollouts
-
     df = spark.range(50).select(
         "id",
         F.when(F.col("id") % 5 == 0, "TRUNCATED").otherwise("COMPLETED").alias("status"),
@@ -194,3 +297,69 @@ def test_reward_stream_equals_batch(spark):
     got = {r.id: r.reward for r in spark.read.parquet(dst).collect()}
     want = {r.id: r.reward for r in score_rollouts(stored, SignReconstructor(4)).collect()}
     assert got == pytest.approx(want) and len(got) == 50
+
+
+# --- batches by number or time ----------------------------------------------------------
+
+
+def samples(spark, lo, hi):
+    return spark.range(lo, hi).select(
+        F.col("id").alias("sample_id"),
+        F.when(F.col("id") % 5 == 0, "TRUNCATED").otherwise("COMPLETED").alias("status"),
+        F.concat(F.lit("<explanation>+"), F.col("id") % 4, F.lit("</explanation>")).alias("response"),
+        F.array(*[F.rand(i).cast("float") for i in range(4)]).alias("activation_vector"),
+        F.when(F.col("id") % 3 == 0, F.col("id")).alias("sometimes"),
+    )
+
+
+def wait_for(spark, path, rows, seconds=90):
+    end = time.time() + seconds
+    while time.time() < end:
+        folders = [f"{path}/{n}" for n in os.listdir(path)] if os.path.isdir(path) else []
+        done = [f for f in folders if os.path.exists(f"{f}/_SUCCESS")]
+        found = spark.read.parquet(*done).collect() if done else []
+        if len(found) >= rows:
+            return found
+        time.sleep(0.3)
+    raise AssertionError(f"{len(found)} of {rows} rows")
+
+
+def test_rewards_are_batched_by_number_or_time(spark):
+    """Full batches at once, the rest after the timeout, a late sample in a short batch of its own."""
+    src, dst, check = (scratch_path(spark, n).removeprefix("file:") for n in ("src", "dst", "check"))
+    samples(spark, 0, 11).coalesce(1).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    stream = reward_batches(spark, src, dst, check, schema, SignReconstructor(4), size=4, seconds=2.0)
+    try:
+        assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+        first = wait_for(spark, dst, 11)
+        assert sorted((r.batch_no, r.batch_size, r.cause) for r in first) == (
+            [(0, 4, "size")] * 4 + [(1, 4, "size")] * 4 + [(2, 3, "time")] * 3
+        )
+        samples(spark, 11, 12).coalesce(1).write.mode("append").parquet(src)
+        rows = wait_for(spark, dst, 12)
+        assert {(r.sample_id, r.batch_no, r.batch_size, r.cause) for r in rows} >= {(11, 3, 1, "time")}
+    finally:
+        stream.stop()
+    stored = spark.read.parquet(src)
+    want = {r.sample_id: (r.reward, r.sometimes) for r in score_rollouts(stored, SignReconstructor(4)).collect()}
+    got = {r.sample_id: (r.reward, r.sometimes) for r in rows}
+    assert len(rows) == 12 and got.keys() == want.keys()
+    assert all(got[i][0] == pytest.approx(want[i][0]) and got[i][1] == want[i][1] for i in want)
+
+
+def test_rewards_of_a_failing_model(spark):
+    class Broken:
+        def reconstruct(self, texts):
+            if any("+1" in t for t in texts):
+                raise RuntimeError("out of memory")
+            import numpy as np
+
+            return np.ones((len(texts), 4), np.float32)
+
+    df = samples(spark, 0, 8).coalesce(1)
+    rows = score_rollouts(df, Broken(), lenient=True).collect()
+    assert {r.reward for r in rows} == {-2.0}
+    with pytest.raises(Exception, match="out of memory"):
+        score_rollouts(df, Broken()).collect()
