@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from actlens.catalog.registry import query
@@ -10,7 +13,7 @@ from actlens.functions import text
 from actlens.operators import aggregates, filters, rollouts
 from actlens.session import scratch_path
 from actlens.slots import SignReconstructor
-from actlens.streaming.jobs import reward_stream
+from actlens.streaming.jobs import reward_batches, reward_stream
 
 _DONE = r"regexp_matches(response, '(?s)<explanation>.*?</explanation>')"
 # Tokens of the filled critic template: the response words, plus five around them.
@@ -175,35 +178,76 @@ def length_reward_corr(v):
     )
 
 
-@query(
-    "reward_stream",
-    f"""SELECT rollout_id, count(*) AS n, count(*) FILTER (status = 'COMPLETED') AS scored,
-          count(*) FILTER (status <> 'COMPLETED') AS penalised FROM rollouts GROUP BY 1""",
-)
-def reward_stream_query(v):
-    """Samples scored from a file stream; vectors come from the embeddings by sample id."""
+# The stand-in's vector of a text without signs: the bytes of its digest, twice.
+_REWARDS = f"""
+  WITH e AS (SELECT vec_id, embedding, (SELECT count(*) FROM embeddings) AS n FROM embeddings),
+  r AS (SELECT *, regexp_extract(response, '(?s)<explanation>(.*?)</explanation>', 1) AS body FROM rollouts),
+  p AS (SELECT rollout_id, sample_id, status, list_transform(embedding, lambda x: x::DOUBLE) AS gold, list_transform(range(0, 64),
+          lambda i: ('0x' || substr(sha256(trim(body, chr(10) || ' ')), 1 + 2 * (i % 32), 2))::INT - 127.5::DOUBLE) AS pred
+        FROM r JOIN e ON e.vec_id = sample_id % n),
+  s AS (SELECT rollout_id, sample_id, status, CASE WHEN status = 'COMPLETED' THEN 2 * list_cosine_similarity(pred, gold) - 2 ELSE -2.0 END AS reward FROM p)
+  SELECT rollout_id, count(*) AS n, count(*) FILTER (status = 'COMPLETED') AS scored,
+    count(*) FILTER (status <> 'COMPLETED') AS penalised, round(avg(reward), 4) AS mean_reward,
+    round(max(reward) FILTER (status = 'COMPLETED'), 4) AS best_reward FROM s GROUP BY 1"""
+
+
+def _incoming(v):
+    """Samples without rewards as a folder of files; vectors come from the embeddings by sample id."""
     embeddings = v.table("embeddings")
     n = embeddings.agg(F.count(F.lit(1))).scalar()
-    src, dst = scratch_path(v.spark, "incoming"), scratch_path(v.spark, "rewards")
+    src = scratch_path(v.spark, "incoming")
     samples = v.rollouts().withColumn("vec_id", F.col("sample_id") % n)
     vectors = embeddings.select("vec_id", F.col("embedding").alias("activation_vector"))
-    incoming = samples.join(vectors, "vec_id").drop("reward", "vec_id")
-    incoming.repartition("sample_id").write.parquet(src)
-    schema = v.spark.read.parquet(src).schema
-    stream = reward_stream(
-        v.spark,
-        src,
-        dst,
-        scratch_path(v.spark, "stream"),
-        schema,
-        SignReconstructor(64),
-        seconds=None,
-        max_files=2,
-    )
-    stream.awaitTermination()
-    scored = v.spark.read.parquet(dst)
-    return scored.groupBy("rollout_id").agg(
+    samples.join(vectors, "vec_id").drop("reward", "vec_id").repartition("sample_id").write.parquet(src)
+    return src, v.spark.read.parquet(src).schema
+
+
+def _scored(rows):
+    done = F.col("mse").isNotNull()
+    return rows.groupBy("rollout_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("mse").alias("scored"),
-        F.count_if(F.col("reward") == -2.0).alias("penalised"),
+        F.count_if(~done & (F.col("reward") == -2.0)).alias("penalised"),
+        F.round(F.avg("reward"), 4).alias("mean_reward"),
+        F.round(F.max(F.when(done, F.col("reward"))), 4).alias("best_reward"),
     )
+
+
+@query("reward_stream", _REWARDS)
+def reward_stream_query(v):
+    """Samples scored from a file stream."""
+    src, schema = _incoming(v)
+    dst, checkpoint = scratch_path(v.spark, "rewards"), scratch_path(v.spark, "stream")
+    reconstructor = SignReconstructor(64)
+    stream = reward_stream(v.spark, src, dst, checkpoint, schema, reconstructor, seconds=None, max_files=2)
+    stream.awaitTermination()
+    return _scored(v.spark.read.parquet(dst))
+
+
+def _written(spark, path) -> int:
+    try:
+        return spark.read.schema("sample_id long").parquet(path).count()
+    except AnalysisException:  # nothing is written yet
+        return 0
+
+
+@query("reward_batches", _REWARDS)
+def reward_batches_query(v):
+    """The same with samples gathered into batches, of 512 or of what a second brought."""
+    src, schema = _incoming(v)
+    dst, checkpoint = scratch_path(v.spark, "rewards"), scratch_path(v.spark, "stream")
+    n = v.spark.read.parquet(src).count()
+    stream = reward_batches(v.spark, src, dst, checkpoint, schema, SignReconstructor(64), 512, 1.0, lanes=4)
+    done, grown = 0, time.monotonic()
+    try:
+        while stream.isActive and done < n:  # the last batch of each lane waits for its timer
+            time.sleep(0.2)
+            before, done = done, _written(v.spark, dst)
+            grown = time.monotonic() if done > before else grown
+            if time.monotonic() - grown > 120:
+                raise TimeoutError(f"{done} of {n} samples scored, none for two minutes")
+    finally:
+        stream.stop()
+    if stream.exception() is not None:
+        raise stream.exception()
+    return _scored(v.spark.read.parquet(dst))

@@ -1,8 +1,8 @@
 """Aggregates over vectors, scores and datasets.
 
-Vector sums are formed per Arrow batch first, so that what is shuffled does not
-grow with the rows of a hot group, and finished per (group, element), so that no
-task merges whole vectors of all partitions.
+Vector sums are carried over all Arrow batches of a task, so that what is shuffled is
+one sum per task, group and element at most, and finished per (group, element), so that
+no task merges whole vectors of all partitions.
 """
 
 from __future__ import annotations
@@ -14,36 +14,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from actlens import fixed_values as fv
 from actlens.functions import text, vectors
 from actlens.operators.selection import exact_percentiles
 from actlens.session import materialize
 
+# Bytes of sums that a task holds; beyond, they are passed on and begun anew.
+HELD_BYTES = 64 << 20
+
 PERCENTILES = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 
 
 # --- vectors ----------------------------------------------------------------------
 
 
-def vector_sums(
+def partial_sums(
     df: DataFrame,
     gold: str,
     by: Sequence[str] = (),
     scale: float | str | None = None,
     pred: str | None = None,
 ) -> DataFrame:
-    """Long table ``by…, pos, n, total, sq, err``.
+    """One row per task and group: ``by…, _n, _sq, _err, _total`` (see :func:`vector_sums`).
 
-    ``total`` is the sum of element ``pos`` of the rescaled vectors, ``n`` the
-    rows, ``sq`` the sum of their squared norms, ``err`` the sum of the rows'
-    mean squared differences to ``pred`` (0 without one).
+    More rows come from a task only where its sums outgrow HELD_BYTES.
     """
     by = list(by)
     columns = by + [gold] + ([pred] if pred else [])
     source = df.select(*columns).where(F.col(gold).isNotNull())
+    key_schema = T.StructType([source.schema[c] for c in by])
     schema = T.StructType(
-        [source.schema[c] for c in by]
+        key_schema.fields
         + [
             T.StructField("_n", T.LongType()),
             T.StructField("_sq", T.DoubleType()),
@@ -53,11 +56,43 @@ def vector_sums(
     )
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
         for batch in batches:
-            if batch.num_rows:
-                yield _batch_sums(batch, by, gold, pred, scale)
+            if not batch.num_rows:
+                continue
+            for key, n, sq, err, total in _batch_sums(batch, by, gold, pred, scale):
+                mine = held.get(key)
+                if mine is None:
+                    held[key] = [n, sq, err, total]
+                    size += total.nbytes + 200
+                elif len(mine[3]) != len(total):
+                    raise ValueError(f"vectors in {gold} differ in width")
+                else:
+                    held[key] = [mine[0] + n, mine[1] + sq, mine[2] + err, mine[3] + total]
+            if size > HELD_BYTES:
+                yield _sum_rows(held, key_schema)
+                held, size = {}, 0
+        if held:
+            yield _sum_rows(held, key_schema)
+
+    return source.mapInArrow(partial, schema)
+
+
+def vector_sums(
+    df: DataFrame,
+    gold: str,
+    by: Sequence[str] = (),
+    scale: float | str | None = None,
+    pred: str | None = None,
+) -> DataFrame:
+    """Long table ``by…, pos, n, total, sq, err``.
 
-    partials = source.mapInArrow(partial, schema)
+    ``total`` is the sum of element ``pos`` of the rescaled vectors, ``n`` the
+    rows, ``sq`` the sum of their squared norms, ``err`` the sum of the rows'
+    mean squared differences to ``pred`` (0 without one).
+    """
+    partials = partial_sums(df, gold, by, scale, pred)
     return (
         partials.select(*by, "_n", "_sq", "_err", F.posexplode("_total").alias("pos", "_x"))
         .groupBy(*by, "pos")
@@ -77,32 +112,36 @@ def _matrix(batch: pa.RecordBatch, col: str, scale: float | str | None) -> np.nd
     return vectors._scaled(flat, lengths, scale).reshape(batch.num_rows, -1)
 
 
-def _batch_sums(batch, by: list[str], gold: str, pred: str | None, scale) -> pa.RecordBatch:
+def _batch_sums(batch, by: list[str], gold: str, pred: str | None, scale) -> Iterator[tuple]:
+    """(key, rows, sum of squared norms, sum of errors, sum of vectors) of each group in a batch."""
     matrix = _matrix(batch, gold, scale)
     squares = (matrix * matrix).sum(axis=1)
     errors = np.zeros(len(matrix))
     if pred:
         errors = ((_matrix(batch, pred, scale) - matrix) ** 2).mean(axis=1)
-    if by:
-        keys = batch.select(by)
-        codes = np.zeros(batch.num_rows, dtype=np.int64)
-        for column in keys.columns:  # 0 stands for a NULL key
-            index = column.dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) + 1
-            codes = np.unique(codes * (index.max() + 1) + index, return_inverse=True)[1]
-        order = np.argsort(codes, kind="stable")
-        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
-        arrays = [keys.column(i).take(pa.array(order[starts])) for i in range(len(by))]
-    else:
-        order, starts, arrays = np.arange(len(matrix)), np.array([0]), []
-    ends = np.append(starts[1:], len(order))
+    codes = np.zeros(batch.num_rows, dtype=np.int64)
+    keys = batch.select(by)
+    for column in keys.columns:  # 0 stands for a NULL key
+        index = column.dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64) + 1
+        codes = np.unique(codes * (index.max() + 1) + index, return_inverse=True)[1]
+    order = np.argsort(codes, kind="stable")
+    starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
     sums = np.add.reduceat(matrix[order], starts, axis=0)
-    arrays += [
-        pa.array(ends - starts, pa.int64()),
-        pa.array(np.add.reduceat(squares[order], starts)),
-        pa.array(np.add.reduceat(errors[order], starts)),
-        pa.array(list(sums), pa.list_(pa.float64())),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=[*by, "_n", "_sq", "_err", "_total"])
+    figures = [np.diff(np.append(starts, len(order))).tolist()]
+    figures += [np.add.reduceat(x[order], starts).tolist() for x in (squares, errors)]
+    heads = [keys.column(i).take(pa.array(order[starts])).to_pylist() for i in range(len(by))]
+    names = list(zip(*heads)) if by else [()]
+    yield from zip(names, *figures, sums)
+
+
+def _sum_rows(held: dict[tuple, list], keys: T.StructType) -> pa.RecordBatch:
+    columns = list(zip(*held)) if keys else []
+    kinds = [to_arrow_type(field.dataType) for field in keys]
+    n, sq, err, total = zip(*held.values())
+    arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+    arrays += [pa.array(n, pa.int64()), pa.array(sq, pa.float64()), pa.array(err, pa.float64())]
+    arrays.append(pa.array([t.tolist() for t in total], pa.list_(pa.float64())))
+    return pa.RecordBatch.from_arrays(arrays, names=[*keys.fieldNames(), "_n", "_sq", "_err", "_total"])
 
 
 def mean_vector(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:

@@ -219,3 +219,24 @@ def test_offsets_do_not_wrap():
     assert _offsets([2, 0, 3]).to_pylist() == [0, 2, 2, 5]
     with pytest.raises(OverflowError):
         _offsets([2**30, 2**30, 1])
+
+
+def test_sums_are_shuffled_once_per_task(spark, monkeypatch):
+    """Sums carried over the batches of a task: tasks x groups x width rows before the shuffle, flushed or not."""
+    rng = np.random.default_rng(3)
+    table = [(int(g), rng.normal(size=5).tolist()) for g in rng.integers(0, 3, 2000)]
+    rows = [(None if g == 2 else f"g{g}", v) for g, v in table]
+    df = spark.createDataFrame(rows, "g string, v array<double>").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        want = {g: sum(1 for x, _ in rows if x == g) for g in (None, "g0", "g1")}
+        for bound in (aggregates.HELD_BYTES, 1):
+            monkeypatch.setattr(aggregates, "HELD_BYTES", bound)
+            found = {(r.g, r.pos): (r.n, r.total) for r in aggregates.vector_sums(df, "v", ["g"]).collect()}
+            assert len(found) == 15
+            for (g, pos), (n, total) in found.items():
+                assert n == want[g] and np.isclose(total, sum(v[pos] for x, v in rows if x == g))
+        monkeypatch.undo()
+        assert aggregates.partial_sums(df, "v", ["g"]).count() <= 4 * 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
