@@ -58,7 +58,7 @@ def read_projected(v):
     "SELECT source, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1",
 )
 def read_batched(v):
-    docs = src.read_batched(v.spark, f"{v.sf_dir}/documents.parquet", 128 << 20)
+    docs = src.read_batched(v.spark, f"{v.sf_dir}/documents.parquet", 1 << 18)
     return docs.groupBy("source").agg(
         F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars")
     )
@@ -153,7 +153,8 @@ def chunk_union(v):
     """Chunks written to folders of their own, read as one table."""
     path = scratch_path(v.spark, "chunks")
     docs = v.corpus().select("doc_id", F.floor(F.col("doc_idx") / 100).alias("chunk_id"))
-    docs.withColumn("part", F.col("chunk_id")).write.partitionBy("part").parquet(path)
+    parted = docs.withColumn("part", F.col("chunk_id")).repartition("part")  # one file per chunk
+    parted.write.partitionBy("part").parquet(path)
     return (
         src.chunk_union(v.spark, path).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("row_count"))
     )
@@ -288,7 +289,8 @@ def pad_leak_check(v):
 
 @query("doc_split", f"SELECT doc_id, n_raw_tokens, bucket FROM base JOIN ({_SPLIT_SQL}) USING (doc_id)")
 def doc_split(v):
-    return sampling.doc_split(v.base().select("doc_id", "n_raw_tokens"), SPLIT, SEED)
+    documents = sampling.drop_unsampled_docs(v.positions())
+    return sampling.doc_split(v.base().select("doc_id", "n_raw_tokens"), SPLIT, SEED, documents=documents)
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from actlens.catalog.registry import query
 from actlens.catalog.views import LAYER, MODEL
 from actlens.operators import joins, shards
+from actlens.plans.merge import merge_job
 from actlens.session import scratch_path
 from actlens.sources import manifest as mf
 
@@ -53,21 +54,18 @@ def rowcount_check(v):
        FROM documents GROUP BY 1""",
 )
 def merge_shards(v):
-    """Shards by language merged again; the id is that of a serial run over the whole slice."""
-    docs = v.table("documents")
-    langs = [r.lang for r in docs.select("lang").distinct().orderBy("lang").collect()]
-    manifests = v.shards().where(F.col("run") == "whole")
-    merged = shards.merge_shards([docs.where(F.col("lang") == x) for x in langs], manifests)
-    whole = shards.merged_slice(manifests)
-    serial = whole.select(
-        mf.dataset_id(
-            F.lit(MODEL), F.lit(LAYER), F.lit("documents"), F.col("start"), F.col("length")
-        ).alias("id")
-    ).scalar()
+    """Shards of 100 documents in folders of their own, merged by a job; the id is that of a serial run."""
+    root, dst = scratch_path(v.spark, "shards"), scratch_path(v.spark, "merged")
+    docs = v.table("documents").withColumn("whole", F.concat(F.lit("shard-"), F.floor(F.col("doc_id") / 100)))
+    docs.repartition("whole").write.partitionBy("whole").parquet(root)
+    manifests = v.shards().where(F.col("run") == "whole").drop("run")
+    manifests = manifests.withColumn("path", F.concat(F.lit("whole="), F.substring_index("path", "/", -1)))
+    merged = merge_job(v.spark, root, manifests, dst, v.table("documents").schema)
     return (
-        merged.groupBy("lang")
+        v.spark.read.parquet(dst)
+        .groupBy("lang")
         .agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.length("text")).alias("chars"))
-        .withColumn("dataset_id", serial)
+        .withColumn("dataset_id", F.lit(merged.dataset_id))
     )
 
 

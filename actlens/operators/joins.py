@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from actlens import fixed_values as fv
 from actlens.functions import text as tx
 from actlens.functions.hashing import text_hash
+from actlens.session import materialize
 
 TEXT = "detokenized_text_truncated"
 EXPLANATION = "api_explanation"
@@ -124,16 +125,20 @@ def prior_run_join(
 ) -> DataFrame:
     """Rows with the explanation an earlier run has for the same key; misses are dropped.
 
-    A match rate below ``min_match`` is an error when the result is computed:
-    the earlier run then has another corpus, seed or tokenizer. The rate is a
-    scalar subquery over keys only; nothing is collected.
+    A match rate below ``min_match`` is an error: the earlier run then has another corpus, seed
+    or tokenizer. Both tables are read once: the rate is observed in the join while
+    its hits are stored, so nothing is returned before it is known.
     """
-    rate = match_rate(raw, prior).select("match_rate").scalar()
-    message = F.concat(F.lit("match rate too low: "), rate.cast("string"))
-    enough = F.when(rate >= min_match, F.lit(True)).otherwise(
-        F.raise_error(message).cast("boolean")
+    known = prior_explanations(prior, template).withColumn("_hit", F.lit(True))
+    seen = Observation()
+    joined = raw.join(known, list(KEYS), "left").observe(
+        seen, F.count(F.lit(1)).alias("n"), F.count("_hit").alias("matched")
     )
-    return raw.join(prior_explanations(prior, template), list(KEYS)).where(enough)
+    hits = materialize(joined.where("_hit").drop("_hit"), "prior-hits")
+    figures = seen.get
+    if figures["n"] and figures["matched"] < min_match * figures["n"]:
+        raise ValueError(f"match rate too low: {figures['matched']} of {figures['n']}")
+    return hits
 
 
 def recover_cache(prior: DataFrame, template: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from actlens.functions.binding import let
 from actlens.functions.hashing import key_hash, unit_hash
 from actlens.functions.text import first_words, prefix_text
 from actlens.operators.ranking import before_cut, hash_order_key, rank_cuts
+from actlens.session import materialize
 
 
 def candidate_positions(
@@ -134,13 +135,19 @@ def check_fractions(fracs: dict[str, float]) -> None:
 
 
 def doc_split(
-    df: DataFrame, fracs: dict[str, float], seed: int, key: str = "doc_id", out: str = "bucket"
+    df: DataFrame,
+    fracs: dict[str, float],
+    seed: int,
+    key: str = "doc_id",
+    out: str = "bucket",
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Exact split by document: ``int(n * f)`` documents per bucket, the rest in the last.
 
-    The cut points of the hashed document order come from the distinct ids; each
-    row then finds its bucket by comparing its own hash with them. Wide rows are
-    neither shuffled nor joined.
+    The cut points of the hashed document order come from the distinct ids, which are
+    stored once; each row then finds its bucket by comparing its own hash with
+    them. Wide rows are neither shuffled nor joined. ``documents`` may give the ids of all documents
+    with rows, once each, where they are known before the rows are made.
     """
     check_fractions(fracs)
     names, shares = list(fracs), list(fracs.values())
@@ -150,9 +157,9 @@ def doc_split(
             (F.floor(n.cast("double") * F.lit(f)) for f in shares[: upto + 1]), F.lit(0)
         )
 
-    cuts = rank_cuts(
-        df.select(key).distinct(), [key], seed, [boundary(i) for i in range(len(names) - 1)]
-    )
+    ids = df.select(key).distinct() if documents is None else documents.select(key)
+    ids = materialize(ids, "document-ids")
+    cuts = rank_cuts(ids, [key], seed, [boundary(i) for i in range(len(names) - 1)])
     cut = cuts.select(F.struct(*[f"cut_{i}" for i in range(len(names) - 1)])).scalar()
     row_key = hash_order_key(df, [key], seed)
     bucket = F.lit(names[-1])

@@ -6,12 +6,13 @@ the size of the data it describes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from actlens.functions.binding import let
 from actlens.session import materialize
@@ -96,17 +97,44 @@ def shard_problems(manifests: DataFrame) -> DataFrame:
     )
 
 
-def merge_shards(shards: Sequence[DataFrame], manifests: DataFrame) -> DataFrame:
-    """All shards as one table; raises where :func:`shard_problems` has rows or the declared rows are not there."""
-    problems = shard_problems(manifests)
+def scan_shards(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame:
+    """All rows of the shard folders under ``root`` in one scan, with ``path``: the folder below ``root``.
+
+    The folder comes from the scan's own file metadata.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true")
+    rows = (reader.schema(schema) if schema is not None else reader).parquet(root)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    base = re.sub(r"^\w+:/*", "", root.rstrip("/")).strip("/")
+    return rows.withColumn("path", F.substring_index(folder, f"{base}/", -1))
+
+
+def count_problems(rows: DataFrame, manifests: DataFrame) -> DataFrame:
+    """``path``, ``problem`` of every shard whose rows are not those that its manifest declares.
+
+    One plan over all shards: rows are counted by folder in the map tasks.
+    """
+    found = rows.groupBy("path").agg(F.count(F.lit(1)).alias("found"))
+    declared = manifests.select("path", F.col("row_count").alias("declared"))
+    problem = (
+        F.when(F.col("declared").isNull(), "no manifest")
+        .when(F.coalesce("found", F.lit(0)) != F.col("declared"), F.format_string("%d rows, declared %d", F.coalesce("found", F.lit(0)), "declared"))
+    )
+    joined = found.join(declared, "path", "full_outer")
+    return joined.select("path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def merge_shards(rows: DataFrame, manifests: DataFrame) -> DataFrame:
+    """The rows of all shards (``path`` tells them apart) as one table, without ``path``.
+
+    Raises where :func:`shard_problems` or :func:`count_problems` have rows.
+    """
+    problems = shard_problems(manifests).unionByName(count_problems(rows, manifests))
     least = problems.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "problem")).alias("of")).first()
     if least.n:
-        raise ValueError(f"{least.of.path}: {least.of.problem} ({least.n} problems; shard_problems lists them)")
-    merged = reduce(DataFrame.unionByName, shards)
-    counts = rowcount_check(merged, manifests).first()
-    if not counts.agrees:
-        raise ValueError(f"merged rows {counts.found} != declared rows {counts.declared}")
-    return merged
+        message = f"{least.of.path}: {least.of.problem} ({least.n} problems"
+        raise ValueError(f"{message}; shard_problems and count_problems list them)")
+    return rows.drop("path")
 
 
 def manifest_validate(manifests: DataFrame) -> DataFrame:

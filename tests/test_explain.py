@@ -238,8 +238,23 @@ def test_prior_run_join(spark, kind):
     )
     out = joins.prior_run_join(raw, prior(spark, range(3, 120), kind))
     assert {r.n_raw_tokens: r.api_explanation for r in out.collect()} == {k: f"e{k}" for k in range(3, 100)}
-    with pytest.raises(Exception, match="match rate too low"):
-        joins.prior_run_join(raw, prior(spark, range(50), kind)).collect()
+    with pytest.raises(ValueError, match="match rate too low: 50 of 100"):
+        joins.prior_run_join(raw, prior(spark, range(50), kind))
+    assert joins.prior_run_join(raw.limit(0), prior(spark, range(50), kind)).collect() == []
+
+
+def test_prior_run_join_reads_each_input_once(spark):
+    """Both sides are counted as they are computed: once per row."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        read.add(1)
+        return x
+
+    raw = spark.range(100).select(F.lit("d").alias("doc_id"), seen.asNondeterministic()("id").alias("n_raw_tokens"))
+    known = spark.range(100).select(F.lit("d").alias("doc_id"), F.col("id").alias("n_raw_tokens"), F.lit("<explanation>\ne\n</explanation>").alias("response"))
+    assert joins.prior_run_join(raw, known).count() == 100 and read.value == 100
 
 
 def test_recover(spark):

@@ -1,12 +1,17 @@
 """Manifests, shards, lineage."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from actlens.operators import shards
 from actlens.plans import build
+from actlens.plans.merge import merge_job
 from actlens.session import scratch_path
 from actlens.sources import manifest as mf
+from actlens.sources import sinks
+from actlens.sources.corpus import read_batched
 
 
 def make(stage="base", **changes):
@@ -71,10 +76,16 @@ def shard_table(spark, slices, layers=None, rows=None):
     return spark.createDataFrame(out, schema)
 
 
+def labelled(spark, slices):
+    """Rows of shards s0, s1, …, told apart by ``path``."""
+    rows = [(i, f"s{k}") for k, (a, n) in enumerate(slices) for i in range(a, a + n)]
+    return spark.createDataFrame(rows, "id long, path string")
+
+
 def test_merge(spark):
     slices = [(50, 20), (0, 50), (70, 5)]
-    parts = [spark.range(a, a + n) for a, n in slices]
-    merged = shards.merge_shards(parts, shard_table(spark, slices))
+    merged = shards.merge_shards(labelled(spark, slices), shard_table(spark, slices))
+    assert merged.columns == ["id"]
     assert sorted(r.id for r in merged.collect()) == list(range(75))
     whole = shards.merged_slice(shard_table(spark, slices)).first()
     assert (whole.start, whole.length, whole.parent_datasets) == (0, 75, ["ds1", "ds0", "ds2"])
@@ -86,13 +97,73 @@ def test_merge(spark):
         ([(0, 10), (15, 5)], None, None, "gap"),
         ([(0, 10), (5, 5)], None, None, "overlap"),
         ([(0, 10), (10, 5)], [2, 3], None, "differs in layer_index"),
-        ([(0, 10), (10, 5)], None, [10, 6], "merged rows 15 != declared rows 16"),
+        ([(0, 10), (10, 5)], None, [10, 6], "s1: 5 rows, declared 6"),
     ],
 )
 def test_bad_merges(spark, slices, layers, rows, message):
-    parts = [spark.range(a, a + n) for a, n in slices]
     with pytest.raises(ValueError, match=message):
-        shards.merge_shards(parts, shard_table(spark, slices, layers, rows))
+        shards.merge_shards(labelled(spark, slices), shard_table(spark, slices, layers, rows))
+
+
+def test_counts_by_shard(spark):
+    """Rows are compared shard by shard: a surplus in one does not make up for another."""
+    declared = shard_table(spark, [(0, 10), (10, 5), (15, 3)])
+    rows = labelled(spark, [(0, 11), (11, 4)]).unionByName(spark.createDataFrame([(9, "s9")], "id long, path string"))
+    found = {r.path: r.problem for r in shards.count_problems(rows, declared).collect()}
+    assert found == {"s0": "11 rows, declared 10", "s1": "4 rows, declared 5", "s2": "0 rows, declared 3", "s9": "no manifest"}
+    with pytest.raises(ValueError, match="4 problems"):
+        shards.merge_shards(rows, declared)
+
+
+def test_merge_job(spark):
+    """One scan of all shard folders; nothing is written where a shard is wrong."""
+    slices = [(50, 20), (0, 50), (70, 5)]
+    root, dst = scratch_path(spark, "shards"), scratch_path(spark, "merged")
+    labelled(spark, slices).withColumn("part", F.col("path")).write.partitionBy("part").parquet(root)
+    manifests = shard_table(spark, slices).withColumn("path", F.concat(F.lit("part="), "path"))
+    scan = shards.scan_shards(spark, root).drop("path")
+    assert {r.path for r in shards.scan_shards(spark, root).select("path").distinct().collect()} == {f"part=s{i}" for i in range(3)}
+    assert scan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    with pytest.raises(ValueError, match="part=s2: 5 rows, declared 4"):
+        merge_job(spark, root, shard_table(spark, slices, rows=[20, 50, 4]).withColumn("path", F.concat(F.lit("part="), "path")), dst)
+    assert not os.path.exists(dst.removeprefix("file:"))
+    schema = spark.createDataFrame([], "id long").schema
+    merged = merge_job(spark, root, manifests, dst, schema)
+    assert (merged.row_count, merged.parent_datasets) == (75, ["ds1", "ds0", "ds2"])
+    assert merged.dataset_id == mf.base_dataset_id("m", 2, "c", 0, 75) and mf.manifest_read(spark, dst).row_count == 75
+    assert sorted(r.id for r in spark.read.parquet(dst).collect()) == list(range(75))
+
+
+def test_row_groups_are_bounded(spark):
+    """The writer's limit shows in the footers; a table written without it is refused."""
+    path, other = scratch_path(spark, "bounded"), scratch_path(spark, "free")
+    rows = spark.range(0, 2000, 1, 1).select("id")
+    stored = sinks.write_dataset(rows, path, rows.schema, make(), max_rows_per_file=900, row_group_rows=128)
+    assert stored.row_count == 2000
+    sizes = sinks.row_groups(spark, path)
+    assert sizes.agg(F.sum("row_count"), F.max("row_count")).first()[:] == (2000, 128)
+    assert sizes.select("file").distinct().count() == 3
+    assert sinks.checked_row_groups(spark, path, 128) == 128
+    rows.write.parquet(other)
+    with pytest.raises(ValueError, match="row group of 2000 rows"):
+        sinks.checked_row_groups(spark, other, 128)
+
+
+def test_split_size_is_the_readers_own(spark):
+    path = scratch_path(spark, "batched")
+    spark.range(0, 20_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("t")).write.option(
+        "parquet.block.row.count.limit", 1000
+    ).parquet(path)
+    before = dict(spark.conf.getAll)
+    many, few = read_batched(spark, path, 64 << 10), read_batched(spark, path, 1 << 30)
+    assert dict(spark.conf.getAll) == before
+
+    def splits(df):
+        return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+    assert splits(many) > 5 * splits(few) and many.count() == few.count() == 20_000
+    joined = spark.range(1).select(F.sha2(F.lit("7"), 256).alias("t")).join(many, "t")
+    assert joined.count() == 1
 
 
 def test_lineage(spark):
@@ -141,4 +212,4 @@ def test_shard_problems_are_all_listed(spark):
     found = shards.shard_problems(shard_table(spark, slices, layers=[2] * 30))
     assert found.count() == 29 and {r.problem.split()[0] for r in found.collect()} == {"gap"}
     with pytest.raises(ValueError, match="29 problems"):
-        shards.merge_shards([spark.range(300)], shard_table(spark, slices, layers=[2] * 30))
+        shards.merge_shards(labelled(spark, slices), shard_table(spark, slices, layers=[2] * 30))
