@@ -289,7 +289,7 @@ def pad_leak_check(v):
 
 @query("doc_split", f"SELECT doc_id, n_raw_tokens, bucket FROM base JOIN ({_SPLIT_SQL}) USING (doc_id)")
 def doc_split(v):
-    documents = sampling.drop_unsampled_docs(v.positions())
+    documents = sampling.sampleable_docs(v.tokens())
     return sampling.doc_split(v.base().select("doc_id", "n_raw_tokens"), SPLIT, SEED, documents=documents)
 
 

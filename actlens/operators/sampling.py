@@ -110,6 +110,18 @@ def position_sample(df: DataFrame, k: int, seed: int, **options) -> DataFrame:
     )
 
 
+def sampleable_docs(
+    df: DataFrame,
+    min_pos: int = fv.MIN_POSITION,
+    special: Sequence[str] = (),
+    key: str = "doc_id",
+    tokens: str = "tokens",
+) -> DataFrame:
+    """Ids of the documents that have a candidate position, and so get a sample; nothing is drawn."""
+    spots = F.size(_candidates(F.col(tokens), min_pos, special)) if special else F.size(tokens) - min_pos
+    return df.where(spots > 0).select(key)
+
+
 def drop_unsampled_docs(docs: DataFrame, positions: str = "positions") -> DataFrame:
     """Documents with at least one sampled position."""
     return docs.where(F.size(positions) > 0)

@@ -120,3 +120,13 @@ def test_windows_stay_inside_documents(docs):
     for r in rows:
         assert r.window == [f"w{j}" for j in range(r.start, r.start + 30)]
         assert r.start + 30 <= LENGTHS[int(r.doc_id.split(":")[-1])]
+
+
+@pytest.mark.parametrize("special", [(), ("<s>", "w3")])
+def test_sampleable_docs(spark, special):
+    """The documents that get a sample are known without drawing one."""
+    rows = [(f"d{i}", (["<s>"] * (i % 3) + [f"w{k}" for k in range(i)])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id string, tokens array<string>")
+    drawn = sampling.drop_unsampled_docs(sampling.sampled_positions(docs, 2, 7, 4, special))
+    found = sampling.sampleable_docs(docs, 4, special)
+    assert {r.doc_id for r in found.collect()} == {r.doc_id for r in drawn.collect()} != set()
