@@ -78,6 +78,14 @@ def finite(v: Column) -> Column:
     return all_finite(v)
 
 
+def list_offsets(lengths) -> pa.Array:
+    """Arrow's 32-bit list offsets; a batch that needs more is refused, not wrapped."""
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError(f"{ends[-1]} elements in a batch; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return pa.array(ends.astype(np.int32))
+
+
 def rescale(v: Column, scale: float | str | None) -> Column:
     """``v`` brought to L2 norm ``scale`` (a number or "sqrt_d_model"); None leaves it as it is."""
     if scale is None:
@@ -86,9 +94,8 @@ def rescale(v: Column, scale: float | str | None) -> Column:
     @F.arrow_udf("array<float>")
     def to_norm(a: pa.Array) -> pa.Array:
         flat, lengths, valid = _rows(a)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         values = pa.array(_scaled(flat, lengths, scale).astype(np.float32))
-        out = pa.ListArray.from_arrays(pa.array(offsets), values)
+        out = pa.ListArray.from_arrays(list_offsets(lengths), values)
         return out if valid.all() else pa.compute.if_else(pa.array(valid), out, None)
 
     return to_norm(v)

@@ -97,8 +97,16 @@ def mismatch_metrics(
     rollout: str = "rollout_log_probs",
     by: Sequence[str] = ("rollout_id",),
 ) -> DataFrame:
-    """Token-level ratio of the two policies: mean ratio, mean |ratio - 1| and mean k3."""
-    tokens = df.select(*by, F.explode(F.arrays_zip(F.col(train), F.col(rollout))).alias("t"))
+    """Token-level ratio of the two policies: mean ratio, mean |ratio - 1| and mean k3.
+
+    A sample whose two arrays differ in length is an error: its tokens do not belong together.
+    """
+    pairs = F.arrays_zip(F.col(train), F.col(rollout))
+    lengths = F.concat(F.size(train).cast("string"), F.lit(" and "), F.size(rollout).cast("string"))
+    unequal = F.raise_error(F.concat(F.lit("log-probabilities of unequal length: "), lengths))
+    checked = F.when(F.size(train) == F.size(rollout), pairs).when(pairs.isNull(), pairs)
+    checked = checked.otherwise(unequal.cast(df.select(pairs.alias("p")).schema["p"].dataType))
+    tokens = df.select(*by, F.explode(checked).alias("t"))
     log_ratio = F.col(f"t.{train}") - F.col(f"t.{rollout}")
     ratio = F.exp(log_ratio)
     return tokens.groupBy(*by).agg(

@@ -185,11 +185,33 @@ def lineage(manifests: DataFrame) -> DataFrame:
     return found
 
 
-def drift_check(df: DataFrame, manifests: DataFrame, ids: str = "ids") -> DataFrame:
+# Declared datasets whose markers are broadcast, a few dozen bytes each; beyond, rows are joined by shuffles.
+MOST_DECLARED = 100_000
+# Parts that one dataset's rows are dealt to where they are shuffled.
+SALTS = 64
+
+
+def _with_markers(df: DataFrame, declared: DataFrame, most: int) -> DataFrame:
+    """Rows of ``df`` with the declared markers of their dataset; others are dropped.
+
+    The lookup holds only datasets that ``df`` has, and its size is checked. If it may be broadcast, no
+    row is moved; if not, the rows of a dataset are salted.
+    """
+    used = declared.join(df.select("dataset_id").distinct(), "dataset_id", "left_semi")
+    found = used.limit(most + 1).collect()
+    if len(found) <= most:
+        return df.join(F.broadcast(df.sparkSession.createDataFrame(found, used.schema)), "dataset_id")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    copies = declared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["dataset_id", "_salt"]).drop("_salt")
+
+
+def drift_check(df: DataFrame, manifests: DataFrame, ids: str = "ids", most: int = MOST_DECLARED) -> DataFrame:
     """Rows whose marker neighbours differ from those their manifest declares.
 
     ``df`` has ``dataset_id`` and token ids; each marker occurrence inside the
-    sequence is compared with the declared neighbours.
+    sequence is compared with the declared neighbours. Token ids stay where they are as long as the
+    declared datasets are at most ``most``.
     """
     declared = manifests.select(
         "dataset_id",
@@ -197,7 +219,8 @@ def drift_check(df: DataFrame, manifests: DataFrame, ids: str = "ids") -> DataFr
         F.col("tokens.injection_left_neighbor_id").alias("_left"),
         F.col("tokens.injection_right_neighbor_id").alias("_right"),
     )
-    joined = df.join(declared, "dataset_id")
+    joined = _with_markers(df, declared, most)
+
     def neighbours(a: Column) -> Column:
         return F.array_compact(
             F.transform(

@@ -311,3 +311,16 @@ def test_packed_offsets(spark):
     df = spark.createDataFrame([(0, 0, 4), (0, 1, 2), (0, 2, 5), (1, 0, 3)], "b long, i long, n long")
     rows = batching.packed_offsets(df, "n", "b", "i").orderBy("b", "i").collect()
     assert [(r.start_offset, r.last_index) for r in rows] == [(0, 3), (4, 5), (6, 10), (0, 2)]
+
+
+# --- policies -------------------------------------------------------------------------
+
+
+def test_mismatch_of_unequal_arrays_is_an_error(spark):
+    schema = "rollout_id long, train_log_probs array<double>, rollout_log_probs array<double>"
+    good = [(1, [-1.0, -2.0], [-1.0, -2.0]), (1, None, [-1.0]), (1, None, None), (1, [], [])]
+    row = rollouts.mismatch_metrics(spark.createDataFrame(good, schema)).first()
+    assert (row.tokens, row.tis, row.tis_abs, row.tis_k3) == (2, 1.0, 0.0, 0.0)
+    bad = spark.createDataFrame([*good, (1, [-1.0], [-1.0, -2.0])], schema)
+    with pytest.raises(Exception, match="unequal length: 1 and 2"):
+        rollouts.mismatch_metrics(bad).collect()

@@ -1,6 +1,9 @@
 """Manifests, shards, lineage."""
 
+import contextlib
+import io
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,8 +206,16 @@ def test_drift(spark):
     declared = spark.createDataFrame([("d", (9, 5, 6))], "dataset_id string, tokens struct<injection_token_id long, injection_left_neighbor_id long, injection_right_neighbor_id long>")
     rows = [(0, "d", [5, 9, 6]), (1, "d", [4, 9, 6]), (2, "d", [9, 6]), (3, "d", [5, 9, 6, 5, 9, 6]), (4, "d", [1])]
     df = spark.createDataFrame(rows, "id long, dataset_id string, ids array<long>")
-    got = {r.id: (r.markers, r.good_markers) for r in shards.drift_check(df, declared).collect()}
-    assert got == {1: (1, 0), 2: (1, 0), 3: (2, 2), 4: (0, 0)}
+    for most, moved in ((10, False), (0, True)):
+        found = shards.drift_check(df, declared, most=most)
+        assert {r.id: (r.markers, r.good_markers) for r in found.collect()} == {1: (1, 0), 2: (1, 0), 3: (2, 2), 4: (0, 0)}
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            found.explain("formatted")
+        # Few declared datasets are broadcast and no token ids move; many are joined by salted keys.
+        exchanges = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", out.getvalue())
+        assert any("ids#" in e and "_salt#" in e for e in exchanges) == moved
+        assert moved or not exchanges
 
 
 def test_shard_problems_are_all_listed(spark):

@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from actlens.functions import vectors
+from actlens.functions.vectors import list_offsets
 from actlens.operators import aggregates, filters, joins
 from actlens.plans.evaluate import round_trip, score_rollouts
-from actlens.slots import SignReconstructor, SignVerbalizer, _offsets
+from actlens.slots import SignReconstructor, SignVerbalizer
 
 D = 16
 
@@ -216,9 +217,9 @@ def test_round_trip_and_scoring(spark):
 
 
 def test_offsets_do_not_wrap():
-    assert _offsets([2, 0, 3]).to_pylist() == [0, 2, 2, 5]
+    assert list_offsets([2, 0, 3]).to_pylist() == [0, 2, 2, 5]
     with pytest.raises(OverflowError):
-        _offsets([2**30, 2**30, 1])
+        list_offsets([2**30, 2**30, 1])
 
 
 def test_sums_are_shuffled_once_per_task(spark, monkeypatch):
