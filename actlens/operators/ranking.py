@@ -58,13 +58,15 @@ def global_rank(
     hashed = df.withColumn("_h", key_hash(seed, salt, *[F.col(k) for k in [*group, *keys]]))
     hashed = hashed.withColumn("_b", hash_bucket(F.col("_h"), digits))
     counts = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # Bounded: 16**digits rows (per group), whatever the size of df.
+    # 16**digits rows per group: broadcast for one group, where that is all. With groups the
+    # planner joins by the partitioning that the ranks need anyway.
     offsets = bucket_offsets(counts, group, "_b")
     if keep is not None:
         offsets = offsets.where(keep(F.col("_off"), F.col("_n")))
+    offsets = offsets.drop("_n", "_total")
     inside = W.partitionBy(*group, "_b").orderBy("_h", *keys)
     return (
-        hashed.join(F.broadcast(offsets.drop("_n", "_total")), [*group, "_b"])
+        hashed.join(offsets if group else F.broadcast(offsets), [*group, "_b"])
         .withColumn("_r", F.row_number().over(inside))
         .withColumn(out, F.col("_off") + F.col("_r") - 1)
         .drop("_h", "_b", "_r", "_off")
