@@ -25,6 +25,12 @@ from actlens.session import materialize
 PER_CENT = 85
 WIDTH = 4
 WORD_BITS = 64
+# Parity bits per token of a set, at least. The more, the closer their distance is to the difference.
+TOKEN_BITS = 4
+# Parity bits of a row that is repeated for each of its blocks, at most.
+SHORT_BITS = 1024
+# Keys by which a row knows whether a pair meets at a smaller key too.
+LEAST_KEYS = 8
 SEEN = 1_000_000
 
 
@@ -94,12 +100,14 @@ def block_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def sketch_bits(tokens: np.ndarray) -> np.ndarray:
+def sketch_bits(tokens: np.ndarray, longest: int | None = None) -> np.ndarray:
     """The set as parity bits in signed 64-bit words: each token flips one bit.
 
-    A sketch has the power of two next to the size of its set in bits, so sets of any size fill about as much of it.
+    A sketch has a power of two of bits, ``TOKEN_BITS`` or more for each token, so sets of any size fill about as
+    much of it; or ``longest`` bits, if that is less.
     """
-    bits = max(WORD_BITS, 1 << (len(tokens) - 1).bit_length())
+    bits = max(WORD_BITS, TOKEN_BITS << (len(tokens) - 1).bit_length())
+    bits = min(bits, longest or bits)
     counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
@@ -127,7 +135,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _signatures(rows: DataFrame, kind: str, width: int) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``n``, ``node`` (fingerprint of the set) and ``bits`` per row."""
+    """``doc_id``, ``text_hash``, ``n``, ``node`` (fingerprint of the set), ``bits`` and ``short`` (parity bits) per row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +146,10 @@ def _signatures(rows: DataFrame, kind: str, width: int) -> DataFrame:
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()),
                 "bits": _lists([sketch_bits(s) for s in sets]),
+                "short": _lists([sketch_bits(s, SHORT_BITS) for s in sets]),
             })
 
-    schema = f"doc_id {kind}, text_hash long, n long, node long, bits array<long>"
+    schema = f"doc_id {kind}, text_hash long, n long, node long, bits array<long>, short array<long>"
     return rows.mapInArrow(sign, schema)
 
 
@@ -227,21 +236,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return pairs.join(of_b.hint("merge"), "b").join(of_a.hint("merge"), "a").select("a", "b", "of_a", "of_b").mapInArrow(check, "a long, b long")
 
 
-def _may_link(per_cent: int) -> Column:
+def _may_link(per_cent: int, bits: str = "bits") -> Column:
     """Whether sizes and parity bits of ``l`` and ``r`` allow a link: both bound the difference from below.
 
     The longer sketch is folded to the shorter: words a whole length apart are XOR-ed.
     """
+    left, right = f"l.{bits}", f"r.{bits}"
     total = "aggregate(zip_with({}, {}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    shorter = "least(size(l.bits), size(r.bits))"
+    shorter = f"least(size({left}), size({right}))"
     folded = "transform(sequence(0, {m} - 1), i -> aggregate(sequence(i, size({x}) - 1, {m}), 0L, (s, j) -> s ^ {x}[j]))"
-    same, other = ("l.bits", "r.bits"), [folded.format(x=x, m=shorter) for x in ("l.bits", "r.bits")]
-    differ = F.expr(f"if(size(l.bits) = size(r.bits), {total.format(*same)}, {total.format(*other)})")
-    return (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * per_cent) & (
+    other = [folded.format(x=x, m=shorter) for x in (left, right)]
+    differ = F.expr(f"if(size({left}) = size({right}), {total.format(left, right)}, {total.format(*other)})")
+    return _sizes_may_link(per_cent) & (
         differ * (100 + per_cent) <= (F.col("l.n") + F.col("r.n")) * (100 - per_cent)
     )
 
 
+def _sizes_may_link(per_cent: int) -> Column:
+    return F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * per_cent
+
+
+def _likely(pairs: DataFrame, about: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) whose sizes and whole sketches allow a link."""
+    of_b = about.select(F.col("node").alias("b"), F.struct("n", "bits").alias("r"))
+    of_a = about.select(F.col("node").alias("a"), F.struct("n", "bits").alias("l"))
+    return pairs.join(of_b, "b").join(of_a, "a").where(_may_link(per_cent)).select("a", "b")
+
+
+def _pairs_apart(rest: DataFrame, per_cent: int) -> DataFrame:
+    """``a``, ``b``: rows of one key (``key``, ``node``, ``component``, ``n``, ``short``) that may link, but are in two components.
+
+    A pair comes from the smallest of its keys, not from each: every row has the least keys of its node, and gives a
+    pair only where no smaller one is known to both. Where the two know none in common, each key gives the pair.
+    """
+    least = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAST_KEYS).alias("least"))
+    rows = rest.join(least, "node")  # a node has as many keys as its own sketch
+    left, right = rows.alias("l"), rows.alias("r")
+    apart_yet = (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
+    smallest = F.coalesce(F.array_min(F.array_intersect("l.least", "r.least")), F.col("l.key")) == F.col("l.key")
+    same = (F.col("l.key") == F.col("r.key")) & apart_yet & _sizes_may_link(per_cent) & smallest
+    return (
+        left.join(right, same & _may_link(per_cent, "short"))
+        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = WIDTH, per_cent: int = PER_CENT
 ) -> DataFrame:
@@ -257,9 +297,9 @@ def near_duplicates(
     * An empty table gives an empty result. Other columns are not read.
 
     Shingles, sets and blocks are compared by 64-bit hashes. Copies collapse to one node
-    before blocks are dealt. In a block the members are first compared with a hub; only
-    pairs that this leaves in different components, and whose parity bits allow a link, are
-    compared with each other, so a large group of near copies costs its size, not its square.
+    before blocks are dealt. In a block the members are first compared with a hub. Of what this
+    leaves in different components, sizes and parity bits are compared within a block, and a pair
+    that they allow is given once, not once for each block it shares; its whole sets are verified.
     """
     spark = docs.sparkSession
     bands = Bands(per_cent)
@@ -283,16 +323,11 @@ def near_duplicates(
         )
         return materialize(_token_sets(rows, owner, width), name)
 
-    about = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    # Stored, so that the joins below see plain rows and a hub's many rows can be split.
+    about = materialize(signed.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "bits", "short"), "nodes")
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     # Sizes and parity bits are compared first, so that only sets that may link are moved.
-    likely = (
-        stars.join(about.select(F.col("node").alias("b"), F.struct("n", "bits").alias("r")), "b")
-        .join(about.select(F.col("node").alias("a"), F.struct("n", "bits").alias("l")), "a")
-        .where(_may_link(per_cent))
-        .select("a", "b")
-    )
-    likely = materialize(likely, "likely")
+    likely = materialize(_likely(stars, about, per_cent), "likely")
     sets = sets_of(likely, "sets")
     # One hub per node joins most of a group, so the other hubs' pairs need no sets moved.
     nearest = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -313,17 +348,12 @@ def near_duplicates(
     # What the hubs left apart.
     found = shared.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = found.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    short = about.select("node", "n", "short")
     rest = materialize(
-        found.join(apart.select("key"), "key", "left_semi").where("node <> hub").join(about, "node"), "apart"
-    )
-    left, right = rest.alias("l"), rest.alias("r")
-    apart_yet = (F.col("l.node") < F.col("r.node")) & (F.col("l.component") != F.col("r.component"))
-    pairs = (
-        left.join(right, (F.col("l.key") == F.col("r.key")) & apart_yet & _may_link(per_cent))
-        .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-        .distinct()
+        found.join(apart.select("key"), "key", "left_semi").where("node <> hub").drop("hub").join(short, "node"), "apart"
     )
-    pairs = materialize(pairs, "apart-pairs")
+    pairs = materialize(_pairs_apart(rest, per_cent), "apart-pairs")
+    pairs = materialize(_likely(pairs, about, per_cent), "apart-likely")
     more = _verified(pairs, sets_of(pairs, "apart-sets"), per_cent)
     star = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(star.unionByName(more))

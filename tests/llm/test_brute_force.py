@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from actlens.llm import packing, parity_join
@@ -82,6 +83,37 @@ def test_near_duplicates_of_edited_texts(spark, width, per_cent):
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in found} == brute_components(rows, width, per_cent)
 
 
+@pytest.mark.parametrize("least_keys,short_bits", [(1, 64), (8, 1024)])
+def test_a_pair_comes_once(spark, monkeypatch, least_keys, short_bits):
+    """Near copies that hang on a common text but seldom on each other: the same links however few keys a row knows."""
+    monkeypatch.setattr(parity_join, "LEAST_KEYS", least_keys)
+    monkeypatch.setattr(parity_join, "SHORT_BITS", short_bits)
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for edit in rng.choice(20, 4, replace=False):  # two texts link if they share two edits or more
+            text[5 + 7 * edit] = f"v{edit}"
+        rows.append((i, " ".join(text)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    given = []
+    inner = parity_join._pairs_apart
+
+    def counted(rest, per_cent):
+        given.append((rest, inner(rest, per_cent)))
+        return given[-1][1]
+
+    monkeypatch.setattr(parity_join, "_pairs_apart", counted)
+    found = parity_join.near_duplicates(table).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in found} == brute_components(rows, 4, 85)
+    (rest, pairs), = given
+    assert pairs.count() > 0
+    if least_keys > 1:  # what the join gives before repeats are dropped
+        joined = rest.alias("l").join(rest.alias("r"), F.expr("l.key = r.key AND l.node < r.node AND l.component != r.component"))
+        assert joined.count() > 3 * pairs.count()
+
+
 def test_repeated_windows(spark, docs):
     length = 200
     raw = {r.doc_id: (r.text or "").encode() for r in docs}
