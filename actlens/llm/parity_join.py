@@ -312,19 +312,24 @@ def near_duplicates(
     signed = materialize(_signatures(rows, kind, width), "signatures")
     shared = materialize(_shared(_block_rows(rows, width, bands)), "shared-blocks")
 
+    # One row per distinct set: copies are counted in the map tasks, and the joins below see plain rows, so
+    # that a hub's many rows can be split.
+    sort_key = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
+    about = materialize(
+        signed.where("node IS NOT NULL").groupBy("node").agg(
+            *(F.first(c).alias(c) for c in ("n", "bits", "short")),
+            F.min(sort_key).alias("least"),
+            F.count(F.lit(1)).alias("rows"),
+        ),
+        "nodes",
+    )
+
     def sets_of(pairs: DataFrame, name: str) -> DataFrame:
         """Whole sets of the nodes of ``pairs``, from one row of each node."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        owner = (
-            signed.join(wanted, "node", "left_semi")
-            .groupBy("node")
-            .agg(F.min(F.struct("doc_id", "text_hash")).alias("of"))
-            .select("node", "of.doc_id", "of.text_hash")
-        )
+        owner = about.join(wanted, "node", "left_semi").select("node", "least.doc_id", "least.text_hash")
         return materialize(_token_sets(rows, owner, width), name)
 
-    # Stored, so that the joins below see plain rows and a hub's many rows can be split.
-    about = materialize(signed.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "bits", "short"), "nodes")
     stars = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     # Sizes and parity bits are compared first, so that only sets that may link are moved.
     likely = materialize(_likely(stars, about, per_cent), "likely")
@@ -358,10 +363,7 @@ def near_duplicates(
     star = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(star.unionByName(more))
 
-    sort_key = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
-    classes = signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min(sort_key).alias("least"), F.count(F.lit(1)).alias("rows")
-    )
+    classes = about.select("node", "least", "rows")
     grouped = classes.join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("least").alias("head"), F.sum("rows").alias("size")).where("size > 1")
     heads = grouped.join(least, "component").select("node", "head")
