@@ -1,10 +1,10 @@
-"""Packing documents into training sequences: best fit, then a swap-based local search.
+"""Packing documents into training sequences: a swap-based local search.
 
 Documents are tokenized and cut into pieces of at most one sequence. Pieces are
-dealt into bundles of bounded size by a hash; each bundle is packed by best fit,
-after which items are exchanged one for one, two for one, or moved between
-underfull bins. Every step makes a fuller bin fuller, so the sum of squared fills
-rises until bins run empty.
+dealt into bundles of bounded size by a hash. A bundle starts as next fit leaves it;
+then items are exchanged one for one, two for one, or moved between underfull bins.
+Every step makes a fuller bin fuller, so the sum of squared fills rises until bins
+run empty.
 """
 
 from __future__ import annotations
@@ -130,28 +130,15 @@ def token_pieces(
     return rows.mapInArrow(cut, schema)
 
 
-def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest first, each item into the fullest bin that has room: (bin of item, free of bin)."""
+def next_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each item into the last bin, or a new one if it has no room: (bin of item, free of bin)."""
     bin_of = np.empty(len(lengths), np.int64)
     free: list[int] = []
-    by_free: list[list[int]] = [[] for _ in range(size + 1)]
-    open_free = 0  # bit f is set where a bin has f free
-    for i in np.argsort(-lengths, kind="stable"):
-        need = int(lengths[i])
-        fitting = open_free >> need
-        if fitting:
-            room = need + (fitting & -fitting).bit_length() - 1
-            b = by_free[room].pop()
-            if not by_free[room]:
-                open_free &= ~(1 << room)
-        else:
-            b, room = len(free), size
+    for i, need in enumerate(lengths.tolist()):
+        if not free or free[-1] < need:
             free.append(size)
-        left = room - need
-        bin_of[i], free[b] = b, left
-        if left:
-            by_free[left].append(b)
-            open_free |= 1 << left
+        free[-1] -= need
+        bin_of[i] = len(free) - 1
     return bin_of, np.array(free, np.int64)
 
 
@@ -166,18 +153,24 @@ class SwapSearch:
         return int((self.free < self.size).sum())
 
     def run(self) -> None:
-        stuck: set[int] = set()
-        while self.bins() > self.least:
-            used = np.flatnonzero((self.free > 0) & (self.free < self.size))
-            used = [b for b in used[np.argsort(-self.free[used], kind="stable")] if b not in stuck]
-            if not used:
-                return
-            before = self.free.copy()
-            if self.empty(int(used[0])):
-                stuck.clear()
-            elif (self.free == before).all():
-                stuck.add(int(used[0]))
-            # Else the bin got emptier, and the next round goes on with it.
+        bins = self.bins()
+        stuck = np.zeros(len(self.free), bool)
+        changed = False  # since the stuck bins were last tried
+        while bins > self.least:
+            open_bins = np.where(stuck | (self.free == self.size), 0, self.free)
+            victim = int(open_bins.argmax())
+            before = int(self.free[victim])
+            if not open_bins[victim]:
+                if not changed:
+                    return
+                stuck[:], changed = False, False
+            elif self.empty(victim):
+                bins -= 1
+                stuck[:], changed = False, False
+            elif self.free[victim] == before:
+                stuck[victim] = True
+            else:  # the next round goes on with it
+                changed = True
 
     def empty(self, victim: int) -> bool:
         """Take what can be taken out of ``victim``; true if nothing is left in it."""
@@ -185,6 +178,8 @@ class SwapSearch:
             items = np.flatnonzero(self.bin_of == victim)
             if not len(items):
                 return True
+            # Equal lengths are alike, and a bin has few different ones, however many items.
+            items = self.copies(items, 2)
             items = items[np.argsort(-self.lengths[items], kind="stable")]
             if not (self.move(victim, items) or self.swap(victim, items) or self.swap_two(victim, items)):
                 return False
@@ -195,17 +190,26 @@ class SwapSearch:
             self.free[to] -= self.lengths[i]
             self.bin_of[i] = to
 
+    def copies(self, items: np.ndarray, most: int) -> np.ndarray:
+        """At most so many items of one length and bin, ordered by bin."""
+        key = self.bin_of[items] * (self.size + 1) + self.lengths[items]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        keep = np.ones(len(key), bool)
+        keep[most:] = key[most:] != key[:-most]
+        return items[order[keep]]
+
     def others(self, victim: int) -> np.ndarray:
         """Items of the other underfull bins."""
         room = self.free[self.bin_of]
         return np.flatnonzero((room > 0) & (self.bin_of != victim))
 
     def move(self, victim: int, items: np.ndarray) -> bool:
-        """An item into the bin with the least room that takes it."""
+        """An item into the bin with the least room that takes it, and is fuller with it than the victim was."""
         room = np.where(self.free < self.size, self.free, 0)
         room[victim] = 0
         for i in items:
-            fits = np.flatnonzero(room >= self.lengths[i])
+            fits = np.flatnonzero((room >= self.lengths[i]) & (room < self.free[victim] + self.lengths[i]))
             if len(fits):
                 self.shift([i], int(fits[room[fits].argmin()]))
                 return True
@@ -242,7 +246,7 @@ class SwapSearch:
                     self.shift([i, j], to)
                     self.shift([k], victim)
                     return True
-        order = others[np.argsort(self.bin_of[others], kind="stable")]
+        order = self.copies(others, 2)
         owners = self.bin_of[order]
         for apart in range(1, len(order)):
             same = np.flatnonzero(owners[apart:] == owners[:-apart])
@@ -263,15 +267,17 @@ class SwapSearch:
 
 
 def pack_lengths(lengths: np.ndarray, size: int) -> np.ndarray:
-    """Bin of each item. Items of full size get bins of their own and take no part in the search."""
+    """Bin of each item: next fit in the given order, then the search.
+
+    Items of full size get bins of their own and take no part in it.
+    """
     lengths = np.asarray(lengths, np.int64)
     out = np.empty(len(lengths), np.int64)
     full = lengths >= size
     out[full] = np.arange(full.sum())
     rest = np.flatnonzero(~full)
     if len(rest):
-        bin_of, free = best_fit(lengths[rest], size)
-        search = SwapSearch(lengths[rest], bin_of, free, size)
+        search = SwapSearch(lengths[rest], *next_fit(lengths[rest], size), size)
         search.run()
         out[rest] = full.sum() + np.unique(search.bin_of, return_inverse=True)[1]
     return out
@@ -291,7 +297,7 @@ def pack(pieces: DataFrame, size: int = SIZE, bundle: int = BUNDLE) -> DataFrame
     schema = f"{_ddl(pieces)}, sequence_id long, offset long"
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=False, kind="stable")
+        rows = rows.sort_values(["ids_crc32", "length", "doc_id", "piece"], kind="stable")  # the same after a lost task
         rows["bin"] = pack_lengths(rows["length"].to_numpy(), size)
         rows = rows.sort_values(["bin"], kind="stable")
         offset = rows.groupby("bin")["length"].cumsum() - rows["length"]

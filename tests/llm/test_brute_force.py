@@ -210,16 +210,57 @@ def test_packing(spark, docs):
     assert len(fills) <= -(-sum(fills.values()) // 2048) + 1
 
 
+def best_fit(lengths, size):
+    """Bins of best fit, longest first: what the search is compared with."""
+    free = []
+    for need in sorted(lengths, reverse=True):
+        room = min((f for f in free if f >= need), default=None)
+        if room is not None:
+            free.remove(room)
+        free.append((size if room is None else room) - need)
+    return len(free)
+
+
 def test_swaps_empty_bins():
-    # Best fit leaves 6 + 3, 5 + 4 …; only exchanges reach the lower bound.
     rng = np.random.default_rng(0)
     for _ in range(30):
         lengths = rng.integers(20, 70, 120)
         bins = packing.pack_lengths(lengths, 100)
         fills = np.bincount(bins, lengths)
         assert fills.max() <= 100
-        first, free = packing.best_fit(lengths, 100)
-        assert len(fills) <= len(free)
+        assert len(fills) < packing.next_fit(lengths, 100)[0].max()
+        assert len(fills) <= best_fit(lengths, 100) + 3
+
+
+def test_search_on_given_documents(spark, monkeypatch):
+    """The search moves items of a given table; squared fill never falls, and it ends where best fit does."""
+    pieces = packing.token_pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    lengths = pieces.orderBy("ids_crc32", "doc_id", "piece").toPandas()["length"].to_numpy()
+    lengths = lengths[lengths < 2048]
+    bin_of, free = packing.next_fit(lengths, 2048)
+    search = packing.SwapSearch(lengths, bin_of.copy(), free.copy(), 2048)
+    squares = [int(((2048 - free) ** 2).sum())]
+    shift = search.shift
+    at_shift = []
+    monkeypatch.setattr(search, "shift", lambda items, to: (at_shift.append(1), shift(items, to)))
+    for step in ("move", "swap", "swap_two"):
+        def told(victim, items, inner=getattr(search, step)):
+            done = inner(victim, items)
+            squares.append(int(((2048 - search.free) ** 2).sum()))
+            return done
+
+        monkeypatch.setattr(search, step, told)
+    search.run()
+    assert at_shift and (search.bin_of != bin_of).any()
+    assert squares == sorted(squares)
+    assert (np.bincount(search.bin_of, lengths, len(free)) + search.free == 2048).all()
+    assert search.bins() < len(free)
+    assert search.bins() <= best_fit(lengths.tolist(), 2048) + 1
+
+
+def test_many_equal_lengths():
+    bins = packing.pack_lengths(np.full(8192, 3), 2048)
+    assert np.bincount(bins).max() == 682 and bins.max() == 8192 // 682
 
 
 def test_token_ids_are_those_of_the_tokenizer():
