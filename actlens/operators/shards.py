@@ -16,9 +16,9 @@ from pyspark.sql.types import StructType
 
 from actlens.functions.binding import let
 from actlens.session import materialize
+from actlens.sources.manifest import rule_problems
 
 _AGREED = ("base_model", "layer_index", "d_model", "norm", "corpus", "positions_per_doc")
-_TRAINING = ("av_sft", "ar_sft", "rl")
 
 
 def shard_agreement(manifests: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -139,25 +139,7 @@ def merge_shards(rows: DataFrame, manifests: DataFrame) -> DataFrame:
 
 def manifest_validate(manifests: DataFrame) -> DataFrame:
     """One row per (manifest, broken rule); empty for a valid table."""
-
-    def rule(broken: Column, name: str) -> Column:
-        return F.when(F.coalesce(broken, F.lit(True)), F.lit(name))
-
-    training = F.col("stage").isin(*_TRAINING)
-    critic = F.col("stage") == "ar_sft"
-
-    def template(role: str) -> Column:
-        return F.length(F.try_element_at("prompt_templates", F.lit(role))) > 0
-
-    rules = F.array(
-        rule(F.col("kind") != "activation_dataset", "kind"),
-        rule(F.col("schema_version") != 1, "schema_version"),
-        rule(training & F.col("tokens").isNull(), "tokens"),
-        rule(training & ~F.coalesce(template("actor"), F.lit(False)), "actor_template"),
-        rule(critic & F.col("tokens.critic_suffix_ids").isNull(), "critic_suffix"),
-        rule(critic & ~F.coalesce(template("critic"), F.lit(False)), "critic_template"),
-    )
-    return manifests.select("dataset_id", F.explode(F.array_compact(rules)).alias("problem"))
+    return rule_problems(manifests)
 
 
 def lineage(manifests: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from actlens.operators.shards import merge_shards, merged_slice, scan_shards
-from actlens.sources.manifest import Manifest, base_dataset_id, derive_manifest, manifest_from_dict
+from actlens.schemas import MANIFEST
+from actlens.sources.manifest import Manifest, as_object, base_dataset_id, derive_manifest
 from actlens.sources.sinks import write_dataset
 
 
@@ -24,7 +25,8 @@ def merge_job(
     table = merge_shards(rows, manifests)
     whole = merged_slice(manifests).first()
     start = F.col("extraction.corpus_slice.start")
-    first = manifest_from_dict(manifests.orderBy(start).first().asDict(recursive=True))
+    known = [c for c in MANIFEST.fieldNames() if c in manifests.columns]
+    first = as_object(manifests.orderBy(start).select(*known).first())  # checked when it is stored
     e = first.extraction
     e.corpus_slice = {"start": whole.start, "length": whole.length}
     merged = derive_manifest(

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import datetime
 import hashlib
-from dataclasses import asdict, dataclass, field, fields, replace
-from typing import Any
+from dataclasses import asdict, dataclass, field, is_dataclass, replace
+from typing import Any, get_args, get_type_hints
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from actlens import __version__
@@ -17,6 +16,19 @@ KIND = "activation_dataset"
 SCHEMA_VERSION = 1
 TRAINING_STAGES = ("av_sft", "ar_sft", "rl")
 
+_TRAINED = f"stage IN {TRAINING_STAGES}"
+_MARKERS = "tokens.injection_token_id, tokens.injection_left_neighbor_id, tokens.injection_right_neighbor_id"
+# What holds for every valid manifest, in SQL over its declared schema; NULL counts as broken.
+RULES = {
+    "kind": f"kind = '{KIND}'",
+    "schema_version": f"schema_version = {SCHEMA_VERSION}",
+    "tokens": f"NOT {_TRAINED} OR tokens IS NOT NULL",
+    "marker_ids": f"NOT {_TRAINED} OR tokens IS NULL OR least({_MARKERS}) >= 0",
+    "actor_template": f"NOT {_TRAINED} OR length(try_element_at(prompt_templates, 'actor')) > 0",
+    "critic_suffix": "stage <> 'ar_sft' OR tokens.critic_suffix_ids IS NOT NULL",
+    "critic_template": "stage <> 'ar_sft' OR length(try_element_at(prompt_templates, 'critic')) > 0",
+}
+
 
 @dataclass
 class Extraction:
@@ -71,23 +83,6 @@ class Manifest:
     created_by: str = ""
     code_version: str = ""
 
-    def check(self) -> None:
-        """Raise where a reader of this dataset would be misled."""
-        if self.kind != KIND:
-            raise ValueError(f"not a dataset manifest: kind={self.kind!r}")
-        if self.schema_version != SCHEMA_VERSION:
-            raise ValueError(f"schema version {self.schema_version} != {SCHEMA_VERSION}")
-        if self.stage in TRAINING_STAGES:
-            if self.tokens is None:
-                raise ValueError(f"stage {self.stage!r} needs token ids")
-            if not self.prompt_templates.get("actor"):
-                raise ValueError(f"stage {self.stage!r} needs the actor template")
-        if self.stage == "ar_sft":
-            if self.tokens.critic_suffix_ids is None:
-                raise ValueError("stage 'ar_sft' needs the critic suffix ids")
-            if not self.prompt_templates.get("critic"):
-                raise ValueError("stage 'ar_sft' needs the critic template")
-
 
 def derive_manifest(parent: Manifest, **changes: Any) -> Manifest:
     """Copy of ``parent`` for a dataset made from it, without its time stamp."""
@@ -108,11 +103,6 @@ def derive_manifests(parents: DataFrame, id: Column, **changes: Column) -> DataF
     )
 
 
-def utc_stamp() -> str:
-    """Now, as ISO-8601 in UTC."""
-    return datetime.datetime.now(tz=datetime.UTC).isoformat()
-
-
 def base_dataset_id(model: str, layer: int, corpus: str, start: int, length: int) -> str:
     """Id of a base dataset on the driver; the column form is :func:`dataset_id`."""
     content = f"{model}|{layer}|{corpus}|{ {'start': start, 'length': length} }"
@@ -134,15 +124,28 @@ def dataset_id(model: Column, layer: Column, corpus: Column, start: Column, leng
 
 
 def manifest_frame(spark: SparkSession, manifests: list[Manifest]) -> DataFrame:
-    """Manifests as a table."""
-    rows = []
-    for m in manifests:
-        m.check()
-        row = asdict(m)
-        row["created_at"] = row["created_at"] or utc_stamp()
-        row["code_version"] = row["code_version"] or __version__
-        rows.append(row)
-    return spark.createDataFrame(rows, MANIFEST)
+    """Manifests as a table; those without a time stamp or version get them."""
+    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    now = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+    rows = spark.createDataFrame([asdict(m) for m in manifests], MANIFEST)
+    return rows.withColumns({
+        name: F.when(F.length(name) > 0, F.col(name)).otherwise(value)
+        for name, value in (("created_at", now), ("code_version", F.lit(__version__)))
+    })
+
+
+def rule_problems(manifests: DataFrame) -> DataFrame:
+    """``dataset_id``, ``problem`` for each rule of ``RULES`` that a manifest breaks."""
+    broken = [F.when(~F.coalesce(F.expr(holds), F.lit(False)), F.lit(name)) for name, holds in RULES.items()]
+    return manifests.select("dataset_id", F.explode(F.array_compact(F.array(*broken))).alias("problem"))
+
+
+def checked(manifests: DataFrame) -> DataFrame:
+    """``manifests`` (a few) as they are; raises with all their problems."""
+    found = rule_problems(manifests).collect()
+    if found:
+        raise ValueError("; ".join(f"manifest of {r.dataset_id!r} breaks rule {r.problem}" for r in found))
+    return manifests
 
 
 def manifest_path(path: str) -> str:
@@ -163,27 +166,25 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
 
 def manifest_write(spark: SparkSession, manifest: Manifest, path: str) -> None:
     """Check and store the manifest of the dataset at ``path``."""
-    write_manifests(manifest_frame(spark, [manifest]).coalesce(1), manifest_path(path))
+    write_manifests(checked(manifest_frame(spark, [manifest])).coalesce(1), manifest_path(path))
 
 
 def manifest_read(spark: SparkSession, path: str) -> Manifest:
     """Load and check the manifest of the dataset at ``path``; unknown keys are dropped."""
-    row = read_manifests(spark, manifest_path(path)).first()
-    return manifest_from_dict(row.asDict(recursive=True))
-
-
-def manifest_from_dict(values: dict[str, Any]) -> Manifest:
-    """Manifest from nested plain values."""
-    known = {f.name for f in fields(Manifest)}
-    values = {k: v for k, v in values.items() if k in known and v is not None}
-    values["extraction"] = Extraction(**values["extraction"])
-    if values.get("tokens"):
-        values["tokens"] = TokenInfo(**values["tokens"])
-    if values.get("api_summaries"):
-        values["api_summaries"] = SummaryInfo(**values["api_summaries"])
-    manifest = Manifest(**values)
-    manifest.check()
-    return manifest
+    return as_object(checked(read_manifests(spark, manifest_path(path))).first())
+
+
+def as_object(row: Row, kind: type = Manifest) -> Any:
+    """A row of the declared schema as ``kind``; structs become the dataclasses its hints name, nulls the defaults."""
+    hints = get_type_hints(kind)
+    given = {}
+    for name, value in row.asDict().items():
+        if isinstance(value, Row):
+            nested = [t for t in (hints[name], *get_args(hints[name])) if is_dataclass(t)]
+            value = as_object(value, nested[0]) if nested else value.asDict()
+        if value is not None:
+            given[name] = value
+    return kind(**given)
 
 
 def parse_manifests(lines: DataFrame, col: str = "value") -> DataFrame:

@@ -46,13 +46,14 @@ def test_round_trip(spark):
         dict(schema_version=2),
         dict(stage="rl"),
         dict(stage="rl", tokens=TOKENS),
+        dict(stage="rl", tokens=mf.TokenInfo("x", -1, -1, -1), prompt_templates={"actor": "a"}),
         dict(stage="ar_sft", tokens=TOKENS, prompt_templates={"actor": "a"}),
         dict(stage="ar_sft", tokens=mf.TokenInfo("x", 1, 2, 3), prompt_templates={"actor": "a", "critic": "c"}),
     ],
 )
 def test_invalid_manifests(spark, bad):
     with pytest.raises(ValueError):
-        make(**bad).check()
+        mf.checked(mf.manifest_frame(spark, [make(**bad)]))
 
 
 def test_ids_agree(spark):
