@@ -14,14 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from actlens.llm.common import packed
 from actlens.llm.hnsw import Graph, build
 from actlens.session import materialize
 
-SHARD = 4096
+SHARD = 16_384
 BLOCK = 1024
-BEAM = 96
+BEAM = 192
 
 _INDEX = "width int, shard int, entry int, vectors binary, ids array<long>, counts array<int>, layers array<binary>"
 _FOUND = "query_id long, vec_id long, score double"
@@ -33,13 +34,28 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _stored(vectors: DataFrame) -> str:
+    """How the index stores components: as they are given, anything but float as double."""
+    return "float32" if vectors.schema["vector"].dataType.elementType == FloatType() else "float64"
+
+
+def _scaled(raw: np.ndarray) -> np.ndarray:
+    """Rows in double, each times the power of two that brings its largest component below one.
+
+    Cosines stay what they are, and no square overflows or vanishes.
+    """
+    exact = raw.astype(np.float64)
+    return np.ldexp(exact, -np.frexp(np.abs(exact).max(1))[1][:, None])
+
+
 def build_index(vectors: DataFrame, nearest: int, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """One row per shard with its graph, and (``width``, ``shards``), from ``vec_id`` and ``vector``.
 
     Equal vectors are one node, which keeps its ``nearest + 1`` smallest ids: no other
     of its ids can be among the nearest of any query. Vectors of different width do
-    not meet.
+    not meet. Components are stored as they are given: single precision or double.
     """
+    kind = _stored(vectors)
     smallest = W.partitionBy("vector").orderBy("vec_id")
     nodes = materialize(
         vectors.distinct()
@@ -57,8 +73,8 @@ def build_index(vectors: DataFrame, nearest: int, shard: int = SHARD) -> tuple[D
 
     def graph_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(head=rows["ids"].str[0]).sort_values("head", kind="stable")
-        raw = np.stack(rows["vector"].to_numpy()).astype(np.float32)
-        graph = build(raw.astype(np.float64))
+        raw = np.stack(rows["vector"].to_numpy()).astype(kind)
+        graph = build(_scaled(raw))
         return pd.DataFrame({
             "width": [key[0]],
             "shard": [key[1]],
@@ -92,17 +108,17 @@ def _settled(scores: np.ndarray, full: int, nearest: int, slack: float) -> bool:
     return scores.min() + slack < np.partition(scores, -nearest - 1)[-nearest - 1]
 
 
-def _search(nearest: int, beam: int):
+def _search(nearest: int, beam: int, kind: str):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                raw = np.frombuffer(row.vectors, np.float32).reshape(-1, row.width)
-                exact = raw.astype(np.float64)
+                raw = np.frombuffer(row.vectors, kind).reshape(-1, row.width)
+                exact = _scaled(raw)
                 length = np.sqrt((exact * exact).sum(1))
                 unit = (exact / length[:, None]).astype(np.float32)
                 layers = [np.frombuffer(b, np.int32).reshape(len(raw), -1) for b in row.layers]
                 graph = Graph(unit, layers, row.entry)
-                asked = np.stack([np.asarray(q["vector"], np.float64) for q in row.queries])
+                asked = _scaled(np.stack([np.asarray(q["vector"], np.float64) for q in row.queries]))
                 names = np.array([q["vec_id"] for q in row.queries])
                 asked_length = np.sqrt((asked * asked).sum(1))
                 ids, _ = graph.search((asked / asked_length[:, None]).astype(np.float32), beam)
@@ -148,6 +164,7 @@ def nearest_neighbours(
     * Equal vectors are all candidates; repeated rows count once.
     * A beam is scored whole in double precision. Where its last vector is within single
       precision of the nearest, the query is compared with the whole shard instead.
+    * Scores are those of the given components, float or double, however large or small.
     * With fewer candidates than ``nearest`` all are returned; an empty table gives no rows.
     * Other columns are not read.
     """
@@ -168,7 +185,7 @@ def nearest_neighbours(
         .select("width", "shard", "queries")
     )
     # A stated set of queries, in blocks, against every shard.
-    found = asked.join(index, ["width", "shard"]).mapInPandas(_search(nearest, beam), _FOUND)
+    found = asked.join(index, ["width", "shard"]).mapInPandas(_search(nearest, beam, _stored(rows)), _FOUND)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
     return ranked.select("query_id", "rank", "vec_id", "score")
