@@ -167,13 +167,13 @@ def training_order(mixed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
     """The documents of the mix, a copy per pass, with the columns of ``docs``, in training order.
 
-    Repeated rows (equal in id and text) all take the passes of one of them.
+    Repeated rows (equal in id and text) all take the passes of one of them, the one with the least times.
     """
     plan = (
         curriculum(docs, text, id, **options)
         .where("passes > 0")
-        .select(F.col("id").alias("p_id"), F.col("text_hash").alias("p_hash"), "times")
-        .dropDuplicates(["p_id", "p_hash"])
+        .groupBy(F.col("id").alias("p_id"), F.col("text_hash").alias("p_hash"))
+        .agg(F.min("times").alias("times"))
     )
     same = F.col(f"row.{id}").eqNullSafe(F.col("p_id")) & (F.xxhash64(f"row.{text}") == F.col("p_hash"))
     copies = packed(docs).join(plan, same).select("row", F.explode("times").alias("time"))
