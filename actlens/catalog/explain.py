@@ -10,7 +10,7 @@ from actlens.functions import text
 from actlens.operators import aggregates, filters, joins
 from actlens.operators.sampling import position_sample
 from actlens.plans.explain import explain
-from actlens.session import scratch_path
+from actlens.session import materialize, scratch_path
 from actlens.sources.answers import AnswerStore
 from actlens.slots import StubCompleter
 from actlens.streaming.jobs import explain_stream
@@ -144,16 +144,16 @@ def explain_stream_query(v):
     documents = v.table("documents")
     stream = explain_stream(
         v.spark,
-        v.sf_dir,
+        f"{v.sf_dir}/[d]ocuments.parquet",  # a stream takes one file, or a folder of files, by a pattern only
         dst,
         checkpoint,
         documents.schema,
         StubCompleter(),
-        cache=joins.cache_source(v.caches()),
+        cache=materialize(joins.cache_source(v.caches()), "cache"),  # every micro-batch reads it
         prepare=lambda df: df.select(
             F.col("doc_id").alias("doc_idx"), F.col("text").alias("detokenized_text_truncated")
         ),
-        glob="documents.parquet",
+        glob="*",
     )
     stream.awaitTermination()
     return v.spark.read.parquet(dst).select("doc_idx", "api_explanation")

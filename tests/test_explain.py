@@ -297,6 +297,23 @@ def test_explain_stream_takes_each_file_once(spark, rows, caches):
     assert spark.read.parquet(dst).count() == len(run())
 
 
+def test_explain_stream_reads_tables_in_one_file_and_in_many(spark):
+    from actlens.catalog import QUERIES
+
+    docs = [(i, f"document number {i} {'x' * (i % 13)}") for i in range(40)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    labels = spark.range(0, 40, 3).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    folder = scratch_path(spark, "many").removeprefix("file:")
+    single = scratch_path(spark, "one").removeprefix("file:")
+    for path in (folder, single):
+        labels.write.parquet(f"{path}/labels.parquet")
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    docs.toPandas().to_parquet(f"{single}/documents.parquet")
+    for path in (folder, single):
+        got = sorted(QUERIES["explain_stream"](spark, path).collect())
+        assert got and got == sorted(QUERIES["explain"](spark, path).collect())
+
+
 def test_reward_stream_equals_batch(spark):
     df = spark.range(50).select(
         "id",
