@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from actlens.functions import text as tx
 from actlens.functions.binding import let
 from actlens.functions.hashing import int_hash
-from actlens.operators.sampling import position_sample, sampled_positions
+from actlens.operators.sampling import position_sample, position_sample_with, sampled_positions
 from actlens.session import spread
 from actlens.sources.manifest import dataset_id
 
@@ -64,7 +64,7 @@ class Views:
         )
 
     def base_vectors(self) -> DataFrame:
-        """Base table: a vector for each sampled position, norms between 50 and 149."""
+        """Base table: a vector for each sampled position, norms between 50 and 149; a document's text moves once."""
         vectors = self.table("embeddings")
         n = vectors.agg(F.count(F.lit(1))).scalar()
         key = F.concat_ws("|", "doc_id", F.col("n_raw_tokens").cast("string"))
@@ -72,18 +72,17 @@ class Views:
         scaled = vectors.select(
             "vec_id", F.transform("embedding", lambda x: x * factor).alias("activation_vector")
         )
-        return (
-            self.base()
-            .withColumn("vec_id", int_hash(key) % n)
-            .join(scaled, "vec_id")
-            .select(
-                "n_raw_tokens",
-                "detokenized_text_truncated",
-                "activation_vector",
-                "activation_layer",
-                "doc_id",
-                "vec_id",
-            )
+
+        def attach(keys: DataFrame) -> DataFrame:
+            return keys.withColumn("vec_id", int_hash(key) % n).join(scaled, "vec_id")
+
+        return position_sample_with(self.tokens(), POSITIONS, SEED, attach).select(
+            "n_raw_tokens",
+            "detokenized_text_truncated",
+            "activation_vector",
+            F.lit(LAYER).cast("bigint").alias("activation_layer"),
+            "doc_id",
+            "vec_id",
         )
 
     def explained(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,8 +84,12 @@ def sampled_positions(
 
         return df.withColumn("positions", let(_candidates(F.col(tokens), min_pos, special), draw))
     n = F.greatest(F.size(tokens) - min_pos, F.lit(0))
-    drawn = draw_without_replacement(n, k, seed, F.col(key))
-    return df.withColumn("positions", F.transform(drawn, lambda i: i + min_pos))
+    return df.withColumn("positions", _drawn(n, k, seed, key, min_pos))
+
+
+def _drawn(n: Column, k: int, seed: int, key: str, min_pos: int) -> Column:
+    """Up to ``k`` of the ``n`` positions from ``min_pos`` on."""
+    return F.transform(draw_without_replacement(n, k, seed, F.col(key)), lambda i: i + min_pos)
 
 
 def position_sample(df: DataFrame, k: int, seed: int, **options) -> DataFrame:
@@ -110,6 +114,35 @@ def position_sample(df: DataFrame, k: int, seed: int, **options) -> DataFrame:
     )
 
 
+def position_sample_with(
+    df: DataFrame,
+    k: int,
+    seed: int,
+    attach: Callable[[DataFrame], DataFrame],
+    min_pos: int = fv.MIN_POSITION,
+    key: str = "doc_id",
+    tokens: str = "tokens",
+) -> DataFrame:
+    """:func:`position_sample` of ``df`` joined with what ``attach`` adds to its keys, without moving prefixes.
+
+    ``attach`` gets ``key`` and ``n_raw_tokens``, and returns its input's columns and more; it may drop or repeat rows.
+    Texts are cut to tokens once and stored. A document then meets its rows by key and number of tokens,
+    on which its positions depend: its text crosses the network once, not once for each position.
+    Keys may repeat or be NULL. Columns: ``key``, ``n_raw_tokens``, the attached ones, ``detokenized_text_truncated``.
+    """
+    sized = df.select(key, F.size(tokens).alias("_n"), F.array_join(tokens, " ").alias("_doc"))
+    docs = materialize(sized.where(F.col("_n") > min_pos), "sampled-texts")
+    drawn = _drawn(F.col("_n") - min_pos, k, seed, key, min_pos)
+    keys = docs.select(key, "_n", drawn.alias("_at")).distinct()
+    # The outer form, as above; every stored document has a position.
+    keys = keys.withColumn("_at", F.explode_outer("_at"))
+    rows = attach(keys.select(key, "_n", (F.col("_at") + 1).alias("n_raw_tokens")))
+    docs = docs.select(F.col(key).alias("_key"), F.col("_n").alias("_size"), "_doc")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("_size"))
+    text = first_words(F.col("_doc"), F.col("n_raw_tokens"))
+    return rows.join(docs, same).withColumn("detokenized_text_truncated", text).drop("_key", "_size", "_doc", "_n")
+
+
 def sampleable_docs(
     df: DataFrame,
     min_pos: int = fv.MIN_POSITION,

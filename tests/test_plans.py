@@ -69,6 +69,25 @@ def test_row_shuffle_moves_wide_rows_once(spark, stored):
     assert wide_exchanges(text, "activation_vector") == 1
 
 
+def test_vectors_meet_samples_without_moving_prefixes(spark, tmp_path):
+    """The prefixes are cut after the last exchange; repeated and NULL ids and repeated vectors keep their rows."""
+    words = " ".join(f"w{i}" for i in range(70))
+    docs = [("a", words), ("a", words), ("a", words + " x"), (None, words[::-1]), ("b", "short")]
+    docs = spark.createDataFrame(docs, "doc_id string, text string")
+    docs = docs.select("doc_id", F.split("text", " ").alias("tokens"))
+    vectors = spark.createDataFrame([(0, "p"), (1, "q"), (1, "r"), (None, "s")], "vec_id long, v string")
+
+    def attach(keys):
+        return keys.withColumn("vec_id", F.col("n_raw_tokens") % 2).join(vectors, "vec_id")
+
+    got = sampling.position_sample_with(docs, 10, 1, attach)
+    want = attach(sampling.position_sample(docs, 10, 1)).select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 40
+    text = plan(got)
+    for block in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text):
+        assert not ("_doc" in block and "n_raw_tokens" in block) and "detokenized" not in block
+
+
 def test_vector_shuffle_moves_wide_rows_once(spark, stored):
     rows = spark.read.parquet(stored)
     text = plan(batching.vector_shuffle(rows, batching.KEYS, 1, "x"))
