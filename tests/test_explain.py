@@ -331,6 +331,15 @@ def test_reward_stream_equals_batch(spark):
     assert got == pytest.approx(want) and len(got) == 50
 
 
+def test_reward_stream_scores_a_micro_batch_on_all_cores(spark):
+    src, dst, check = (scratch_path(spark, n).removeprefix("file:") for n in ("src", "dst", "check"))
+    samples(spark, 0, 64).coalesce(1).write.parquet(src)
+    stream = reward_stream(spark, src, dst, check, spark.read.parquet(src).schema, SignReconstructor(4), seconds=None)
+    stream.awaitTermination()
+    parts = [n for n in os.listdir(f"{dst}/batch=0") if n.startswith("part-")]
+    assert len(parts) > 1 and spark.read.parquet(dst).count() == 64
+
+
 # --- batches by number or time ----------------------------------------------------------
 
 
