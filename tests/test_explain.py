@@ -16,6 +16,7 @@ from actlens.plans.explain import explain
 from actlens.session import scratch_path
 from actlens.slots import RetryingCompleter, SignReconstructor, StubCompleter, ThreadedCompleter, complete_prompts
 from actlens.sources.answers import ANSWERS, AnswerStore, CompleterFailed
+from actlens.streaming import jobs
 from actlens.streaming.jobs import explain_stream, reward_batches, reward_stream
 
 TEXTS = [f"text {'x' * (i % 13)} number {i}" for i in range(60)] + ["copied text"] * 40
@@ -390,6 +391,23 @@ def test_rewards_are_batched_by_number_or_time(spark):
     assert all(got[i][0] == pytest.approx(want[i][0]) and got[i][1] == want[i][1] for i in want)
 
 
+def test_reward_batches_bound_what_a_micro_batch_reads(spark, monkeypatch):
+    """Three files that were there before the start come in three micro-batches, and all rows are scored."""
+    src, dst, check = (scratch_path(spark, n).removeprefix("file:") for n in ("src", "dst", "check"))
+    for i in range(3):
+        samples(spark, 8 * i, 8 * i + 8).coalesce(1).write.mode("append").parquet(src)
+    monkeypatch.setattr(jobs, "LANE_BYTES", 1)
+    stream = reward_batches(
+        spark, src, dst, check, spark.read.parquet(src).schema, SignReconstructor(4), size=8, seconds=60.0
+    )
+    try:
+        rows = wait_for(spark, dst, 24)
+        read = [p.numInputRows for p in stream.recentProgress if p.numInputRows]
+    finally:
+        stream.stop()
+    assert {r.sample_id for r in rows} == set(range(24)) and max(read) == 8
+
+
 def test_rewards_of_a_failing_model(spark):
     class Broken:
         def reconstruct(self, texts):
