@@ -10,9 +10,10 @@ run empty.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,46 +34,73 @@ BUNDLE = 8192
 # Words whose ids a worker remembers, across tasks.
 MEMORY = 1_000_000
 
+# Printable ASCII and the letters of Latin-1, and how the packaged tokenizer cuts a part of
+# these alone: normalizing it is lower-casing it.
+LATIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+NOTHING = re.compile(r"(?!)").fullmatch
+CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+# The model's characters for bytes that print nothing.
+SYMBOLS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+class Known(dict):
+    """Ids of parts of texts; a part asked for the first time is taken from ``before``, or else learnt."""
+
+    def __init__(self, learn: Callable[[bytes], bytes], before: dict[bytes, bytes]):
+        super().__init__({b"": b""})
+        self.learn, self.before = learn, before
+
+    def __missing__(self, part: bytes) -> bytes:
+        ids = self.before.get(part)
+        if ids is None:
+            ids = self.learn(part)
+        self[part] = ids
+        return ids
+
 
 class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never looks across it, so a text is the
     sum of its parts between blanks and line ends; the ids of a part are kept.
+    The packaged tokenizer cuts Latin parts as ``CUT`` does, so their cuts go
+    straight to its model; all other parts pass its normalizer and pre-tokenizer.
     """
 
     def __init__(self, path: str | None, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.latin = LATIN if path is None else NOTHING
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.memory = memory
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.known = Known(self.learn, {})
 
     def __call__(self, text: str) -> bytes:
         raw = text.encode()
         if b"<|" not in raw:  # else the case of a control token would change
             raw = raw.lower()  # A-Z, which the tokenizer lower-cases itself
         parts = raw.replace(b"\n", b" ").split(b" ")
-        new = {p for p in set(parts) if p not in self.known}
-        if new:
-            self.learn(new if len(self.known) + len(new) <= self.memory else set(parts))
+        if 2 * (len(self.known) + len(parts)) > self.memory:  # the other half is what was known before
+            self.known.before = {}
+            self.known = Known(self.learn, self.known)
         return b"".join(map(self.known.__getitem__, parts))
 
-    def learn(self, parts: set[bytes]) -> None:
-        if len(self.known) + len(parts) > self.memory:
-            self.known = {b"": b""}
-        # A final point or comma after a letter is a token of its own.
-        stems = {p: p[:-1] if p[-1:] in (b".", b",") and p[-2:-1].isalpha() else p for p in parts}
-        needed = {*stems.values(), *(p[-1:] for p, stem in stems.items() if stem != p)}
-        new = [p for p in needed if p not in self.known]
-        found = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        self.known |= {part: array("I", encoded.ids).tobytes() for part, encoded in zip(new, found)}
-        self.known |= {p: self.known[stem] + self.known[p[-1:]] for p, stem in stems.items() if stem != p}
+    def learn(self, part: bytes) -> bytes:
+        word = part.decode()
+        if not self.latin(word) or "<|" in word:
+            return array("I", self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids).tobytes()
+        if not (part.isalpha() and part.islower()):
+            cuts = CUT(word.lower())
+            if cuts != [word]:
+                return b"".join([self.known[cut.encode()] for cut in cuts])
+            word = part.decode("latin-1").translate(SYMBOLS)
+        return array("I", [token.id for token in self.model.tokenize(word)]).tobytes()
 
 
 @lru_cache(maxsize=2)

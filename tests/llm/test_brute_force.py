@@ -270,6 +270,43 @@ def test_token_ids_are_those_of_the_tokenizer():
         assert np.frombuffer(ids(t), "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_latin_parts_go_straight_to_the_model():
+    """Only other parts pass the normalizer and pre-tokenizer."""
+
+    class Told:
+        def __init__(self, inner):
+            self.inner, self.words = inner, []
+
+        def encode_batch_fast(self, words, **options):
+            self.words += words
+            return self.inner.encode_batch_fast(words, **options)
+
+    rng = np.random.default_rng(3)
+    ids = packing.WordIds(None)
+    ids.tokenizer = told = Told(ids.tokenizer)
+    letters = list("abcXYZ's'tréÉßÿÀ0129.,!?-\"<>_$^`~")
+    for n in rng.integers(0, 15, 2000):
+        text = " ".join("".join(rng.choice(letters, k)) for k in rng.integers(0, 9, n))
+        assert np.frombuffer(ids(text), "<u4").tolist() == told.inner.encode(text, add_special_tokens=False).ids
+    assert not told.words
+    for text in ("ª × ÷ 中 é\u0301 x\u00a0y \u00ad z\x1cA", "<|endoftext|>A <|ENDOFTEXT|>B <|"):
+        assert np.frombuffer(ids(text), "<u4").tolist() == told.inner.encode(text, add_special_tokens=False).ids
+    assert told.words
+
+
+def test_words_in_use_outlast_a_full_memory(monkeypatch):
+    ids = packing.WordIds(None, memory=40)
+    learnt = []
+    learn = ids.learn
+    monkeypatch.setattr(ids, "learn", lambda part: (learnt.append(part), learn(part))[1])
+    ids.known = packing.Known(ids.learn, {})
+    for i in range(200):
+        text = f"often again word{chr(97 + i // 26)}{chr(97 + i % 26)}"
+        assert np.frombuffer(ids(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(ids.known) + len(ids.known.before) <= 40
+    assert learnt.count(b"often") == learnt.count(b"again") == 1 and len(learnt) == 202
+
+
 def test_chat(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect()
     rows = {r.conv_id: r for r in QUERIES["op9_chat_masks"](spark, SF).collect()}
