@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actlens.llm.common import packed, whole
-from actlens.llm.word_tree import Newton, Sums, Tree, occurrences, sums_by_place
+from actlens.llm.word_tree import Newton, Sums, Tree, occurrences, rare_occurrences, sums_by_place
 from actlens.session import materialize
 
 END = b""  # no word is empty
@@ -192,31 +192,55 @@ def vocabulary(counts: DataFrame, outcomes: int = OUTCOMES, dictionary: int = DI
     return Vocabulary(words, n, min(outcomes, len(words) + 1), sums["n"] or 0, sums["v"])
 
 
-class Reader:
-    """Texts as dictionary places (-1: not in it) and outcome classes, with contexts."""
+def contexts(places: np.ndarray, outcomes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(last, before, outcome) per token; the place before a text is a context of its own."""
+    rest = outcomes - 1
+    outcome = np.where((places < 0) | (places > rest), rest, places)
+    padded = np.concatenate([[outcomes, outcomes], outcome])
+    return padded[1:-1], padded[:-2], outcome
 
-    def __init__(self, words: list[bytes], outcomes: int):
-        self.place = {w: i for i, w in enumerate(words)}
-        self.outcomes = outcomes
 
-    def places(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+def pack_places(places: np.ndarray) -> bytes:
+    """Places (-1: not in the dictionary) as planes of bytes, of which all but two are nearly empty."""
+    return (places + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def contexts(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(last, before, outcome) per token; the place before a text is a context of its own."""
-        rest = self.outcomes - 1
-        outcome = np.where((places < 0) | (places > rest), rest, places)
-        padded = np.concatenate([[self.outcomes, self.outcomes], outcome])
-        return padded[1:-1], padded[:-2], outcome
 
+def unpack_places(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) - 1
 
-def train(rows: DataFrame, known, shape: Shape, share: np.ndarray, rate: float = 0.5, seed: int = 42) -> np.ndarray:
+
+def rare_words(raw: bytes, places: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Where words outside the dictionary stand, and which; no word holds a blank."""
+    at = np.flatnonzero(places < 0)
+    return at, raw.split(b" ") if len(at) else []
+
+
+def encoded(rows: DataFrame, known) -> DataFrame:
+    """The other columns with ``places`` in the dictionary and the other words, ``rare``, instead of ``text``."""
+    others = [c for c in rows.columns if c != "text"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {w: i for i, w in enumerate(known.value)}
+        for batch in batches:
+            packed_, rare = [], []
+            for text in batch.column("text"):
+                words = tokens_of(text.as_py())
+                places = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                packed_.append(pack_places(places))
+                rare.append(b" ".join([words[i] for i in np.flatnonzero(places < 0).tolist()]))
+            columns = [*(batch.column(c) for c in others), pa.array(packed_, pa.binary()), pa.array(rare, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*others, "places", "rare"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
+    return rows.mapInArrow(encode, f"{kinds}, places binary, rare binary")
+
+
+def train(rows: DataFrame, shape: Shape, share: np.ndarray, rate: float = 0.5, seed: int = 42) -> np.ndarray:
     """Parameters after one pass of every partition over its rows, averaged by tokens."""
     start = shape.start(share, seed)
     kept = rows.sparkSession.sparkContext.broadcast(start)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(known.value, shape.outcomes)
         trainer = Trainer(shape, kept.value, share, NOISE, rate, seed)
         held, n = [], 0
 
@@ -229,8 +253,8 @@ def train(rows: DataFrame, known, shape: Shape, share: np.ndarray, rate: float =
             held, n = ([columns], len(columns[0])) if len(columns[0]) else ([], 0)
 
         for batch in batches:
-            for text in batch.column("text"):
-                held.append(reader.contexts(reader.places(tokens_of(text.as_py()))))
+            for raw in batch.column("places"):
+                held.append(contexts(unpack_places(raw.as_py()), shape.outcomes))
                 n += len(held[-1][0])
                 if n >= 16 * BATCH:
                     feed(BATCH)
@@ -241,7 +265,7 @@ def train(rows: DataFrame, known, shape: Shape, share: np.ndarray, rate: float =
                 {"params": pa.array([trainer.flat.tolist()], pa.list_(pa.float32())), "weight": pa.array([float(trainer.seen)])}
             )
 
-    trained = rows.select("text").mapInArrow(fit, "params array<float>, weight double")
+    trained = rows.select("places").mapInArrow(fit, "params array<float>, weight double")
     mean = (
         trained.select("weight", F.posexplode("params").alias("at", "value"))
         .groupBy("at")
@@ -273,41 +297,40 @@ def score_texts(
     """
     spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
-    rows = materialize(
-        packed(docs)
-        .select(
-            F.col(f"row.{id}").alias("doc_id"),
-            is_held_out(F.col(f"row.{id}")).alias("held_out"),
-            whole(F.col(f"row.{text}")).alias("text"),
-        )
-        .withColumn("at", F.monotonically_increasing_id()),
-        "texts",
+    texts = packed(docs).select(
+        F.col(f"row.{id}").alias("doc_id"),
+        is_held_out(F.col(f"row.{id}")).alias("held_out"),
+        whole(F.col(f"row.{text}")).alias("text"),
     )
-    learnt = rows.where(~F.col("held_out"))
-    counts = materialize(count_tokens(learnt), "token-counts")
+    counts = materialize(count_tokens(texts.where(~F.col("held_out"))), "token-counts", "zstd")
     words = vocabulary(counts, outcomes, dictionary)
     share = words.shares()
     shape = Shape(words.outcomes, width)
     known = spark.sparkContext.broadcast(words.words)
-    flat = train(learnt, known, shape, share, seed=seed)
+    rows = materialize(encoded(texts, known).withColumn("at", F.monotonically_increasing_id()), "texts", "zstd")
+    learnt = rows.where(~F.col("held_out"))
+    flat = train(learnt, shape, share, seed=seed)
     rest, d = words.outcomes - 1, width
 
-    def reader_of() -> Reader:
-        return Reader(known.value, words.outcomes)
-
     # Words of the rest class: their sums, then their own vectors and their places in the trees.
     one, two, out, bias = (a.astype(np.float64) for a in shape.split(flat))
     follows, leads = Newton([out], share), Newton([one[:-1], two[:-1]], share)
     terms = Sums(shape, flat, leads.mean)
-    met = occurrences(learnt, known, reader_of, tokens_of, terms)
-    inside = sums_by_place(met, terms).toArrow()  # `dictionary` rows at most
+
+    def coded(places: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places and codes of the tokens of a text."""
+        at = unpack_places(places)
+        return at, terms.encode(*contexts(at, shape.outcomes))
+
+    inside = occurrences(learnt, len(words.words) - rest, coded, terms)
+    inside = sums_by_place(inside, terms).toArrow()  # `dictionary` rows at most
     table = np.zeros((len(words.words) - rest, 3 * d))
     if inside.num_rows:
         table[inside.column("place").to_numpy() - rest] = np.frombuffer(b"".join(inside.column("sums").to_pylist())).reshape(-1, 3 * d)
     n_stems = max(-(-(words.distinct - len(words.words)) // STEM), 1)
     stem = F.pmod(F.xxhash64("word"), F.lit(n_stems)).cast("int")
-    outside = met.where("place is null").groupBy("word").agg(F.sort_array(F.collect_list("code")).alias("codes"))
-    outside = materialize(outside.withColumn("stem", stem), "word-occurrences")
+    outside = rare_occurrences(learnt, coded, rare_words).groupBy("word").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    outside = materialize(outside.withColumn("stem", stem), "word-occurrences", "zstd")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partial sums of the stems."""
@@ -342,16 +365,15 @@ def score_texts(
     one, two, out, bias, centre = (a.astype(np.float32) for a in (one, two, out, bias, leads.mean))
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = reader_of()
         for batch in batches:
-            for key, text in zip(batch.column("at").to_pylist(), batch.column("text")):
-                tokens = tokens_of(text.as_py())
-                rare = np.flatnonzero(reader.places(tokens) < 0)
-                for piece in np.array_split(rare, len(rare) // 10_000 + 1) if len(rare) else ():
+            for key, raw, rare in zip(*(batch.column(c).to_pylist() for c in ("at", "places", "rare"))):
+                pos, found = rare_words(rare, unpack_places(raw))
+                for start in range(0, len(pos), 10_000):
+                    some = pos[start : start + 10_000]
                     yield pa.RecordBatch.from_pydict({
-                        "at": pa.array([key] * len(piece), pa.int64()),
-                        "pos": pa.array(piece, pa.int32()),
-                        "word": pa.array([tokens[i] for i in piece], pa.binary()),
+                        "at": pa.array([key] * len(some), pa.int64()),
+                        "pos": pa.array(some, pa.int32()),
+                        "word": pa.array(found[start : start + 10_000], pa.binary()),
                     })
 
     def own_vectors(lists: list[np.ndarray]) -> np.ndarray:
@@ -369,25 +391,26 @@ def score_texts(
 
     # Own vectors of words outside the dictionary come by a join; words never seen get none.
     found = (
-        rows.select("at", "text").mapInArrow(asked, "at long, pos int, word binary")
+        rows.select("at", "places", "rare").mapInArrow(asked, "at long, pos int, word binary")
         .join(outside.select("word", "codes").mapInArrow(vectors, "word binary, many boolean, own binary"), "word")
         .groupBy("at")
         .agg(F.collect_list(F.struct("pos", "many", "own")).alias("found"))
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = reader_of()
         log = logs.value
         model, tree, own = scorer.value
+        # Logits of few enough tokens stay in a core's cache.
+        wide, ones = np.concatenate([out, bias[:, None]], 1).T.copy(), np.ones(len(out), np.float32)
+        most, most_bias = np.abs(out).sum(1).max(), np.abs(bias).max()
         for batch in batches:
             result: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base", "score", "rare")}
-            for text, hits in zip(batch.column("text"), batch.column("found")):
-                tokens = tokens_of(text.as_py())
-                places = reader.places(tokens)
-                last, before, outcome = reader.contexts(places)
+            for raw, rare, hits in zip(batch.column("places"), batch.column("rare"), batch.column("found")):
+                places = unpack_places(raw.as_py())
+                last, before, outcome = contexts(places, shape.outcomes)
                 hits = hits.as_py() or []
                 seen_at = np.array([h["pos"] for h in hits], int)
-                more = np.zeros((len(tokens) + 2, 2 * d), np.float32)  # by place in the text, two before its start
+                more = np.zeros((len(places) + 2, 2 * d), np.float32)  # by place in the text, two before its start
                 mine = np.flatnonzero(places >= rest)
                 more[mine + 2] = own[places[mine] - rest]
                 if hits:
@@ -398,25 +421,27 @@ def score_texts(
                 extra = more[1:-1, :d] + more[:-2, d:]
                 total = np.where((last == rest) | (before == rest), 0.0, model.log_prob(last, before, outcome))
                 changed = np.flatnonzero((last == rest) | (before == rest))
-                for start in range(0, len(changed), 2048):
-                    i = changed[start : start + 2048]
-                    logits = (one[last[i]] + two[before[i]] + extra[i]) @ out.T + bias
-                    top = logits.max(1)
-                    picked = logits[np.arange(len(i)), outcome[i]] - top
-                    logits -= top[:, None]
-                    total[i] = picked - np.log(np.exp(logits, out=logits).sum(1))
+                for start in range(0, len(changed), 256):
+                    i = changed[start : start + 256]
+                    guess = np.concatenate([one[last[i]] + two[before[i]] + extra[i], np.ones((len(i), 1), np.float32)], 1)
+                    logits = guess @ wide
+                    if np.abs(guess).max() * most + most_bias > 80:  # else no exponential is out of range
+                        logits -= logits.max(1, keepdims=True)
+                    total[i] = logits[np.arange(len(i)), outcome[i]]
+                    total[i] -= np.log(np.exp(logits, out=logits) @ ones)
                 low = np.flatnonzero(outcome == rest)
                 context = one[last[low]] + two[before[low]] + extra[low] - centre
                 leaf = np.where(places[low] >= 0, places[low] - rest + 1, 0)
                 natural = total.sum() + tree.gain(leaf, context).sum()
                 seen = log[places[places >= 0]]
                 in_rest = log[places[places >= rest]].sum() - len(low) * rest_total
-                result["n_tokens"].append(len(tokens))
+                result["n_tokens"].append(len(places))
                 result["n_known"].append((places >= 0).sum() + len(hits))
-                result["base"].append(seen.sum() - len(tokens) * base_total)
+                result["base"].append(seen.sum() - len(places) * base_total)
                 result["score"].append(natural / math.log(10) + in_rest)
                 by_place = dict(zip(low.tolist(), context.astype(np.float16)))
-                result["rare"].append([{"word": tokens[i], "context": by_place[i].tobytes()} for i in seen_at.tolist()])
+                names_at = dict(zip(*(list(x) for x in rare_words(rare.as_py(), places))))
+                result["rare"].append([{"word": names_at[i], "context": by_place[i].tobytes()} for i in seen_at.tolist()])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
                 "held_out": batch.column("held_out"),
@@ -432,7 +457,7 @@ def score_texts(
         f"doc_id {kind}, held_out boolean, at long, n_tokens long, n_known long, base double, score double, "
         "rare array<struct<word binary, context binary>>"
     )
-    part = materialize(rows.join(found, "at", "left").mapInArrow(score, schema), "text-scores")
+    part = materialize(rows.join(found, "at", "left").mapInArrow(score, schema), "text-scores", "zstd")
 
     def choose(key: tuple, mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):

@@ -22,6 +22,8 @@ PRIOR = 4.0
 FLUSH = 500_000
 # A word seen so often in one flush is moved as sums, others as their occurrences.
 MANY = 16
+# Places of a bucket, as a power of two.
+BITS = 9
 
 
 class Newton:
@@ -116,22 +118,31 @@ class Sums:
         return times, np.add.reduceat(self.decode(np.concatenate(lists).astype(np.int64)), starts, axis=0)
 
 
-def occurrences(rows: DataFrame, known, reader_of, tokens_of, terms: Sums) -> DataFrame:
-    """Occurrences of words of the rest class: ``place`` or, outside the dictionary, ``word``; ``code`` or, if many, ``sums`` with ``n``."""
+def occurrences(rows: DataFrame, size: int, coded, terms: Sums) -> DataFrame:
+    """Occurrences of the dictionary's words of the rest class, a row per ``bucket`` of places and flush.
+
+    ``coded`` gives places and codes of a text's ``places``. A row holds ``places`` (inside the bucket) with
+    ``codes``, or for words met often ``n`` and ``sums``.
+    """
     rest = terms.rest
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = reader_of()
-        size = max(len(known.value) - rest, 0)
-        times, fixed = np.zeros(size, np.int64), None
+        times, fixed = np.zeros(max(size, 0), np.int64), None
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n_held = 0
 
-        def record(size: int, **columns) -> pa.RecordBatch:
-            kinds = {"place": pa.int32(), "word": pa.binary(), "code": pa.int64(), "n": pa.int64(), "sums": pa.binary()}
-            return pa.RecordBatch.from_arrays(
-                [pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], list(kinds)
-            )
+        def records(places: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """A row per bucket of ascending places."""
+            buckets, first = np.unique(places >> BITS, return_index=True)
+            ends = np.append(first[1:], len(places))
+            columns["places"] = (places & (1 << BITS) - 1).astype("<u2")
+            for at in range(0, len(buckets), 64):
+                cuts = list(zip(first[at : at + 64], ends[at : at + 64]))
+                values = [
+                    pa.array([columns[c][a:b].tobytes() for a, b in cuts], pa.binary()) if c in columns else pa.nulls(len(cuts), pa.binary())
+                    for c in ("places", "codes", "n", "sums")
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets[at : at + 64], pa.int32()), *values], ["bucket", "places", "codes", "n", "sums"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal fixed, held, n_held
@@ -139,24 +150,19 @@ def occurrences(rows: DataFrame, known, reader_of, tokens_of, terms: Sums) -> Da
                 return
             places, codes = (np.concatenate(c) for c in zip(*held))
             held, n_held = [], 0
+            order = np.argsort(places, kind="stable")
+            places, codes = places[order], codes[order]
             many = np.bincount(places, minlength=size)[places] >= MANY
             if many.any():
                 fixed = np.zeros((size, 3 * terms.width), np.float32) if fixed is None else fixed
-                order = np.argsort(places[many], kind="stable")
-                ids, first, n = np.unique(places[many][order], return_index=True, return_counts=True)
+                ids, first, n = np.unique(places[many], return_index=True, return_counts=True)
                 times[ids] += n
-                fixed[ids] += np.add.reduceat(terms.decode(codes[many][order]), first, axis=0)
-            yield record(int((~many).sum()), place=places[~many] + rest, code=codes[~many])
+                fixed[ids] += np.add.reduceat(terms.decode(codes[many]), first, axis=0)
+            yield from records(places[~many], codes=codes[~many])
 
         for batch in batches:
-            for text in batch.column("text"):
-                words = tokens_of(text.as_py())
-                places = reader.places(words)
-                last, before, outcome = reader.contexts(places)
-                codes = terms.encode(last, before, outcome)
-                far = np.flatnonzero(places < 0)
-                if len(far):
-                    yield record(len(far), word=[words[i] for i in far], code=codes[far])
+            for raw in batch.column("places"):
+                places, codes = coded(raw.as_py())
                 near = places >= rest
                 held.append((places[near] - rest, codes[near]))
                 n_held += int(near.sum())
@@ -164,30 +170,45 @@ def occurrences(rows: DataFrame, known, reader_of, tokens_of, terms: Sums) -> Da
                     yield from flush()
         yield from flush()
         used = np.flatnonzero(times)
-        for at in range(0, len(used), 10_000):
-            some = used[at : at + 10_000]
-            yield record(len(some), place=some + rest, n=times[some], sums=[v.tobytes() for v in fixed[some]])
+        if len(used):
+            yield from records(used, n=times[used], sums=fixed[used])
+
+    return rows.select("places").mapInArrow(collect, "bucket int, places binary, codes binary, n binary, sums binary")
+
+
+def rare_occurrences(rows: DataFrame, coded, rare_words) -> DataFrame:
+    """``word`` and ``code`` of every word outside the dictionary."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: list[bytes] = []
+            far = [np.zeros(0, np.int64)]
+            for raw, rare in zip(batch.column("places"), batch.column("rare")):
+                places, codes = coded(raw.as_py())
+                at, found = rare_words(rare.as_py(), places)
+                words += found
+                far.append(codes[at])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(far))], ["word", "code"])
 
-    return rows.select("text").mapInArrow(collect, "place int, word binary, code long, n long, sums binary")
+    return rows.select("places", "rare").mapInArrow(collect, "word binary, code long")
 
 
 def sums_by_place(found: DataFrame, terms: Sums) -> DataFrame:
     """``place``, ``n`` and ``sums`` (doubles) of the dictionary's words."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        coded = rows["n"].isna().to_numpy()
-        parts = [terms.decode(rows["code"][coded].to_numpy(np.int64))]
-        whole = b"".join(rows["sums"][~coded])
-        parts.append(np.frombuffer(whole, np.float32).reshape(-1, 3 * terms.width))
-        places = np.concatenate([rows["place"][coded], rows["place"][~coded]]).astype(int)
-        times = np.concatenate([np.ones(coded.sum()), rows["n"][~coded]])
-        low = places.min()
-        n = np.bincount(places - low, times)
-        total = np.zeros((len(n), 3 * terms.width))
-        np.add.at(total, places - low, np.concatenate(parts))
+        n, total = np.zeros(1 << BITS), np.zeros((1 << BITS, 3 * terms.width))
+        for places, codes, times, sums in zip(rows["places"], rows["codes"], rows["n"], rows["sums"]):
+            at = np.frombuffer(places, "<u2").astype(int)
+            if codes is None:
+                n[at] += np.frombuffer(times, np.int64)
+                total[at] += np.frombuffer(sums, np.float32).reshape(-1, 3 * terms.width)
+            else:
+                ids, first, each = np.unique(at, return_index=True, return_counts=True)
+                n[ids] += each
+                total[ids] += np.add.reduceat(terms.decode(np.frombuffer(codes, np.int64)), first, axis=0, dtype=np.float64)
         used = np.flatnonzero(n)
-        return pd.DataFrame({"place": used + low, "n": n[used], "sums": [v.tobytes() for v in total[used]]})
+        start = terms.rest + (int(rows["bucket"].iloc[0]) << BITS)
+        return pd.DataFrame({"place": used + start, "n": n[used], "sums": [v.tobytes() for v in total[used]]})
 
-    near = found.where("place is not null").withColumn("bucket", F.shiftright("place", 9))
-    near = near.withColumn("code", F.coalesce("code", F.lit(0).cast("long")))  # a null would make them floats
-    return near.groupBy("bucket").applyInPandas(add, "place int, n double, sums binary")
+    return found.groupBy("bucket").applyInPandas(add, "place int, n double, sums binary")
