@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actlens.llm.common import packed, whole
-from actlens.llm.word_tree import Newton, Sums, Tree, occurrences, rare_occurrences, sums_by_place
+from actlens.llm.word_tree import NONE, OUTSIDE, Newton, Sums, Tree, context_outcome, occurrences, sums_by_place
 from actlens.session import materialize
 
 END = b""  # no word is empty
@@ -38,6 +39,8 @@ WIDTH = 16
 NOISE = 32
 BATCH = 4096
 FLUSH = 400_000
+# Tokens of texts that are scored together.
+CHUNK = 100_000
 # Words outside the dictionary that share a task's tree, on average; the trees grow in number.
 STEM = 4096
 
@@ -209,6 +212,15 @@ def unpack_places(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) - 1
 
 
+def pack_words(words: list[bytes]) -> bytes:
+    raw = b"".join(w + b" " for w in words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack_words(raw: bytes) -> list[bytes]:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True).split(b" ")[:-1]
+
+
 def rare_words(raw: bytes, places: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Where words outside the dictionary stand, and which; no word holds a blank."""
     at = np.flatnonzero(places < 0)
@@ -277,6 +289,156 @@ def train(rows: DataFrame, shape: Shape, share: np.ndarray, rate: float = 0.5, s
     return flat
 
 
+# A word outside the dictionary: its number in its stem, its place, the places around it.
+COLUMNS = ("leaf", "at", "pos", "learnt", "m2", "m1", "p1", "p2")
+
+
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Integers as planes of bytes, most of them empty, compressed; their number stands before."""
+    raw = b"".join(np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack_columns(raw: bytes) -> dict[str, np.ndarray]:
+    n = int.from_bytes(raw[:8], "little")
+    if not n:
+        return {c: np.zeros(0, np.int64) for c in COLUMNS}
+    planes = np.frombuffer(pa.decompress(raw[8:], 64 * n, "zstd", asbytes=True), np.uint8).reshape(8, 8, n)
+    return {c: np.ascontiguousarray(p.T).view("<i8").ravel() for c, p in zip(COLUMNS, planes)}
+
+
+def stem_rows(rows: DataFrame, n_stems: int, terms: Sums) -> DataFrame:
+    """One row per ``stem`` of words outside the dictionary: ``packed`` occurrences, and what its training words sum up to.
+
+    ``n`` occurrences, ``words`` and ``sums`` are of training texts. An occurrence crosses the network once,
+    in a row per stem and flush.
+    """
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[bytes] = []
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not words:
+                return
+            columns = np.concatenate(held, 1)
+            stems = np.fromiter(map(crc32, words), np.int64, len(words)) % n_stems
+            order = np.argsort(stems, kind="stable")
+            stems, columns = stems[order], columns[:, order]
+            at_ = columns[1].copy()
+            columns[1, 1:] = np.diff(at_)
+            used, first = np.unique(stems, return_index=True)
+            ends = np.append(first[1:], len(stems))
+            for at in range(0, len(used), 64):
+                cuts = list(zip(first[at : at + 64].tolist(), ends[at : at + 64].tolist()))
+                yield pa.RecordBatch.from_pydict({
+                    "stem": pa.array(used[at : at + 64], pa.int32()),
+                    "spelt": pa.array([pack_words([words[i] for i in order[a:b]]) for a, b in cuts], pa.binary()),
+                    "start": pa.array([at_[a] for a, _ in cuts], pa.int64()),
+                    "packed": pa.array([pack_columns(list(columns[:, a:b])) for a, b in cuts], pa.binary()),
+                })
+
+        for batch in batches:
+            for raw, rare, at, out in zip(*(batch.column(c).to_pylist() for c in ("places", "rare", "at", "held_out"))):
+                places = unpack_places(raw)
+                i, found = rare_words(rare, places)
+                if not len(i):
+                    continue
+                padded = np.concatenate([[NONE, NONE], places, [NONE, NONE]])
+                words += found
+                zero = np.zeros(len(i), np.int64)
+                held.append(np.stack([zero, zero + at, i, zero + (not out), padded[i], padded[i + 1], padded[i + 3], padded[i + 4]]))
+                if len(words) > FLUSH:
+                    yield from flush()
+                    words, held = [], []
+        yield from flush()
+
+    def gather(mine: pd.DataFrame) -> pd.DataFrame:
+        words: list[bytes] = []
+        parts = []
+        for spelt, start, packed_ in zip(mine["spelt"], mine["start"], mine["packed"]):
+            words += unpack_words(spelt)
+            c = unpack_columns(packed_)
+            c["at"][0] = start
+            c["at"] = np.cumsum(c["at"])
+            parts.append(np.stack([c[x] for x in COLUMNS]))
+        columns = np.concatenate(parts, 1)
+        number, names = pd.factorize(np.array(words, object), sort=True)
+        seen = np.bincount(number[columns[3] == 1], minlength=len(names)) > 0
+        columns[0] = np.where(seen, np.cumsum(seen) - 1, -1)[number]  # words never seen in training: -1
+        columns = columns[:, np.lexsort((columns[2], columns[1], number))]
+        n_words = int(seen.sum())
+        times, sums = terms.of_rows(dict(zip(COLUMNS, columns)), n_words)
+        total = sums[:, : terms.width].sum(0, dtype=np.float64)
+        return pd.DataFrame({
+            "stem": [int(mine["stem"].iloc[0])], "n": [float(times.sum())], "words": [n_words],
+            "sums": [total.tolist()], "packed": [pack_columns(list(columns))],
+        })
+
+    sent = rows.select("places", "rare", "at", "held_out").mapInArrow(collect, "stem int, spelt binary, start long, packed binary")
+    return sent.groupBy("stem").applyInPandas(gather, "stem int, n double, words long, sums array<double>, packed binary")
+
+
+class Scorer:
+    """Contexts and log probabilities of tokens, from places in the dictionary, ``OUTSIDE`` or ``NONE``."""
+
+    def __init__(self, shape: Shape, flat: np.ndarray, model: Model, tree: Tree, own: np.ndarray, centre: np.ndarray):
+        self.one, self.two, self.out, self.bias = (a.astype(np.float32) for a in shape.split(flat))
+        self.model, self.tree, self.own, self.centre = model, tree, own, centre.astype(np.float32)
+        self.rest, self.width = shape.outcomes - 1, shape.width
+        # Logits of few enough tokens stay in a core's cache.
+        self.wide = np.concatenate([self.out, self.bias[:, None]], 1).T.copy()
+        self.most, self.most_bias = np.abs(self.out).sum(1).max(), np.abs(self.bias).max()
+
+    def context(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Sum of the vectors of two places, without own vectors of words outside the dictionary."""
+        d = self.width
+        h = self.one[context_outcome(last, self.rest)] + self.two[context_outcome(before, self.rest)]
+        for places, half in ((last, slice(0, d)), (before, slice(d, 2 * d))):
+            i = np.flatnonzero(places >= self.rest)
+            h[i] += self.own[places[i] - self.rest, half]
+        return h
+
+    def tokens(self, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """``token`` of all places of texts at ``starts``; 0 where the context holds a word outside the dictionary."""
+        last, before = np.append(NONE, places[:-1]), np.concatenate([[NONE, NONE], places])[: len(places)]
+        last[starts] = before[starts] = NONE
+        second = starts[np.append(starts[1:], len(places)) - starts > 1] + 1
+        before[second] = NONE
+        total = np.zeros(len(places))
+        # Contexts of two outcomes are in the table of normalisers.
+        near, far = context_outcome(last, self.rest), context_outcome(before, self.rest)
+        plain = (near != self.rest) & (far != self.rest)
+        i = np.flatnonzero(plain)
+        outcome = np.where((places[i] < 0) | (places[i] > self.rest), self.rest, places[i])
+        total[i] = self.model.log_prob(near[i], far[i], outcome)
+        i = i[outcome == self.rest]
+        total[i] += self.leaf(self.context(last[i], before[i]), places[i])
+        i = np.flatnonzero(~plain & (last != OUTSIDE) & (before != OUTSIDE))
+        total[i] = self.token(self.context(last[i], before[i]), places[i])
+        return total
+
+    def leaf(self, context: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Gain of the leaf of a place of the rest class."""
+        return self.tree.gain(np.where(places >= 0, places - self.rest + 1, 0), context - self.centre)
+
+    def token(self, context: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Natural log probability of the outcome, and below the rest class of the leaf over its share."""
+        outcome = np.where((places < 0) | (places > self.rest), self.rest, places)
+        total, ones = np.zeros(len(places)), np.ones(len(self.out), np.float32)
+        for start in range(0, len(places), 128):
+            h, k = context[start : start + 128], outcome[start : start + 128]
+            guess = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
+            logits = guess @ self.wide
+            if np.abs(guess).max() * self.most + self.most_bias > 80:  # else no exponential is out of range
+                logits -= logits.max(1, keepdims=True)
+            total[start : start + 128] = logits[np.arange(len(k)), k]
+            total[start : start + 128] -= np.log(np.exp(logits, out=logits) @ ones)
+        low = np.flatnonzero(outcome == self.rest)
+        total[low] += self.leaf(context[low], places[low])
+        return total
+
+
 def score_texts(
     docs: DataFrame,
     text: str = "text",
@@ -328,165 +490,176 @@ def score_texts(
     if inside.num_rows:
         table[inside.column("place").to_numpy() - rest] = np.frombuffer(b"".join(inside.column("sums").to_pylist())).reshape(-1, 3 * d)
     n_stems = max(-(-(words.distinct - len(words.words)) // STEM), 1)
-    stem = F.pmod(F.xxhash64("word"), F.lit(n_stems)).cast("int")
-    outside = rare_occurrences(learnt, coded, rare_words).groupBy("word").agg(F.sort_array(F.collect_list("code")).alias("codes"))
-    outside = materialize(outside.withColumn("stem", stem), "word-occurrences", "zstd")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partial sums of the stems."""
-        n, sums = np.zeros((n_stems, 2)), np.zeros((n_stems, d))
-        for batch in batches:
-            at = batch.column("stem").to_numpy()
-            times, each = terms.of_lists(batch.column("codes").to_numpy(zero_copy_only=False))
-            np.add.at(n, at, np.stack([times, np.ones(len(at))], 1))
-            np.add.at(sums, at, each[:, :d])
-        used = np.flatnonzero(n[:, 0])
-        columns = [pa.array(used, pa.int32()), *(pa.array(c) for c in np.ascontiguousarray(np.concatenate([n, sums], 1)[used].T))]
-        yield pa.RecordBatch.from_arrays(columns, ["stem", "n", "words", *names])
-
-    names = [f"s{i}" for i in range(d)]
-    stems = outside.select("stem", "codes").mapInArrow(add, f"stem int, {', '.join(c + ' double' for c in ('n', 'words', *names))}")
-    stems = stems.groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("n", "words", *names)]).toArrow()  # one row per STEM words
+    found = stem_rows(rows, n_stems, terms)
+    found = materialize(found, "word-occurrences", "zstd")
+    stems = found.select("stem", "n", "words", "sums").toArrow()  # one row per STEM words
     trunk_n, trunk_sums = np.zeros(n_stems), np.zeros((n_stems, d))
     trunk_mass, at = np.zeros(n_stems), stems.column("stem").to_numpy()
     if len(at):
         trunk_n[at] = stems.column("n").to_numpy()
         trunk_mass[at] = trunk_n[at] + stems.column("words").to_numpy()
-        trunk_sums[at] = np.stack([stems.column(c).to_numpy() for c in names], 1)
+        trunk_sums[at] = np.array(stems.column("sums").to_pylist())
     out_mass = trunk_mass.sum() + 1  # one for unknown words
     n = words.counts[rest:].astype(float)
     # The first leaf is all words outside the dictionary.
     near_tree = Tree(np.append(trunk_n.sum(), n), np.append(out_mass, n + 1), np.concatenate([[trunk_sums.sum(0)], table[:, :d]]), leads)
     trunk = spark.sparkContext.broadcast(Tree(trunk_n, trunk_mass, trunk_sums, leads))
     own = np.concatenate([follows(table[:, d : 2 * d], n), follows(table[:, 2 * d :], n)], 1).astype(np.float32)
-    scorer = spark.sparkContext.broadcast((Model.of(shape, flat), near_tree, own))
+    scorer = spark.sparkContext.broadcast(Scorer(shape, flat, Model.of(shape, flat), near_tree, own, leads.mean))
     logs = spark.sparkContext.broadcast(np.log10(words.counts + 1.0))
     base_total, rest_total = math.log10(words.train_tokens + words.distinct + 1), math.log10(words.rest_total())
-    one, two, out, bias, centre = (a.astype(np.float32) for a in (one, two, out, bias, leads.mean))
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a text's dictionary says: all tokens with no word outside it in their context."""
+        log, of = logs.value, scorer.value
         for batch in batches:
-            for key, raw, rare in zip(*(batch.column(c).to_pylist() for c in ("at", "places", "rare"))):
-                pos, found = rare_words(rare, unpack_places(raw))
-                for start in range(0, len(pos), 10_000):
-                    some = pos[start : start + 10_000]
-                    yield pa.RecordBatch.from_pydict({
-                        "at": pa.array([key] * len(some), pa.int64()),
-                        "pos": pa.array(some, pa.int32()),
-                        "word": pa.array(found[start : start + 10_000], pa.binary()),
-                    })
-
-    def own_vectors(lists: list[np.ndarray]) -> np.ndarray:
-        times, sums = terms.of_lists(lists)
-        return np.concatenate([follows(sums[:, d : 2 * d], times), follows(sums[:, 2 * d :], times)], 1)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Own vectors, or the occurrences they are made of where these are shorter."""
+            texts = [unpack_places(raw.as_py()) for raw in batch.column("places")]
+            sizes = np.array([len(t) for t in texts])
+            sums = []
+            for some in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK)) + 1):
+                places = np.concatenate([texts[i] for i in some])
+                starts = np.cumsum(sizes[some]) - sizes[some]
+                known, low = places >= 0, (places < 0) | (places >= rest)
+                base = np.where(known, log[places.clip(0)], 0.0) if len(log) else np.zeros(len(places))
+                more = of.tokens(places, starts) / math.log(10) + np.where(low, base - rest_total, 0.0)
+                sums.append([np.add.reduceat(x, starts) for x in (known.astype(np.int64), base - base_total, more)])
+            known, base, more = (np.concatenate(x) for x in zip(*sums))
+            columns = [*(batch.column(c) for c in ("doc_id", "held_out", "at")), *(pa.array(x) for x in (sizes, known, base, more))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "at", "n_tokens", "n_known", "base", "score"])
+
+    def own_vectors(c: dict[str, np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences and sums of a stem's training words, and own vectors of all its rows."""
+        times, sums = terms.of_rows(c, n_words)
+        made = np.concatenate([follows(sums[:, d : 2 * d], times), follows(sums[:, 2 * d :], times)], 1)
+        made = np.concatenate([made, np.zeros((1, 2 * d))]).astype(np.float16).astype(np.float32)
+        return times, sums[:, :d], made[c["leaf"]]  # the last row: words never seen
+
+    def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What words outside the dictionary add, where no other one stands in their token or its context."""
+        of = scorer.value
         for batch in batches:
-            lists = batch.column("codes").to_numpy(zero_copy_only=False)
-            many = np.array([len(x) >= d // 2 for x in lists], bool)
-            made = iter(own_vectors(lists[many]).astype(np.float16))
-            values = [next(made).tobytes() if m else x.astype(np.int64).tobytes() for m, x in zip(many, lists)]
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "many": pa.array(many), "own": pa.array(values, pa.binary())})
-
-    # Own vectors of words outside the dictionary come by a join; words never seen get none.
-    found = (
-        rows.select("at", "places", "rare").mapInArrow(asked, "at long, pos int, word binary")
-        .join(outside.select("word", "codes").mapInArrow(vectors, "word binary, many boolean, own binary"), "word")
-        .groupBy("at")
-        .agg(F.collect_list(F.struct("pos", "many", "own")).alias("found"))
-    )
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = logs.value
-        model, tree, own = scorer.value
-        # Logits of few enough tokens stay in a core's cache.
-        wide, ones = np.concatenate([out, bias[:, None]], 1).T.copy(), np.ones(len(out), np.float32)
-        most, most_bias = np.abs(out).sum(1).max(), np.abs(bias).max()
+            for r in batch.to_pylist():
+                c = unpack_columns(r["packed"])
+                times, sums, mine = own_vectors(c, r["words"])
+                zero = np.zeros((len(mine), d), np.float32)
+                more = zero[:, 0].astype(np.float64)
+                known = c["leaf"] >= 0
+                near, far, next_, third = c["m1"], c["m2"], c["p1"], c["p2"]
+                i = np.flatnonzero(known & (near != OUTSIDE) & (far != OUTSIDE))
+                leaves = Tree(times, times + 1.0, sums.astype(np.float64), leads)
+                h = of.context(near[i], far[i]) - of.centre
+                more[i] += leaves.gain(c["leaf"][i], h) + trunk.value.gain(np.full(len(i), r["stem"]), h)
+                i = np.flatnonzero((next_ >= 0) & (near != OUTSIDE))
+                more[i] += of.token(of.context(np.full(len(i), OUTSIDE), near[i]) + mine[i, :d], next_[i])
+                i = np.flatnonzero((next_ >= 0) & (third >= 0))
+                more[i] += of.token(of.context(next_[i], np.full(len(i), OUTSIDE)) + mine[i, d:], third[i])
+                base = np.where(known, np.log10(np.append(times, 0) + 1.0)[c["leaf"]], 0.0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (c["at"], known.astype(np.int64), base, base + more / math.log(10))],
+                    ["at", "more_known", "more_base", "more_score"],
+                )
+
+    def clustered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words outside the dictionary with another one near: what their common tokens need."""
         for batch in batches:
-            result: dict[str, list] = {name: [] for name in ("n_tokens", "n_known", "base", "score", "rare")}
-            for raw, rare, hits in zip(batch.column("places"), batch.column("rare"), batch.column("found")):
-                places = unpack_places(raw.as_py())
-                last, before, outcome = contexts(places, shape.outcomes)
-                hits = hits.as_py() or []
-                seen_at = np.array([h["pos"] for h in hits], int)
-                more = np.zeros((len(places) + 2, 2 * d), np.float32)  # by place in the text, two before its start
-                mine = np.flatnonzero(places >= rest)
-                more[mine + 2] = own[places[mine] - rest]
-                if hits:
-                    many = np.array([h["many"] for h in hits])
-                    made = b"".join(h["own"] for h in hits if h["many"])
-                    more[seen_at[many] + 2] = np.frombuffer(made, np.float16).reshape(-1, 2 * d)
-                    more[seen_at[~many] + 2] = own_vectors([np.frombuffer(h["own"], np.int64) for h in hits if not h["many"]])
-                extra = more[1:-1, :d] + more[:-2, d:]
-                total = np.where((last == rest) | (before == rest), 0.0, model.log_prob(last, before, outcome))
-                changed = np.flatnonzero((last == rest) | (before == rest))
-                for start in range(0, len(changed), 256):
-                    i = changed[start : start + 256]
-                    guess = np.concatenate([one[last[i]] + two[before[i]] + extra[i], np.ones((len(i), 1), np.float32)], 1)
-                    logits = guess @ wide
-                    if np.abs(guess).max() * most + most_bias > 80:  # else no exponential is out of range
-                        logits -= logits.max(1, keepdims=True)
-                    total[i] = logits[np.arange(len(i)), outcome[i]]
-                    total[i] -= np.log(np.exp(logits, out=logits) @ ones)
-                low = np.flatnonzero(outcome == rest)
-                context = one[last[low]] + two[before[low]] + extra[low] - centre
-                leaf = np.where(places[low] >= 0, places[low] - rest + 1, 0)
-                natural = total.sum() + tree.gain(leaf, context).sum()
-                seen = log[places[places >= 0]]
-                in_rest = log[places[places >= rest]].sum() - len(low) * rest_total
-                result["n_tokens"].append(len(places))
-                result["n_known"].append((places >= 0).sum() + len(hits))
-                result["base"].append(seen.sum() - len(places) * base_total)
-                result["score"].append(natural / math.log(10) + in_rest)
-                by_place = dict(zip(low.tolist(), context.astype(np.float16)))
-                names_at = dict(zip(*(list(x) for x in rare_words(rare.as_py(), places))))
-                result["rare"].append([{"word": names_at[i], "context": by_place[i].tobytes()} for i in seen_at.tolist()])
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
-                "held_out": batch.column("held_out"),
-                "at": batch.column("at"),
-                "n_tokens": pa.array(result["n_tokens"], pa.int64()),
-                "n_known": pa.array(result["n_known"], pa.int64()),
-                "base": pa.array(result["base"], pa.float64()),
-                "score": pa.array(result["score"], pa.float64()),
-                "rare": pa.array(result["rare"], pa.list_(pa.struct([("word", pa.binary()), ("context", pa.binary())]))),
-            })
-
-    schema = (
-        f"doc_id {kind}, held_out boolean, at long, n_tokens long, n_known long, base double, score double, "
-        "rare array<struct<word binary, context binary>>"
-    )
-    part = materialize(rows.join(found, "at", "left").mapInArrow(score, schema), "text-scores", "zstd")
+            for r in batch.to_pylist():
+                c = unpack_columns(r["packed"])
+                i = np.flatnonzero((c["m1"] == OUTSIDE) | (c["m2"] == OUTSIDE) | (c["p1"] == OUTSIDE) | (c["p2"] == OUTSIDE))
+                mine = own_vectors(c, r["words"])[2][i].astype(np.float16)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(c[x][i]) for x in ("at", "pos")),
+                        pa.array(np.full(len(i), r["stem"], np.int32)),
+                        *(pa.array(c[x][i].astype(np.int32)) for x in ("leaf", "m1", "m2", "p1")),
+                        pa.array([v.tobytes() for v in mine], pa.binary()),
+                    ],
+                    ["at", "pos", "stem", "leaf", "m1", "m2", "p1", "own"],
+                )
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+        """Columns in order of text and place, own vectors, and contexts; the last two rows go on to the next batch."""
+        of, kept = scorer.value, None
+        for batch in batches:
+            c = {x: batch.column(x).to_numpy() for x in ("at", "pos", "stem", "leaf", "m1", "m2", "p1")}
+            mine = np.frombuffer(b"".join(batch.column("own").to_pylist()), np.float16).reshape(-1, 2 * d).astype(np.float32)
+            skip = 0
+            if kept is not None:
+                skip = len(kept[1])
+                c, mine = {x: np.concatenate([kept[0][x], c[x]]) for x in c}, np.concatenate([kept[1], mine])
+            kept = {x: v[-2:] for x, v in c.items()}, mine[-2:]
+            extra = np.zeros((len(mine), d), np.float32)
+            for back in (1, 2):  # rows before, in which the words one and two places before may stand
+                same = np.flatnonzero(c["at"][back:] == c["at"][:-back]) + back
+                gap = c["pos"][same] - c["pos"][same - back]
+                for places, half in ((1, slice(0, d)), (2, slice(d, 2 * d))):
+                    i = same[gap == places]
+                    extra[i] += mine[i - back][:, half]
+            # The word one place before, as the one two places before the next token.
+            one_before = np.zeros((len(mine), d), np.float32)
+            i = np.flatnonzero((c["at"][1:] == c["at"][:-1]) & (c["pos"][1:] == c["pos"][:-1] + 1)) + 1
+            one_before[i] = mine[i - 1, d:]
+            h = of.context(c["m1"], c["m2"]) + extra
+            after = of.context(np.full(len(mine), OUTSIDE), c["m1"]) + mine[:, :d] + one_before
+            yield {x: v[skip:] for x, v in c.items()}, h[skip:], after[skip:]
+
+    def score_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scorer.value
+        for c, h, after in neighbours(batches):
+            more = np.zeros(len(h))
+            i = np.flatnonzero((c["m1"] == OUTSIDE) | (c["m2"] == OUTSIDE))
+            more[i] += of.token(h[i], np.full(len(i), OUTSIDE))
+            i = np.flatnonzero((c["m1"] == OUTSIDE) & (c["p1"] >= 0))
+            more[i] += of.token(after[i], c["p1"][i])
+            zero = np.zeros(len(h))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (c["at"], zero.astype(np.int64), zero, more / math.log(10))],
+                ["at", "more_known", "more_base", "more_score"],
+            )
 
-    def choose(key: tuple, mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame({"at": [], "more_base": [], "more_score": []})
-        mine = mine.sort_values("word").reset_index(drop=True)
-        times, sums = terms.of_lists(mine["codes"].to_list())
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Contexts in which leaves are asked for that could not be known beside the leaf."""
+        for c, h, _ in neighbours(batches):
+            i = np.flatnonzero((c["leaf"] >= 0) & ((c["m1"] == OUTSIDE) | (c["m2"] == OUTSIDE)))
+            context = (h[i] - scorer.value.centre).astype(np.float16)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c[x][i]) for x in ("stem", "leaf", "at")), pa.array([v.tobytes() for v in context], pa.binary())],
+                ["stem", "leaf", "at", "context"],
+            )
+
+    def choose(mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(mine):
+            return pd.DataFrame({"at": [], "more_known": [], "more_base": [], "more_score": []})
+        stem = int(mine["stem"].iloc[0])
+        times, sums = terms.of_rows(unpack_columns(mine["packed"].iloc[0]), int(mine["words"].iloc[0]))
         leaves = Tree(times, times + 1.0, sums[:, :d].astype(np.float64), leads)
-        leaf = asked["word"].map(dict(zip(mine["word"], mine.index))).to_numpy(np.int64)
         context = np.frombuffer(b"".join(asked["context"]), np.float16).reshape(-1, d).astype(np.float32)
-        gain = leaves.gain(leaf, context) + trunk.value.gain(np.full(len(leaf), key[0]), context)
-        base = np.log10(times[leaf] + 1)
-        each = pd.DataFrame({"at": asked["at"], "more_base": base, "more_score": base + gain / math.log(10)})
-        return each.groupby("at", as_index=False).sum()
-
-    # Inside the outside leaf: each stem of words with its tree, and the tokens that ask for one of them.
-    tokens = part.select("at", F.explode("rare").alias("r")).select("at", "r.word", "r.context").withColumn("stem", stem)
-    looked_up = (
-        outside.select("stem", "word", "codes")
-        .groupBy("stem")
-        .cogroup(tokens.groupBy("stem"))
-        .applyInPandas(choose, "at long, more_base double, more_score double")
+        gain = leaves.gain(asked["leaf"].to_numpy(), context) + trunk.value.gain(np.full(len(asked), stem), context)
+        return pd.DataFrame({"at": asked["at"], "more_known": 0, "more_base": 0.0, "more_score": gain / math.log(10)})
+
+    part = rows.select("doc_id", "held_out", "at", "places").mapInArrow(
+        score, f"doc_id {kind}, held_out boolean, at long, n_tokens long, n_known long, base double, score double"
+    )
+    more = "at long, more_known long, more_base double, more_score double"
+    of_stems = found.select("stem", "words", "packed")
+    near = (
+        of_stems.mapInArrow(clustered, "at long, pos long, stem int, leaf int, m1 int, m2 int, p1 int, own binary")
+        .repartition("at")
+        .sortWithinPartitions("at", "pos")
+    )
+    contexts_ = near.mapInArrow(asked, "stem int, leaf int, at long, context binary")
+    chosen = of_stems.groupBy("stem").cogroup(contexts_.groupBy("stem")).applyInPandas(choose, more)
+    added = (
+        of_stems.mapInArrow(score_words, more)
+        .unionByName(near.mapInArrow(score_clusters, more))
+        .unionByName(chosen)
         .groupBy("at")
-        .agg(F.sum("more_base").alias("more_base"), F.sum("more_score").alias("more_score"))
+        .agg(*[F.sum(c).alias(c) for c in ("more_known", "more_base", "more_score")])
     )
-    return part.join(looked_up, "at", "left").select(
+    return part.join(added, "at", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        "n_known",
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(words.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),

@@ -24,6 +24,13 @@ FLUSH = 500_000
 MANY = 16
 # Places of a bucket, as a power of two.
 BITS = 9
+# Instead of a place in the dictionary: a word that has none, and no token at all.
+OUTSIDE, NONE = -1, -2
+
+
+def context_outcome(places: np.ndarray, rest: int) -> np.ndarray:
+    """Outcomes of places as contexts; the place before a text follows the rest class."""
+    return np.where(places == NONE, rest + 1, np.where((places < 0) | (places > rest), rest, places)).astype(np.int64)
 
 
 class Newton:
@@ -59,15 +66,18 @@ class Tree:
     def gain(self, leaf: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Natural log of P(leaf | context) over the leaf's share of the counts."""
         out = np.zeros(len(leaf))
+        order = np.argsort(leaf, kind="stable")  # one node's tokens find its vectors in the cache
         for at in range(0, len(leaf), 4096):
-            some, h = leaf[at : at + 4096], context[at : at + 4096]
+            i = order[at : at + 4096]
+            some, h, rows = leaf[i], context[i][:, :, None], np.arange(len(i))
             for depth, (vectors, shares) in enumerate(self.levels):
                 child = some // FAN ** (len(self.levels) - 1 - depth)
-                pull = np.einsum("ncd,nd->nc", vectors[child // FAN], h)
-                all_ = pull + shares[child // FAN]
-                top = all_.max(1)
-                log_z = np.log(np.exp(all_ - top[:, None]).sum(1)) + top
-                out[at : at + 4096] += pull[np.arange(len(some)), child % FAN] - log_z
+                pull = np.matmul(vectors[child // FAN], h)[:, :, 0]
+                chosen = pull[rows, child % FAN]
+                pull += shares[child // FAN]
+                top = pull.max(1)
+                pull -= top[:, None]
+                out[i] += chosen - (np.log(np.exp(pull, out=pull).sum(1)) + top)
         return out
 
 
@@ -109,13 +119,17 @@ class Sums:
         terms[i, 2 * d :] = self.out[third[i]] - self.over[next_[i]]
         return terms
 
-    def of_lists(self, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(occurrences, sums) of non-empty lists of codes."""
-        times = np.array([len(x) for x in lists], int)
-        if not len(lists):
-            return times, np.zeros((0, 3 * self.width), np.float32)
-        starts = np.cumsum(times) - times
-        return times, np.add.reduceat(self.decode(np.concatenate(lists).astype(np.int64)), starts, axis=0)
+    def of_rows(self, columns: dict[str, np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrences, sums) of words numbered by ``leaf`` in ascending order, from rows of training texts."""
+        i = np.flatnonzero(columns["learnt"] == 1)
+        if not len(i):
+            return np.zeros(n_words, int), np.zeros((n_words, 3 * self.width), np.float32)
+        last, before = (context_outcome(columns[c][i], self.rest) for c in ("m1", "m2"))
+        # The token after the end is not the one before the start.
+        next_, third = (np.where(columns[c][i] == NONE, self.none, context_outcome(columns[c][i], self.rest)) for c in ("p1", "p2"))
+        terms = self.decode(last | before << 16 | next_ << 32 | third << 48)
+        _, first, times = np.unique(columns["leaf"][i], return_index=True, return_counts=True)
+        return times, np.add.reduceat(terms, first, axis=0)
 
 
 def occurrences(rows: DataFrame, size: int, coded, terms: Sums) -> DataFrame:
@@ -176,23 +190,6 @@ def occurrences(rows: DataFrame, size: int, coded, terms: Sums) -> DataFrame:
     return rows.select("places").mapInArrow(collect, "bucket int, places binary, codes binary, n binary, sums binary")
 
 
-def rare_occurrences(rows: DataFrame, coded, rare_words) -> DataFrame:
-    """``word`` and ``code`` of every word outside the dictionary."""
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words: list[bytes] = []
-            far = [np.zeros(0, np.int64)]
-            for raw, rare in zip(batch.column("places"), batch.column("rare")):
-                places, codes = coded(raw.as_py())
-                at, found = rare_words(rare.as_py(), places)
-                words += found
-                far.append(codes[at])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.concatenate(far))], ["word", "code"])
-
-    return rows.select("places", "rare").mapInArrow(collect, "word binary, code long")
-
-
 def sums_by_place(found: DataFrame, terms: Sums) -> DataFrame:
     """``place``, ``n`` and ``sums`` (doubles) of the dictionary's words."""
 
