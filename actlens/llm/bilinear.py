@@ -14,15 +14,16 @@ the others get their vectors and their share of the tree by joins.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,9 @@ NOISE = 32
 BATCH = 4096
 FLUSH = 400_000
 # Tokens of texts that are scored together.
-CHUNK = 100_000
+CHUNK = 200_000
+# Most frequent words whose pairs have their normalisers in a worker's table (64 MB).
+PAIRS = 4096
 # Words outside the dictionary that share a task's tree, on average; the trees grow in number.
 STEM = 4096
 
@@ -57,6 +60,27 @@ def tokens_of(text: str) -> list[bytes]:
     return words
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``tokens_of`` all texts without their end tokens, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    real = pc.greater(pc.binary_length(words), 0)  # a text may begin or end with blanks
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))[lists.offsets.to_numpy()]
+    return words.filter(real).cast(pa.binary()), np.diff(before)
+
+
+def values_of(column: pa.Array) -> list[bytes]:
+    """``to_pylist`` without a scalar per value."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def binary_rows(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    size = rows.shape[1] * rows.itemsize
+    ends = np.arange(0, size * len(rows) + 1, size, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows.tobytes())])
+
+
 @dataclass
 class Shape:
     """Sizes of the parameter arrays and their places in one flat vector."""
@@ -86,6 +110,7 @@ class Trainer:
         self.one, self.two, self.out, self.bias = shape.split(self.flat)
         self.steps = [np.full(a.shape, 0.1, np.float32) for a in (self.one, self.two, self.out, self.bias)]
         self.noise, self.rate = noise, rate
+        self.kind = np.uint16 if shape.outcomes < 1 << 16 else np.int64
         self.log_noise = np.log(noise * share).astype(np.float32)
         self.cdf = np.cumsum(share)
         self.rng = np.random.default_rng(seed)
@@ -109,8 +134,11 @@ class Trainer:
             (self.out, self.steps[2], outcomes, to_out),
             (self.bias, self.steps[3], outcomes, np.concatenate([pull, push.sum(0)])),
         ):
+            rows = rows.astype(self.kind)  # numbers of 16 bits are sorted by their digits
             order = np.argsort(rows, kind="stable")
-            ids, first = np.unique(rows[order], return_index=True)
+            rows = rows[order]
+            first = np.append(0, np.flatnonzero(rows[1:] != rows[:-1]) + 1)
+            ids = rows[first]
             total = np.add.reduceat(grad[order], first, axis=0) * scale
             past[ids] += total * total
             array[ids] += self.rate * total / np.sqrt(past[ids])
@@ -165,19 +193,23 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     """``word``, ``n`` over all rows (``text``): counted in the map tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counter: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counter), pa.binary()), pa.array(list(counter.values()), pa.int64())], ["word", "n"]
-            )
+        def added(parts: list[pa.Table]) -> pa.Table:
+            sums = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return sums.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
-        counter: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
         for batch in batches:
-            for text in batch.column("text"):
-                counter.update(tokens_of(text.as_py()))
-                if len(counter) > FLUSH:
-                    yield out(counter)
-                    counter = Counter()
-        yield out(counter)
+            found, sizes = split_words(batch.column("text"))
+            values, times = pc.value_counts(found).flatten()
+            held.append(pa.table({"word": values, "n": times}))
+            held.append(pa.table({"word": pa.array([END], pa.binary()), "n": pa.array([len(sizes)], pa.int64())}))
+            if sum(map(len, held)) > FLUSH:
+                held = [added(held)]
+                if len(held[0]) > FLUSH // 2:
+                    yield from held[0].to_batches()
+                    held = []
+        if held:
+            yield from added(held).to_batches()
 
     return rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -190,8 +222,8 @@ def vocabulary(counts: DataFrame, outcomes: int = OUTCOMES, dictionary: int = DI
     steps = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
     fits = [row["step"] for row, total in zip(steps, np.cumsum([r["count"] for r in steps])) if total <= dictionary]
     top = counts.where(step >= (fits[-1] if fits else 1 << 30)).toArrow()  # `dictionary` rows at most
-    ranked = sorted(zip(top.column("n").to_pylist(), top.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
-    words, n = [w for _, w in ranked], np.array([n for n, _ in ranked], np.int64)
+    top = top.sort_by([("n", "descending"), ("word", "ascending")])
+    words, n = top.column("word").to_pylist(), top.column("n").to_numpy().copy()
     return Vocabulary(words, n, min(outcomes, len(words) + 1), sums["n"] or 0, sums["v"])
 
 
@@ -233,13 +265,18 @@ def encoded(rows: DataFrame, known) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {w: i for i, w in enumerate(known.value)}
+        end = place.get(END, -1)
         for batch in batches:
+            found, sizes = split_words(batch.column("text"))
+            found = found.dictionary_encode()
+            distinct = values_of(found.dictionary)
+            at = found.indices.to_numpy()
+            all_ = np.fromiter(map(place.get, distinct, repeat(-1)), np.int64, len(distinct))[at]
             packed_, rare = [], []
-            for text in batch.column("text"):
-                words = tokens_of(text.as_py())
-                places = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                packed_.append(pack_places(places))
-                rare.append(b" ".join([words[i] for i in np.flatnonzero(places < 0).tolist()]))
+            for places, mine in zip(np.split(all_, np.cumsum(sizes)[:-1]), np.split(at, np.cumsum(sizes)[:-1])):
+                others_ = [distinct[i] for i in mine[places < 0].tolist()]
+                packed_.append(pack_places(np.append(places, end)))
+                rare.append(b" ".join(others_ if end >= 0 else [*others_, END]))
             columns = [*(batch.column(c) for c in others), pa.array(packed_, pa.binary()), pa.array(rare, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*others, "places", "rare"])
 
@@ -380,23 +417,61 @@ def stem_rows(rows: DataFrame, n_stems: int, terms: Sums) -> DataFrame:
 
 
 class Scorer:
-    """Contexts and log probabilities of tokens, from places in the dictionary, ``OUTSIDE`` or ``NONE``."""
+    """Contexts and log probabilities of tokens, from places in the dictionary, ``OUTSIDE`` or ``NONE``.
+
+    ``pairs``: places below it (and ``NONE``) have the normalisers of all their pairs in a table.
+    """
 
-    def __init__(self, shape: Shape, flat: np.ndarray, model: Model, tree: Tree, own: np.ndarray, centre: np.ndarray):
+    def __init__(self, shape: Shape, flat: np.ndarray, tree: Tree, own: np.ndarray, centre: np.ndarray, pairs: int = 0):
+        self.shape, self.flat, self.pairs = shape, flat, pairs
         self.one, self.two, self.out, self.bias = (a.astype(np.float32) for a in shape.split(flat))
-        self.model, self.tree, self.own, self.centre = model, tree, own, centre.astype(np.float32)
+        self.tree, self.own, self.centre = tree, own, centre.astype(np.float32)
         self.rest, self.width = shape.outcomes - 1, shape.width
-        # Logits of few enough tokens stay in a core's cache.
-        self.wide = np.concatenate([self.out, self.bias[:, None]], 1).T.copy()
-        self.most, self.most_bias = np.abs(self.out).sum(1).max(), np.abs(self.bias).max()
-
-    def context(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Sum of the vectors of two places, without own vectors of words outside the dictionary."""
-        d = self.width
-        h = self.one[context_outcome(last, self.rest)] + self.two[context_outcome(before, self.rest)]
-        for places, half in ((last, slice(0, d)), (before, slice(d, 2 * d))):
-            i = np.flatnonzero(places >= self.rest)
-            h[i] += self.own[places[i] - self.rest, half]
+        # Powers of two are cheaper than those of e.
+        self.wide = np.concatenate([self.out, self.bias[:, None]], 1) * np.float32(1 / math.log(2))
+        self.most, self.most_bias = np.sqrt((self.out**2).sum(1).max()), np.abs(self.bias).max()
+
+    @cached_property
+    def model(self) -> Model:
+        """Tables of the outcomes' contexts, made where they are used."""
+        return Model.of(self.shape, self.flat)
+
+    @cached_property
+    def pair_log_z(self) -> np.ndarray:
+        """Log normalisers by (last, before) of frequent places, then of ``NONE``; not a number where a context has to be scored itself.
+
+        exp(near + far) is exp(near) * exp(far), so a table of all pairs is one product of matrices.
+        """
+        places = np.append(np.arange(self.pairs), NONE)
+        last, before = self.context(places, None), self.context(None, places)
+
+        def powers(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            top = logits.max(1)
+            logits -= top[:, None]
+            # What lies so far below the top counts for nothing, unless the tops of both lie far apart.
+            np.clip(logits, -40, None, out=logits)
+            return np.exp(logits, out=logits), top
+
+        far, far_top = powers(before @ self.out.T + self.bias)
+        table = np.empty((len(places), len(places)), np.float32)
+        for at in range(0, len(places), 256):  # a worker needs little more than the table
+            near, near_top = powers(last[at : at + 256] @ self.out.T)
+            z = table[at : at + 256]
+            np.matmul(near, far.T, out=z)
+            z[z < 1e-6] = np.nan
+            np.log(z, out=z)
+            z += near_top[:, None]
+            z += far_top
+        return table
+
+    def context(self, last: np.ndarray | None, before: np.ndarray | None) -> np.ndarray:
+        """Sum of the vectors of two places (or of one), without own vectors of words outside the dictionary."""
+        d, h = self.width, np.float32(0)
+        for places, table, half in ((last, self.one, slice(0, d)), (before, self.two, slice(d, 2 * d))):
+            if places is not None:
+                h = h + table[context_outcome(places, self.rest)]
+                i = np.flatnonzero(places >= self.rest)
+                h[i] += self.own[places[i] - self.rest, half]
         return h
 
     def tokens(self, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -415,25 +490,50 @@ class Scorer:
         i = i[outcome == self.rest]
         total[i] += self.leaf(self.context(last[i], before[i]), places[i])
         i = np.flatnonzero(~plain & (last != OUTSIDE) & (before != OUTSIDE))
-        total[i] = self.token(self.context(last[i], before[i]), places[i])
+        context = self.context(last[i], before[i])
+        total[i] = self.token(context, places[i], self.known_log_z(last[i], before[i], context))
         return total
 
     def leaf(self, context: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Gain of the leaf of a place of the rest class."""
         return self.tree.gain(np.where(places >= 0, places - self.rest + 1, 0), context - self.centre)
 
-    def token(self, context: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def known_log_z(self, last: np.ndarray, before: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """``log_z`` of contexts of places: from the table of pairs, else each context once."""
+        near, far = (np.where(p == NONE, self.pairs, p) for p in (last, before))
+        i = np.flatnonzero((near < self.pairs + (last == NONE)) & (far < self.pairs + (before == NONE)))
+        log_z = np.full(len(last), np.nan, np.float32)
+        if len(i):
+            log_z[i] = self.pair_log_z[near[i], far[i]]
+        i = np.flatnonzero(np.isnan(log_z))
+        _, first, again = np.unique((last[i] - NONE) << 32 | (before[i] - NONE), return_index=True, return_inverse=True)
+        log_z[i] = self.log_z(context[i[first]])[again]
+        return log_z
+
+    def log_z(self, context: np.ndarray) -> np.ndarray:
+        """Natural log of the sum over all outcomes of exp(vector * context + constant)."""
+        out = np.zeros(len(context), np.float32)
+        # Most contexts are too short for an exponential to leave its range; the others need their largest logit.
+        short = np.sqrt(np.einsum("ij,ij->i", context, context)) * self.most + self.most_bias <= 80
+        ones = np.ones(len(self.out), np.float32)
+        # Logits of few enough tokens stay in a core's cache.
+        guess, logits = np.ones((self.width + 1, 128), np.float32), np.empty((len(self.out), 128), np.float32)
+        for rows, far in ((np.flatnonzero(short), False), (np.flatnonzero(~short), True)):
+            for at in range(0, len(rows), 128):
+                i = rows[at : at + 128]
+                guess[:-1, : len(i)] = context[i].T
+                np.matmul(self.wide, guess, out=logits)
+                top = logits.max(0) if far else np.float32(0)
+                if far:
+                    np.subtract(logits, top, out=logits)
+                out[i] = ((np.log2(ones @ np.exp2(logits, out=logits)) + top) * np.float32(math.log(2)))[: len(i)]
+        return out
+
+    def token(self, context: np.ndarray, places: np.ndarray, log_z: np.ndarray | None = None) -> np.ndarray:
         """Natural log probability of the outcome, and below the rest class of the leaf over its share."""
         outcome = np.where((places < 0) | (places > self.rest), self.rest, places)
-        total, ones = np.zeros(len(places)), np.ones(len(self.out), np.float32)
-        for start in range(0, len(places), 128):
-            h, k = context[start : start + 128], outcome[start : start + 128]
-            guess = np.concatenate([h, np.ones((len(h), 1), np.float32)], 1)
-            logits = guess @ self.wide
-            if np.abs(guess).max() * self.most + self.most_bias > 80:  # else no exponential is out of range
-                logits -= logits.max(1, keepdims=True)
-            total[start : start + 128] = logits[np.arange(len(k)), k]
-            total[start : start + 128] -= np.log(np.exp(logits, out=logits) @ ones)
+        total = np.einsum("ij,ij->i", context, self.out[outcome]).astype(np.float64) + self.bias[outcome]
+        total -= self.log_z(context) if log_z is None else log_z
         low = np.flatnonzero(outcome == self.rest)
         total[low] += self.leaf(context[low], places[low])
         return total
@@ -485,10 +585,23 @@ def score_texts(
         return at, terms.encode(*contexts(at, shape.outcomes))
 
     inside = occurrences(learnt, len(words.words) - rest, coded, terms)
-    inside = sums_by_place(inside, terms).toArrow()  # `dictionary` rows at most
-    table = np.zeros((len(words.words) - rest, 3 * d))
-    if inside.num_rows:
-        table[inside.column("place").to_numpy() - rest] = np.frombuffer(b"".join(inside.column("sums").to_pylist())).reshape(-1, 3 * d)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the driver needs of a word's sums: those of the contexts before it, and its own vectors."""
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            sums = np.frombuffer(b"".join(values_of(batch.column("sums")))).reshape(-1, 3 * d)
+            made = np.concatenate([follows(sums[:, d : 2 * d], n), follows(sums[:, 2 * d :], n)], 1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("place"), binary_rows(sums[:, :d]), binary_rows(made)], ["place", "leads", "own"])
+
+    inside = sums_by_place(inside, terms).mapInArrow(vectors, "place int, leads binary, own binary").toArrow()  # `dictionary` rows at most
+    before = np.zeros((1 + len(words.words) - rest, d))  # the first row is kept for all words outside the dictionary
+    own = np.zeros((len(words.words) - rest, 2 * d), np.float32)
+    for batch in inside.to_batches():
+        at = batch.column("place").to_numpy() - rest
+        before[at + 1] = np.frombuffer(b"".join(values_of(batch.column("leads")))).reshape(-1, d)
+        own[at] = np.frombuffer(b"".join(values_of(batch.column("own"))), np.float32).reshape(-1, 2 * d)
+    del inside
     n_stems = max(-(-(words.distinct - len(words.words)) // STEM), 1)
     found = stem_rows(rows, n_stems, terms)
     found = materialize(found, "word-occurrences", "zstd")
@@ -501,11 +614,13 @@ def score_texts(
         trunk_sums[at] = np.array(stems.column("sums").to_pylist())
     out_mass = trunk_mass.sum() + 1  # one for unknown words
     n = words.counts[rest:].astype(float)
-    # The first leaf is all words outside the dictionary.
-    near_tree = Tree(np.append(trunk_n.sum(), n), np.append(out_mass, n + 1), np.concatenate([[trunk_sums.sum(0)], table[:, :d]]), leads)
+    before[0] = trunk_sums.sum(0)
+    near_tree = Tree(np.append(trunk_n.sum(), n), np.append(out_mass, n + 1), before, leads)
+    del before
     trunk = spark.sparkContext.broadcast(Tree(trunk_n, trunk_mass, trunk_sums, leads))
-    own = np.concatenate([follows(table[:, d : 2 * d], n), follows(table[:, 2 * d :], n)], 1).astype(np.float32)
-    scorer = spark.sparkContext.broadcast(Scorer(shape, flat, Model.of(shape, flat), near_tree, own, leads.mean))
+    # The table's work stays a small part of the texts'.
+    pairs = min(PAIRS, math.isqrt(words.train_tokens), len(words.words))
+    scorer = spark.sparkContext.broadcast(Scorer(shape, flat, near_tree, own, leads.mean, pairs))
     logs = spark.sparkContext.broadcast(np.log10(words.counts + 1.0))
     base_total, rest_total = math.log10(words.train_tokens + words.distinct + 1), math.log10(words.rest_total())
 
@@ -571,7 +686,7 @@ def score_texts(
                         *(pa.array(c[x][i]) for x in ("at", "pos")),
                         pa.array(np.full(len(i), r["stem"], np.int32)),
                         *(pa.array(c[x][i].astype(np.int32)) for x in ("leaf", "m1", "m2", "p1")),
-                        pa.array([v.tobytes() for v in mine], pa.binary()),
+                        binary_rows(mine),
                     ],
                     ["at", "pos", "stem", "leaf", "m1", "m2", "p1", "own"],
                 )
@@ -581,7 +696,7 @@ def score_texts(
         of, kept = scorer.value, None
         for batch in batches:
             c = {x: batch.column(x).to_numpy() for x in ("at", "pos", "stem", "leaf", "m1", "m2", "p1")}
-            mine = np.frombuffer(b"".join(batch.column("own").to_pylist()), np.float16).reshape(-1, 2 * d).astype(np.float32)
+            mine = np.frombuffer(b"".join(values_of(batch.column("own"))), np.float16).reshape(-1, 2 * d).astype(np.float32)
             skip = 0
             if kept is not None:
                 skip = len(kept[1])
@@ -622,7 +737,7 @@ def score_texts(
             i = np.flatnonzero((c["leaf"] >= 0) & ((c["m1"] == OUTSIDE) | (c["m2"] == OUTSIDE)))
             context = (h[i] - scorer.value.centre).astype(np.float16)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c[x][i]) for x in ("stem", "leaf", "at")), pa.array([v.tobytes() for v in context], pa.binary())],
+                [*(pa.array(c[x][i]) for x in ("stem", "leaf", "at")), binary_rows(context)],
                 ["stem", "leaf", "at", "context"],
             )
 

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 FAN = 16
 PRIOR = 4.0
 FLUSH = 500_000
+# Tokens that go down a tree together.
+TOGETHER = 16384
 # A word seen so often in one flush is moved as sums, others as their occurrences.
 MANY = 16
 # Places of a bucket, as a power of two.
@@ -54,30 +56,43 @@ class Tree:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         while len(mass) > 1 or not self.levels:
             more = -len(mass) % FAN
-            n, mass, sums = np.pad(n, (0, more)), np.pad(mass, (0, more)), np.pad(sums, ((0, more), (0, 0)))
+            if more:
+                n, mass, sums = np.pad(n, (0, more)), np.pad(mass, (0, more)), np.pad(sums, ((0, more), (0, 0)))
             here, whole, total = (x.reshape(-1, FAN, *x.shape[1:]) for x in (n, mass, sums))
             share = whole / np.maximum(whole.sum(1, keepdims=True), 1e-300)
-            pull = total - share[:, :, None] * total.sum(1, keepdims=True)
-            vectors = newton(pull.reshape(-1, pull.shape[2]), n).reshape(pull.shape)
+            vectors = np.empty(total.shape, np.float32)
+            for at in range(0, len(here), 256):  # in parts, as the driver has little room beside the tree
+                some = total[at : at + 256]
+                pull = some - share[at : at + 256, :, None] * some.sum(1, keepdims=True)
+                vectors[at : at + 256] = newton(pull.reshape(-1, pull.shape[2]), here[at : at + 256].ravel()).reshape(pull.shape)
             with np.errstate(divide="ignore"):
-                self.levels.insert(0, (vectors.astype(np.float32), np.log(share).astype(np.float32)))
+                self.levels.insert(0, (vectors, np.log(share).astype(np.float32)))
             n, mass, sums = here.sum(1), whole.sum(1), total.sum(1)
 
     def gain(self, leaf: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Natural log of P(leaf | context) over the leaf's share of the counts."""
         out = np.zeros(len(leaf))
-        order = np.argsort(leaf, kind="stable")  # one node's tokens find its vectors in the cache
-        for at in range(0, len(leaf), 4096):
-            i = order[at : at + 4096]
-            some, h, rows = leaf[i], context[i][:, :, None], np.arange(len(i))
+        order = np.argsort(leaf, kind="stable")  # one node's tokens stand together
+        for at in range(0, len(leaf), TOGETHER):
+            i = order[at : at + TOGETHER]
+            some, rows = leaf[i], np.arange(len(i))
+            h = np.ascontiguousarray(context[i].T)
+            total, sums = np.zeros(len(i)), np.ones(len(i))
             for depth, (vectors, shares) in enumerate(self.levels):
                 child = some // FAN ** (len(self.levels) - 1 - depth)
-                pull = np.matmul(vectors[child // FAN], h)[:, :, 0]
-                chosen = pull[rows, child % FAN]
-                pull += shares[child // FAN]
-                top = pull.max(1)
-                pull -= top[:, None]
-                out[i] += chosen - (np.log(np.exp(pull, out=pull).sum(1)) + top)
+                node, child = child // FAN, child % FAN
+                first = np.append(0, np.flatnonzero(node[1:] != node[:-1]) + 1)
+                if len(first) * 32 < len(i):  # many tokens a node
+                    pull = np.empty((FAN, len(i)), np.float32)
+                    for k, a, b in zip(node[first].tolist(), first.tolist(), [*first[1:].tolist(), len(i)]):
+                        np.add(vectors[k] @ h[:, a:b], shares[k][:, None], out=pull[:, a:b])
+                else:
+                    pull = np.matmul(vectors[node], h.T[:, :, None])[:, :, 0].T + shares[node].T
+                top = pull.max(0)
+                pull -= top
+                total += pull[child, rows] - shares[node, child]
+                sums *= np.exp(pull, out=pull).sum(0)  # from 1 to FAN each
+            out[i] = total - np.log(sums)
         return out
 
 
