@@ -199,6 +199,8 @@ def count_tokens(rows: DataFrame) -> DataFrame:
 
         held: list[pa.Table] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             found, sizes = split_words(batch.column("text"))
             values, times = pc.value_counts(found).flatten()
             held.append(pa.table({"word": values, "n": times}))
@@ -267,6 +269,8 @@ def encoded(rows: DataFrame, known) -> DataFrame:
         place = {w: i for i, w in enumerate(known.value)}
         end = place.get(END, -1)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             found, sizes = split_words(batch.column("text"))
             found = found.dictionary_encode()
             distinct = values_of(found.dictionary)
