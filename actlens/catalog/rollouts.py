@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import time
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from actlens.catalog.registry import query
@@ -224,11 +223,15 @@ def reward_stream_query(v):
     return _scored(v.spark.read.parquet(dst))
 
 
-def _written(spark, path) -> int:
-    try:
-        return spark.read.schema("sample_id long").parquet(path).count()
-    except AnalysisException:  # nothing is written yet
-        return 0
+def _written(spark, path, counted) -> int:
+    """Rows of all finished micro-batches under ``path``; ``counted`` keeps the rows of each, so none is read twice."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder) if store.exists(folder) else ():
+        name = status.getPath().getName()
+        if name not in counted and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")):
+            counted[name] = spark.read.schema("sample_id long").parquet(f"{path}/{name}").count()
+    return sum(counted.values())
 
 
 @query("reward_batches", _REWARDS)
@@ -238,11 +241,11 @@ def reward_batches_query(v):
     dst, checkpoint = scratch_path(v.spark, "rewards"), scratch_path(v.spark, "stream")
     n = v.spark.read.parquet(src).count()
     stream = reward_batches(v.spark, src, dst, checkpoint, schema, SignReconstructor(64), 512, 1.0, lanes=4)
-    done, grown = 0, time.monotonic()
+    done, grown, counted = 0, time.monotonic(), {}
     try:
         while stream.isActive and done < n:  # the last batch of each lane waits for its timer
             time.sleep(0.2)
-            before, done = done, _written(v.spark, dst)
+            before, done = done, _written(v.spark, dst, counted)
             grown = time.monotonic() if done > before else grown
             if time.monotonic() - grown > 120:
                 raise TimeoutError(f"{done} of {n} samples scored, none for two minutes")

@@ -2,21 +2,76 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_OUT = "lane int, batch_no long, batch_size int, cause string, row string"
+_MARKS = [
+    T.StructField("lane", T.IntegerType()),
+    T.StructField("batch_no", T.LongType()),
+    T.StructField("batch_size", T.IntegerType()),
+    T.StructField("cause", T.StringType()),
+]
+_CHUNKS = "lane int, rows binary"
+_OUT = T.StructType([*_MARKS, T.StructField("rows", T.BinaryType())])
+
+# Rows of a lane that travel as one value, and the bytes of batches that leave the state as one frame.
+CHUNK_ROWS = 1024
+FRAME_BYTES = 16 << 20
+
+
+def _packed(rows: pa.Table) -> bytes:
+    """Rows as one compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        for batch in rows.combine_chunks().to_batches():
+            writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(chunk: bytes | pa.Buffer) -> pa.Table:
+    return pa.ipc.open_stream(chunk).read_all()
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows behind their lane to one value per lane and ``CHUNK_ROWS`` rows."""
+    for batch in batches:
+        lane = batch.column(0).to_numpy(zero_copy_only=False)
+        order = np.argsort(lane, kind="stable")
+        rows = pa.table(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:])).take(pa.array(order))
+        numbers, starts = np.unique(lane[order], return_index=True)
+        lanes, chunks = [], []
+        for number, lo, hi in zip(numbers.tolist(), starts.tolist(), [*starts.tolist()[1:], len(lane)]):
+            for at in range(lo, hi, CHUNK_ROWS):
+                lanes.append(number)
+                chunks.append(_packed(rows.slice(at, min(CHUNK_ROWS, hi - at))))
+        yield pa.RecordBatch.from_arrays([pa.array(lanes, pa.int32()), pa.array(chunks, pa.binary())], ["lane", "rows"])
+
+
+def _spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches back to rows, each with its batch's lane, number, size and cause."""
+    for batch in batches:
+        *marks, chunks = batch.columns
+        for i, chunk in enumerate(chunks):
+            for rows in _unpacked(chunk.as_buffer()).combine_chunks().to_batches():
+                same = [pa.repeat(mark[i], rows.num_rows) for mark in marks]
+                fields = [*rows.schema, *list(batch.schema)[: len(marks)]]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *same], schema=pa.schema(fields))
 
 
 class Gather(StatefulProcessor):
     """Holds the rows of a lane until there are ``size`` of them or the oldest has waited ``seconds``.
 
     State of a lane: fewer than ``size`` rows, the number of its next batch, and when its timer
-    is due. A row that arrives after its batch went out starts the next one.
+    is due. A row that arrives after its batch went out starts the next one. Rows come, wait and leave
+    packed; a batch leaves as one value.
     """
 
     def __init__(self, size: int, seconds: float):
@@ -25,25 +80,38 @@ class Gather(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "row string")
+        self.rows = handle.getListState("rows", "rows binary")
         self.next = handle.getValueState("next", "batch_no long, due long")
 
-    def _state(self) -> tuple[list[str], int, int]:
+    def _state(self) -> tuple[list[pa.Table], int, int]:
         number, due = self.next.get() if self.next.exists() else (0, 0)
-        return [r[0] for r in self.rows.get()] if self.rows.exists() else [], number, due
+        return [_unpacked(r[0]) for r in self.rows.get()] if self.rows.exists() else [], number, due
 
-    def _batch(self, lane: int, number: int, rows: list[str], cause: str) -> pd.DataFrame:
-        return pd.DataFrame({"lane": lane, "batch_no": number, "batch_size": len(rows), "cause": cause, "row": rows})
+    def _frame(self, lane: int, number: int, batches: list[pa.Table], cause: str) -> pd.DataFrame:
+        """Batches from ``number`` on, a row each."""
+        numbers, sizes = range(number, number + len(batches)), [b.num_rows for b in batches]
+        rows = [_packed(b) for b in batches]
+        return pd.DataFrame({"lane": lane, "batch_no": numbers, "batch_size": sizes, "cause": cause, "rows": rows})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held, number, due = self._state()
-        waited = bool(held)
+        waited, n = bool(held), sum(t.num_rows for t in held)
+        full: list[pa.Table] = []
         for frame in rows:
-            held += frame["row"].tolist()
-            while len(held) >= self.size:
-                full, held = held[: self.size], held[self.size :]
-                yield self._batch(key[0], number, full, "size")
-                number, waited = number + 1, False
+            for chunk in frame["rows"]:
+                held.append(_unpacked(chunk))
+                n += held[-1].num_rows
+                if n < self.size:
+                    continue
+                together, cut = pa.concat_tables(held), n - n % self.size
+                full += [together.slice(at, self.size) for at in range(0, cut, self.size)]
+                held, n, waited = [together.slice(cut)] if n > cut else [], n - cut, False
+                if sum(t.nbytes for t in full) >= FRAME_BYTES:
+                    yield self._frame(key[0], number, full, "size")
+                    number, full = number + len(full), []
+        if full:
+            yield self._frame(key[0], number, full, "size")
+            number += len(full)
         if due and not waited:
             self.handle.deleteTimer(due)
             due = 0
@@ -55,30 +123,41 @@ class Gather(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held, number, _ = self._state()
         if held:
-            yield self._batch(key[0], number, held, "time")
+            yield self._frame(key[0], number, [pa.concat_tables(held)], "time")
             number += 1
         self._keep([], number, 0)
 
-    def _keep(self, rows: list[str], number: int, due: int) -> None:
+    def _keep(self, rows: list[pa.Table], number: int, due: int) -> None:
         if rows:
-            self.rows.put([(r,) for r in rows])
+            self.rows.put([(_packed(pa.concat_tables(rows)),)])
         elif self.rows.exists():
             self.rows.clear()
         self.next.update((number, due))
 
 
+def lane_partitions(spark: SparkSession, lanes: int) -> int:
+    """Partitions for the state of ``lanes``: between as many and twice as many, where the fullest holds fewest lanes.
+
+    Every partition is a task and a store of its own in every micro-batch, with rows or without.
+    """
+    places = [r[0] for r in spark.range(lanes).select(F.hash(F.col("id").cast("int"))).collect()]
+    return min(range(lanes, 2 * lanes + 1), key=lambda n: (max(Counter(p % n for p in places).values()), n))
+
+
 def gathered(source: DataFrame, size: int, seconds: float, lanes: int, key: str) -> DataFrame:
     """Rows of the stream ``source`` in batches: its columns and ``lane``, ``batch_no``, ``batch_size``, ``cause``.
 
     Rows are dealt to ``lanes`` by a hash of ``key``; each lane gathers batches of its own, so the
-    work of a wide stream is spread. ``cause`` is ``size`` or ``time``. Rows wait as JSON text.
+    work of a wide stream is spread. ``cause`` is ``size`` or ``time``. Rows travel and wait as packed Arrow
+    chunks, and whole batches are dealt to all cores before they are unpacked.
     """
-    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     lane = F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int").alias("lane")
+    cores = source.sparkSession.sparkContext.defaultParallelism
     batches = (
-        source.select(lane, F.to_json(F.struct("*"), options).alias("row"))
+        source.select(lane, "*")
+        .mapInArrow(_deal, _CHUNKS)
         .groupBy("lane")
         .transformWithStateInPandas(Gather(size, seconds), _OUT, "append", "processingTime")
     )
-    whole = F.from_json("row", source.schema, options)
-    return batches.withColumn("row", whole).select("row.*", "lane", "batch_no", "batch_size", "cause")
+    whole = T.StructType([*source.schema.fields, *_MARKS])
+    return (batches.repartition(cores) if lanes < cores else batches).mapInArrow(_spread_out, whole)

@@ -3,6 +3,7 @@
 import os
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from actlens.session import scratch_path
 from actlens.slots import RetryingCompleter, SignReconstructor, StubCompleter, ThreadedCompleter, complete_prompts
 from actlens.sources.answers import ANSWERS, AnswerStore, CompleterFailed
 from actlens.streaming import jobs
-from actlens.streaming.jobs import explain_stream, reward_batches, reward_stream
+from actlens.streaming.gather import gathered, lane_partitions
+from actlens.streaming.jobs import _by_batch, explain_stream, reward_batches, reward_stream
 
 TEXTS = [f"text {'x' * (i % 13)} number {i}" for i in range(60)] + ["copied text"] * 40
 
@@ -408,6 +410,54 @@ def test_reward_batches_bound_what_a_micro_batch_reads(spark, monkeypatch):
     assert {r.sample_id for r in rows} == set(range(24)) and max(read) == 8
 
 
+def test_reward_batches_keep_one_or_two_state_partitions_a_lane(spark):
+    """Two lanes with the caller's 4 partitions: a partition costs every micro-batch a task and a store."""
+    src, dst, check = (scratch_path(spark, n).removeprefix("file:") for n in ("src", "dst", "check"))
+    samples(spark, 0, 40).coalesce(1).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    stream = reward_batches(spark, src, dst, check, schema, SignReconstructor(4), size=4, seconds=1.0, lanes=2)
+    try:
+        rows = wait_for(spark, dst, 40)
+        state = [s for p in stream.recentProgress for s in p.stateOperators]
+    finally:
+        stream.stop()
+    assert {s.numShufflePartitions for s in state} == {lane_partitions(spark, 2)} and lane_partitions(spark, 2) < 4
+    assert lane_partitions(spark, 1) == 1
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert {r.sample_id for r in rows} == set(range(40))
+    batches = Counter((r.lane, r.batch_no, r.batch_size) for r in rows)
+    assert all(n == size for (_, _, size), n in batches.items())
+
+
+def test_gathered_rows_keep_every_type(spark):
+    """Rows are packed, wait and are unpacked as they were: nulls, NaN, nested and binary values."""
+    src, out = (scratch_path(spark, n).removeprefix("file:") for n in ("src", "out"))
+    df = spark.range(25).select(
+        F.when(F.col("id") % 7 > 0, F.col("id")).alias("sample_id"),
+        F.when(F.col("id") % 3 > 0, (F.col("id") / 0.7).cast("decimal(12,4)")).alias("money"),
+        F.when(F.col("id") % 4 > 0, F.timestamp_micros(F.col("id") * 1234567891)).alias("at"),
+        F.when(F.col("id") % 5 > 0, F.encode(F.col("id").cast("string"), "utf-8")).alias("raw"),
+        F.array(F.lit(float("nan")).cast("float"), F.lit(None).cast("float"), F.rand(1).cast("float")).alias("v"),
+        F.struct(F.col("id").alias("n"), F.create_map(F.lit("k"), F.col("id"))).alias("nested"),
+        F.lit("").alias("empty"),
+    )
+    df.repartition(3).write.parquet(src)
+    stored = spark.read.parquet(src)
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", jobs._STATE_STORE)
+    source = own.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = _by_batch(gathered(source, 4, 1.0, 3, "sample_id"), lambda b: b, out, scratch_path(spark, "check"))
+    query = stream.trigger(processingTime="200 milliseconds").start()
+    try:
+        rows = wait_for(spark, out, 25)
+    finally:
+        query.stop()
+    assert len(rows) == 25
+    columns = stored.columns
+    assert sorted(str(tuple(r[c] for c in columns)) for r in rows) == sorted(str(tuple(r)) for r in stored.collect())
+
+
 def test_rewards_of_a_failing_model(spark):
     class Broken:
         def reconstruct(self, texts):
