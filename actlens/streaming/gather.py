@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from actlens.operators.packs import pack_table, unpack_table
+
 _MARKS = [
     T.StructField("lane", T.IntegerType()),
     T.StructField("batch_no", T.LongType()),
@@ -28,16 +30,7 @@ FRAME_BYTES = 16 << 20
 
 
 def _packed(rows: pa.Table) -> bytes:
-    """Rows as one compressed Arrow stream."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
-        for batch in rows.combine_chunks().to_batches():
-            writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(chunk: bytes | pa.Buffer) -> pa.Table:
-    return pa.ipc.open_stream(chunk).read_all()
+    return pack_table(rows, "lz4")
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +53,7 @@ def _spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         *marks, chunks = batch.columns
         for i, chunk in enumerate(chunks):
-            for rows in _unpacked(chunk.as_buffer()).combine_chunks().to_batches():
+            for rows in unpack_table(chunk.as_buffer()).combine_chunks().to_batches():
                 same = [pa.repeat(mark[i], rows.num_rows) for mark in marks]
                 fields = [*rows.schema, *list(batch.schema)[: len(marks)]]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *same], schema=pa.schema(fields))
@@ -85,7 +78,7 @@ class Gather(StatefulProcessor):
 
     def _state(self) -> tuple[list[pa.Table], int, int]:
         number, due = self.next.get() if self.next.exists() else (0, 0)
-        return [_unpacked(r[0]) for r in self.rows.get()] if self.rows.exists() else [], number, due
+        return [unpack_table(r[0]) for r in self.rows.get()] if self.rows.exists() else [], number, due
 
     def _frame(self, lane: int, number: int, batches: list[pa.Table], cause: str) -> pd.DataFrame:
         """Batches from ``number`` on, a row each."""
@@ -99,7 +92,7 @@ class Gather(StatefulProcessor):
         full: list[pa.Table] = []
         for frame in rows:
             for chunk in frame["rows"]:
-                held.append(_unpacked(chunk))
+                held.append(unpack_table(chunk))
                 n += held[-1].num_rows
                 if n < self.size:
                     continue

@@ -1,6 +1,7 @@
 """Explanations: caches, completer, prior runs, streams."""
 
 import os
+import random
 import re
 import time
 from collections import Counter
@@ -12,9 +13,10 @@ from test_text import cleaned
 from actlens import fixed_values as fv
 from actlens.functions import text as tx
 from actlens.operators import aggregates, filters, joins
+from actlens.operators.packs import pack_keys, packed, unpacked
 from actlens.plans.evaluate import score_rollouts
 from actlens.plans.explain import explain
-from actlens.session import scratch_path
+from actlens.session import materialize, scratch_path
 from actlens.slots import RetryingCompleter, SignReconstructor, StubCompleter, ThreadedCompleter, complete_prompts
 from actlens.sources.answers import ANSWERS, AnswerStore, CompleterFailed
 from actlens.streaming import jobs
@@ -300,6 +302,54 @@ def test_explain_stream_takes_each_file_once(spark, rows, caches):
     assert spark.read.parquet(dst).count() == len(run())
 
 
+def stored_bytes(path):
+    return sum(os.path.getsize(f"{at}/{n}") for at, _, names in os.walk(path) for n in names)
+
+
+def test_prefixes_are_stored_and_joined_beside_their_neighbours(spark):
+    """Ten prefixes of a text that does not compress cost about one of them, in what is asked and in what comes out."""
+    folder = scratch_path(spark, "packs").removeprefix("file:")
+    scratch = os.path.dirname(folder)
+    os.makedirs(scratch, exist_ok=True)
+    docs = [(i, "".join(random.Random(i).choices("0123456789abcdef", k=4000))) for i in range(60)]
+    texts = spark.createDataFrame(docs, "doc_id long, doc string").coalesce(2)
+    cut = F.explode(F.sequence(F.lit(400), F.lit(4000), F.lit(400))).alias("n")
+    table = f"{folder}-rows"
+    texts.select("doc_id", "doc", cut).selectExpr("doc_id", "n", "left(doc, n) || 'xxxxx' AS detokenized_text_truncated").write.parquet(table)
+    df = spark.read.parquet(table)
+    store = AnswerStore(spark, f"{folder}-answers")
+    before = set(os.listdir(scratch))
+    rows = explain(df, None, StubCompleter(), store=store)
+    made = set(os.listdir(scratch)) - before
+    rows.write.option("compression", "zstd").parquet(f"{folder}-out")
+    whole = sum(len(r[2]) for r in df.collect())
+    assert whole > 1_300_000 and spark.read.parquet(f"{folder}-out").count() == 600
+    assert made and sum(stored_bytes(f"{scratch}/{n}") for n in made) < whole / 2
+    assert stored_bytes(f"{folder}-out") < whole / 3
+    want = {(r.doc_id, r.n): r.api_explanation for r in explain(df, None, StubCompleter()).collect()}
+    assert {(r.doc_id, r.n): r.api_explanation for r in rows.collect()} == want
+
+
+def test_rows_joined_in_packs_equal_a_join(spark):
+    """Repeated, NULL and unknown keys, keys found twice, and columns of every kind."""
+    df = spark.range(500).select(
+        F.when(F.col("id") % 9 > 0, F.concat(F.lit("k"), (F.col("id") % 37).cast("string"))).alias("key"),
+        F.when(F.col("id") % 4 > 0, F.array(F.col("id"), F.lit(None))).alias("v"),
+        F.struct(F.col("id").alias("n"), F.lit(float("nan")).alias("x")).alias("s"),
+        F.col("id"),
+    )
+    known = spark.createDataFrame([(f"k{i}", f"e{i}-{j}") for i in range(0, 50, 2) for j in range(1 + i % 3)], "key string, e string")
+    for rows in (1, 7, 128):
+        packs = materialize(packed(df.repartition(3), "key", rows), "packs")
+        found = pack_keys(packs, "key").join(known, "key")
+        got = unpacked(packs, found, df.drop("key").schema, "key", "e")
+        assert got.columns == ["key", "v", "s", "id", "e"]
+        assert sorted(map(str, got.collect())) == sorted(map(str, df.join(known, "key").collect()))
+        once = unpacked(packs, pack_keys(packs, "key").withColumn("e", F.lit("")), df.drop("key").schema, "key", "e", once=True)
+        of_pack = [r.n for r in packs.select(F.size(F.array_distinct(F.array_compact("_keys"))).alias("n")).collect()]
+        assert once.where("key IS NOT NULL").count() == sum(of_pack)
+
+
 def test_explain_stream_reads_tables_in_one_file_and_in_many(spark):
     from actlens.catalog import QUERIES
 
