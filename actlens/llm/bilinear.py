@@ -400,8 +400,7 @@ def stem_rows(rows: DataFrame, n_stems: int, terms: Sums) -> DataFrame:
         for spelt, start, packed_ in zip(mine["spelt"], mine["start"], mine["packed"]):
             words += unpack_words(spelt)
             c = unpack_columns(packed_)
-            c["at"][0] = start
-            c["at"] = np.cumsum(c["at"])
+            c["at"] = np.cumsum(np.concatenate([[start], c["at"][1:]]))  # a single row is read-only
             parts.append(np.stack([c[x] for x in COLUMNS]))
         columns = np.concatenate(parts, 1)
         number, names = pd.factorize(np.array(words, object), sort=True)
